@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from .chunk_dedup import op5_chunk_dedup
+from .decontaminate import op6_decontamination
+from .kneser_ney import op10_kneser_ney
+from .minhash import op2_minhash_near_dedup
 from .packing import op9_packing
+from .pii import op1_pii
+from .quality_rules import op4_quality_rules
+from .sharding import op7_kd_sharding
 from .token_files import op3_token_files
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_files": op3_token_files,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_chunk_dedup": op5_chunk_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_kd_sharding": op7_kd_sharding,
     "op9_packing": op9_packing,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 SQL: dict[str, str] = {}

@@ -111,7 +111,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], mask=valid[a:b] == 0), "start": at[:-1] + row["base"], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     files = spark.read.parquet(f"{uri}/manifest")
-    return files.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, files.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 #: A word of Latin-1 letters and the marks after it. The letters are one piece for the tokenizer, the marks another.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Words that a worker remembers at most; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 
 
 class WordEncoder:
