@@ -52,3 +52,14 @@ def let(value: Column, body) -> Column:
     evaluated once a row.
     """
     return F.transform(F.array(value), body)[0]
+
+
+#: Document ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids``; rows with a null id stay."""
+    ids = written(ids.distinct(), "dropped")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)

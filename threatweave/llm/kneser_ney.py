@@ -7,7 +7,8 @@ sharded by the two characters before the last. Scoring: a task looks up the dist
 shards, which it reads from the shared folder, one at a time when there are several.
 
 A share of the trusted documents (``FOLDS``-th part by a hash of the id) is left out of the counts; the quantile of their
-perplexities, by language, plus ``MARGIN`` is the threshold, exact over all of them. Languages with fewer than ``LEAST`` such
+perplexities, by language, plus ``MARGIN`` is the threshold, exact over all of them; a text of n characters gets
+``SLACK / sqrt(n)`` bits more, because the mean over few characters strays. Languages with fewer than ``LEAST`` such
 documents take that of all languages.
 
 Defined results: a null or empty text has no characters, 0 bits and is kept; labels that contradict each other make a
@@ -29,7 +30,7 @@ from .quality_rules import flagged, trusted_ids
 from .tokens import chunks
 
 ORDER = 5
-FOLDS, QUANTILE, MARGIN, LEAST = 8, 0.995, 0.25, 100
+FOLDS, QUANTILE, MARGIN, SLACK, LEAST = 8, 0.995, 0.25, 10, 100
 #: Rows of all orders that a shard holds on average at most.
 SHARD_ROWS = 4_000_000
 #: Stands before a text, so that its first characters have a context.
@@ -245,7 +246,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     few = limits.count() <= 100_000
     out = scored.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("of")), "left")
     bits = F.col("bits") / SCALE
-    return out.select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), (F.col("bits") <= F.col("most")).alias("kept"))
+    return out.select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), (bits <= F.col("most") / SCALE + SLACK / F.sqrt(F.greatest(F.col("n_scored"), F.lit(1)))).alias("kept"))
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunk_dedup import op5_chunk_dedup
 from .decontaminate import op6_decontamination
 from .kneser_ney import op10_kneser_ney
+from .licenses import op8_licences
 from .minhash import op2_minhash_near_dedup
 from .packing import op9_packing
 from .pii import op1_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chunk_dedup": op5_chunk_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_kd_sharding": op7_kd_sharding,
+    "op8_licences": op8_licences,
     "op9_packing": op9_packing,
     "op10_kneser_ney": op10_kneser_ney,
 }
