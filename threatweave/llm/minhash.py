@@ -4,7 +4,8 @@
 2. Equal sets (by a 128-bit digest of the whole set) collapse to one row, so exact copies cost nothing further.
 3. Sets that agree in a whole band are candidates. In a bucket every set is compared with one center, not with all
    others: first with the least document id, then, where members of a bucket are still in different components, with the
-   member that shares most buckets, and at last with every member of another component, in blocks inside tasks.
+   member that shares most buckets, and at last with every member of another component, in blocks inside tasks that
+   return verified links only.
 4. A candidate's signatures are compared in batches; it is dropped as soon as the posterior probability that the
    similarity reaches the threshold falls below ``MISS`` (uniform prior, so the posterior is a binomial tail).
 5. Survivors are verified on the full sets, rebuilt from the whole texts.
@@ -38,8 +39,8 @@ ROWS, BANDS = 6, 42
 NEED = (85, 100)
 #: Chosen probability of losing a pair at the threshold, and signature values compared at once.
 MISS, BATCH = 1e-7, 36
-#: Sets of a block when members of one bucket are compared with each other; leaves that share one copy of a center.
-BLOCK, FAN = 256, 512
+#: Sets of a block when sets are compared with each other; leaves that share one copy of a center; sets of a family at most.
+BLOCK, FAN, FAMILY = 256, 64, 20_000
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -203,33 +204,70 @@ def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_.select("bucket", "size"), "bucket")
 
 
-def _block_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members from different components that pass the sequential test.
+def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles): the full sets of the given documents."""
 
-    A bucket of m members is cut into blocks; each pair of blocks is compared in one task, so a task holds two blocks at
-    most, and only survivors leave it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text", 8 << 20):
+            sets = [s.tobytes() for s in shingle_sets(chunk["text"].combine_chunks())]
+            yield pa.RecordBatch.from_arrays([chunk["rep"].combine_chunks(), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    few = reps.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep")
+    return written(texts.mapInArrow(run, "rep long, shingles binary"), "minhash-sets")
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """(family, rep, comp, size): open buckets joined into families of sets that share some, so that a pair meets once.
+
+    A family of more than ``FAMILY`` sets stays apart by its buckets, whose pairs are fewer.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    low = rows.groupBy("bucket").agg(F.min("rep").alias("low"))
+    kin = components(rows.join(low, "bucket").filter("rep <> low").select("rep", "low").distinct(), "rep", "low").withColumnsRenamed({"id": "rep", "comp": "family"})
+    joined = rows.join(kin, "rep")
+    sizes = joined.groupBy("family").agg(F.count_distinct("rep").alias("members"))
+    keyed = joined.join(sizes, "family").select(F.when(F.col("members") <= FAMILY, F.col("family")).otherwise(F.col("bucket")).alias("family"), "rep", "comp").distinct()
+    return keyed.join(keyed.groupBy("family").agg(F.count("*").alias("size")), "family")
+
+
+def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of a family, verified on the full sets; enough of them to join all that link.
+
+    A family of m sets is cut into blocks, and each pair of blocks is compared in one task, which holds two blocks at
+    most. A pair must share a band, pass the sequential test and reach the threshold on the full sets. Components that a
+    task has joined aren't compared again, so it returns less links than it has components.
+    """
+    rows = written(_families(rows), "minhash-families")
+    sets = _sets(rows.select("rep").distinct(), docs)
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(sigs.select("rep", "sig"), "rep")
+    spread = spread.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
         block, reps, comps = (part[c].to_numpy() for c in ("block", "rep", "comp"))
-        sigs = _signatures(part["sig"])
+        sigs, bands = _signatures(part["sig"]), np.array(part["bands"].to_pylist(), dtype=np.int64)
+        full = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"].to_pylist()]
+        sizes = np.array([len(x) for x in full])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
+        comps = comps.copy()
+        found = []
         for x in left.tolist():
             ys = right[(comps[right] != comps[x]) & ((reps[right] > reps[x]) | (i != j))]
+            ys = ys[(bands[ys] == bands[x]).any(axis=1)]
+            if len(ys):
+                ys = ys[may_link(np.broadcast_to(sigs[x], (len(ys), sigs.shape[1])), sigs[ys])]
             if len(ys):
-                ys = ys[may_link(np.repeat(sigs[x : x + 1], len(ys), axis=0), sigs[ys])]
-                found_a.append(np.minimum(reps[x], reps[ys]))
-                found_b.append(np.maximum(reps[x], reps[ys]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
+                pooled = np.concatenate([full[y] for y in ys.tolist()])
+                at = np.minimum(np.searchsorted(full[x], pooled), sizes[x] - 1)
+                common = np.add.reduceat((full[x][at] == pooled).astype(np.int64), np.cumsum(sizes[ys]) - sizes[ys])
+                for y in ys[NEED[1] * common >= NEED[0] * (sizes[x] + sizes[ys] - common)].tolist():
+                    if comps[y] != comps[x]:
+                        found.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+                        comps[comps == comps[y]] = comps[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return spread.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links, "a", "b").withColumnRenamed("id", "rep")
         rows = written(_unsettled(rows.select("bucket", "rep"), labels), "minhash-open")
         if not rows.isEmpty():
-            links = written(links.unionByName(_verified(_block_pairs(rows, sigs), docs)), "minhash-links")
+            links = written(links.unionByName(_block_links(rows, reps, docs)), "minhash-links")
             labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
     owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
