@@ -36,6 +36,8 @@ SHARD_ROWS = 4_000_000
 #: Stands before a text, so that its first characters have a context.
 START = "\x02"
 SCALE = 1000
+#: Bytes of text whose windows a task handles at once: its arrays take about 100 times as much.
+CHUNK_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 FACTORS = _rng.integers(0, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,7 +63,7 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     """(gram, c): how often each window of ORDER characters occurs in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", 8 << 20):
+        for chunk in chunks(batches, "text", CHUNK_BYTES):
             texts = [t or "" for t in chunk["text"].to_pylist()]
             pad = START * (ORDER - 1)
             joined = pad + pad.join(texts)
@@ -134,21 +136,34 @@ class Shard:
 
         system, root = fs.FileSystem.from_uri(path)
         files = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/shard={shard}")) if f.path.endswith(".parquet")]
-        held = pa.concat_tables([pq.read_table(f, filesystem=system, partitioning=None) for f in files])
-        n, kind, value = (held[c].to_numpy() for c in ("n", "kind", "value"))
-        grams = held["gram"].to_pylist()
-        self.floor = float(value[n == 0][0])
-        self.tables = {}
+        self.tables: dict[tuple[int, int], list] = {(n, k): [] for n in range(1, ORDER + 1) for k in (0, 1)}
+        for f in files:
+            # One row group after another, so that only hashes and values stay.
+            source = pq.ParquetFile(f, filesystem=system)
+            for batch in source.iter_batches(100_000, columns=["n", "kind", "gram", "value"]):
+                self._add(batch)
+        for at, parts in self.tables.items():
+            keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, dtype=np.uint64)
+            values = np.concatenate([v for _, v in parts]) if parts else np.zeros(0, dtype=np.float64)
+            by = np.argsort(keys)
+            self.tables[at] = (keys[by], values[by])
+
+    def _add(self, batch: pa.RecordBatch) -> None:
+        n, kind, value = (batch[c].to_numpy() for c in ("n", "kind", "value"))
+        grams = batch["gram"].to_pylist()
+        if (n == 0).any():
+            self.floor = float(value[n == 0][0])
         for order in range(1, ORDER + 1):
             for k in (0, 1):
                 at = np.flatnonzero((n == order) & (kind == k))
                 size = order - k
-                flat = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(at), size).astype(np.uint64) if size else None
                 keys = np.zeros(len(at), dtype=np.uint64)
-                for j in range(size):
-                    keys += (flat[:, size - 1 - j] + np.uint64(1)) * FACTORS[j]
-                by = np.argsort(keys)
-                self.tables[order, k] = keys[by], value[at][by]
+                if size and len(at):
+                    flat = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(at), size).astype(np.uint64)
+                    for j in range(size):
+                        keys += (flat[:, size - 1 - j] + np.uint64(1)) * FACTORS[j]
+                if len(at):
+                    self.tables[order, k].append((keys, value[at]))
 
     def find(self, order: int, kind: int, keys: np.ndarray, absent: float) -> np.ndarray:
         own, values = self.tables[order, kind]
@@ -186,7 +201,7 @@ def perplexities(docs: DataFrame, path: str, shards: int, carried: list[str]) ->
     """``carried`` columns, n_scored (characters) and bits (bits a character times SCALE, whole) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", 8 << 20):
+        for chunk in chunks(batches, "text", CHUNK_BYTES):
             texts = [t or "" for t in chunk["text"].to_pylist()]
             flat, bounds = points(texts)
             inner = np.ones(len(flat), dtype=bool)
