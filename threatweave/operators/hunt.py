@@ -37,11 +37,12 @@ def matches(events: DataFrame, specs: list[dict]) -> DataFrame:
 
 
 def indicator_hits(events: DataFrame, iocs: DataFrame, *, few: bool = True) -> DataFrame:
-    """Events that touch an indicator (type, value): destination address, domain or file hash, as (type, value) pairs of the event."""
-    pairs = F.array(F.struct(F.lit("ipv4").alias("type"), F.lower("dst_ip").alias("value")), F.struct(F.lit("domain").alias("type"), F.lower("domain").alias("value")), F.struct(F.lit("sha256").alias("type"), F.lower("sha256").alias("value")))
-    rows = events.withColumn("_p", F.explode(F.filter(pairs, lambda p: p["value"].isNotNull()))).select("*", "_p.*").drop("_p")
-    wanted = iocs.select("type", F.lower("value").alias("value")).distinct()
-    return rows.join(F.broadcast(wanted) if few else wanted, ["type", "value"])
+    """Events that touch an indicator (type, value): its ioc_type and ioc_value beside the event's columns, one row a hit."""
+    pair = lambda kind, column: F.struct(F.lit(kind).alias("ioc_type"), F.lower(column).alias("ioc_value"))
+    pairs = F.array(pair("ipv4", "dst_ip"), pair("domain", "domain"), pair("sha256", "sha256"))
+    rows = events.withColumn("_p", F.explode(F.filter(pairs, lambda p: p["ioc_value"].isNotNull()))).select("*", "_p.*").drop("_p")
+    wanted = iocs.select(F.col("type").alias("ioc_type"), F.lower("value").alias("ioc_value")).distinct()
+    return rows.join(F.broadcast(wanted) if few else wanted, ["ioc_type", "ioc_value"])
 
 
 def hunted(events: DataFrame, iocs: DataFrame, since: Column) -> DataFrame:

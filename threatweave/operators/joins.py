@@ -19,7 +19,7 @@ def seen_in(links: DataFrame, research: DataFrame, *, entity_type: str) -> DataF
 def provenance(links: DataFrame, sections: DataFrame, sources: DataFrame, *, entity_type: str) -> DataFrame:
     """(entity_key, research_id, source_id, publisher, quote): one row per research and source, its first quote."""
     own = links.filter(F.col("entity_type") == entity_type).select("research_id", "entity_key").distinct()
-    cited = own.join(sections, ["research_id", "entity_key"]).groupBy("entity_key", "research_id", "source_id").agg(F.min_by("quote", "pos").alias("quote"))
+    cited = own.join(sections, ["research_id", "entity_key"]).groupBy("entity_key", "research_id", "source_id").agg(F.min(F.struct("pos", "quote"))["quote"].alias("quote"))
     return cited.join(sources, ["research_id", "source_id"]).select("entity_key", "research_id", "source_id", "publisher", "quote")
 
 
