@@ -7,7 +7,8 @@ sample of the corpus's own paragraphs (``SAMPLE`` of them, by a hash of their te
 Every fourth training paragraph is held out: the score from which on a paragraph counts as a licence lies halfway between
 what the held-out plain paragraphs reach at most and what held-out notices reach at least, so that what is like none of
 the families is unknown and passed over. A prediction is confirmed by comparison with the family's notices: the share of
-the notice's words that the paragraph has must reach ``CONFIRM``; otherwise the paragraph counts as of unknown family.
+the notice's words that the paragraph has must reach ``CONFIRM``; down to ``NEAR`` the paragraph counts as a licence of
+unknown family, and below that as none.
 
 DataFrame and SQL functions only; the weights are fitted on the driver on the bounded training set and go into the scoring
 expression as a constant of fixed size.
@@ -42,7 +43,7 @@ NOTICES = {
 }
 TELLTALE = r"(?i)licen[sc]|copyright|rights reserved|permission|public domain|spdx|proprietary"
 BUCKETS, SAMPLE = 1 << 13, 3000
-CONFIRM = 0.6
+CONFIRM, NEAR = 0.6, 0.3
 SCALE = 1000
 
 
@@ -140,7 +141,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             chain = chain.when(F.col("best.family") == name, F.greatest(*best))
         return chain
 
-    return rated.withColumn("share", let(own, shares)).select("doc_id", "line", F.when(F.col("share") >= CONFIRM, F.col("best.family")).otherwise("unknown").alias("family"), F.col("share").alias("share"))
+    return rated.withColumn("share", let(own, shares)).filter(F.col("share") >= NEAR).select("doc_id", "line", F.when(F.col("share") >= CONFIRM, F.col("best.family")).otherwise("unknown").alias("family"), F.col("share").alias("share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -129,8 +129,8 @@ def votes(kind: str, text: Column, span: Column, base: Column, loose: bool) -> d
     }
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and found: an array of candidates (s, k, e, base, votes, features), for every document."""
+def candidates(docs: DataFrame, keep: str) -> DataFrame:
+    """``keep`` and found: an array of candidates (s, k, e, base, votes, features), for every document."""
     text = F.coalesce("text", F.lit(""))
     shape = "array<struct<s:int,k:int,e:int,base:boolean," + ",".join(f"{n}:int" for n in (*VOTES, "size", "form")) + ">>"
 
@@ -156,7 +156,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 found = F.filter(found, of_length(*((13, 20) if kind == "card" else (7, 17))))
             rows = F.transform(found, described(kind, loose))
             lists.append(F.when(text.rlike(needs[kind]), rows.cast(shape)).otherwise(F.array().cast(shape)))
-    return docs.select("doc_id", F.concat(*lists).alias("found"))
+    return docs.select(keep, F.concat(*lists).alias("found"))
 
 
 def em(counts: dict[tuple, int], n_votes: int) -> dict[tuple, float]:
@@ -225,9 +225,9 @@ def probability(c: Column, weights: dict[tuple, float]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: (s, k, e, base), by s and then k, of every document row."""
-    held = written(candidates(docs), "pii-candidates")
+def find_spans(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """``keep`` and spans: (s, k, e, base), by s and then k, of every document row."""
+    held = written(candidates(docs, keep), "pii-candidates")
     keys = ["k", *VOTES, "size", "form"]
     counted = held.select(F.explode("found").alias("c")).select("c.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()
     weights = train(sorted((r.asDict() for r in counted), key=lambda r: tuple(r[x] for x in keys)))
@@ -238,7 +238,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         return F.array_sort(F.transform(F.concat(sure, more), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["base"].alias("base"))))
 
     some = let(base, both)
-    return held.select("doc_id", F.when(F.size("found") > 0, some).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,base:boolean>>")).alias("spans"))
+    return held.select(keep, F.when(F.size("found") > 0, some).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,base:boolean>>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -261,9 +261,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     The candidates are found on the rows themselves, so the text never leaves its row and nothing is shuffled.
     """
-    found = find_spans(docs.withColumn("doc_id", F.struct(*[F.col(c) for c in docs.columns])))
+    found = find_spans(docs.select(F.struct(*docs.columns).alias("__row"), "text"), "__row")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    text = F.col("doc_id.text")
+    text = F.col("__row.text")
 
     def step(acc: Column, c: Column) -> Column:
         fresh = c["s"] >= acc["at"]
@@ -273,9 +273,11 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     new = F.when((F.size("spans") > 0) & text.isNotNull(), cleaned).otherwise(text)
-    out = found.select("doc_id.*", new.alias("__clean"))
-    columns = [F.col("__clean").alias("text") if c == "text" else (F.when(F.col("text") != F.col("__clean"), F.length("__clean")).otherwise(F.col("n_chars"))).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    fresh = {"text": F.col("__new")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(text.eqNullSafe(F.col("__new")), F.col("__row.n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
+    out = found.select("__row", new.alias("__new"))
+    return out.select(*[fresh.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
