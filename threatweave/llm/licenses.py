@@ -39,7 +39,7 @@ NOTICES = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC-SA 4.0"],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal, public domain dedication", "This work is in the public domain under CC0"],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "Copyright (c) the author. All rights reserved", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
+    "Proprietary": ["All rights reserved", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "Copyright (c) the author. All rights reserved", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
 }
 TELLTALE = r"(?i)licen[sc]|copyright|rights reserved|permission|public domain|spdx|proprietary"
 BUCKETS, SAMPLE = 1 << 13, 3000
