@@ -251,7 +251,7 @@ def ranked_sources(t):
 
 @query("w03_spaced_views")
 def spaced(t):
-    return rk.spaced(t.access.withColumn("k", F.col("event_id") % 20), ["k"], "seen_at", 30)
+    return rk.spaced(t.access.withColumn("k", F.col("event_id") % 3), ["k"], "seen_at", 30)
 
 
 @query("w04_busy_time", """
