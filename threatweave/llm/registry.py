@@ -6,7 +6,7 @@ from .chunk_dedup import op5_chunk_dedup
 from .decontaminate import op6_decontamination
 from .kneser_ney import op10_kneser_ney
 from .licenses import op8_licences
-from .minhash import op2_minhash_near_dedup
+from .minhash import OP2_SQL, op2_minhash_near_dedup
 from .packing import op9_packing
 from .pii import op1_pii
 from .quality_rules import op4_quality_rules
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_kneser_ney": op10_kneser_ney,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
