@@ -80,20 +80,15 @@ def v6_groups(value: Column) -> Column:
 def canonical_v6(value: Column) -> Column:
     """The shortest form: no leading zeros, the longest run of two or more zero groups (the first one) as '::'."""
 
-    def shorten(g: Column) -> Column:
-        text = F.array_join(F.transform(g, lambda x: F.lower(F.conv(x.cast("string"), 10, 16))), ":")
-        chain = None
+    def shorten(text: Column) -> Column:
+        chain = F.when(F.lit(False), text)
         for n in range(8, 1, -1):
-            for start in range(0, 9 - n):
-                run = reduce(lambda a, b: a & b, [F.get(g, F.lit(i)) == 0 for i in range(start, start + n)])
-                head = F.array_join(F.transform(F.slice(g, 1, start) if start else F.array().cast("array<int>"), lambda x: F.lower(F.conv(x.cast("string"), 10, 16))), ":")
-                rest = 8 - start - n
-                tail = F.array_join(F.transform(F.slice(g, start + n + 1, rest) if rest else F.array().cast("array<int>"), lambda x: F.lower(F.conv(x.cast("string"), 10, 16))), ":")
-                joined = F.concat(head, F.lit("::"), tail)
-                chain = F.when(run, joined) if chain is None else chain.when(run, joined)
+            run = rf"(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
+            chain = chain.when(text.rlike(run), F.regexp_replace(text, rf"^(.*?){run}(.*)$", "$1::$2"))
         return chain.otherwise(text)
 
-    return let(v6_groups(value), lambda g: F.when(g.isNotNull(), shorten(g)))
+    plain = lambda g: F.array_join(F.transform(g, lambda x: F.lower(F.hex(x))), ":")
+    return let(v6_groups(value), lambda g: F.when(g.isNotNull(), let(plain(g), shorten)))
 
 
 def public_v6(value: Column) -> Column:
