@@ -225,3 +225,18 @@ def test_kneser_ney_sums_to_one(spark):
             total += 2 ** -model.bits(flat, np.array([len(flat) - 1]))[0]
         assert total < 1.0001 and total > 0.85
     assert shards == 1
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql_agrees(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    rel = con.sql(registry.SQL[name])
+    rows = result(spark, name)
+    columns = sorted(rel.columns)
+    plain = lambda v: tuple(v) if isinstance(v, list) else v
+    at = [rel.columns.index(c) for c in columns]
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())

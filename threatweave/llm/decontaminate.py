@@ -95,3 +95,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _seed_sql(source: str, key: str) -> str:
+    rows = []
+    for n, mask in enumerate(MASKS):
+        words = ", ".join(f"w[p + {k}]" for k in mask)
+        rows.append(f"SELECT {key}, p, {n} AS m, concat_ws(' ', {words}) AS k FROM {source} WHERE p + {max(mask)} <= len(w)")
+    return " UNION ALL ".join(rows)
+
+
+#: The same result in SQL: seeds as texts, the best run by running sums.
+OP6_SQL = rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= {SPAN}),
+tp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t), bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM b),
+ts AS ({_seed_sql("tp", "doc_id")}), bs AS ({_seed_sql("bp", "item_id")}),
+d AS (SELECT DISTINCT doc_id, item_id, ts.p - bs.p AS shift FROM ts JOIN bs USING (m, k)),
+g AS (SELECT doc_id, item_id, shift, t.w AS w, b.w AS v, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(t.w) - shift) + 1)) AS q FROM d JOIN t USING (doc_id) JOIN b USING (item_id)),
+s AS (SELECT doc_id, item_id, shift, q, sum(CASE WHEN v[q] = w[q + shift] THEN 1 ELSE -{PENALTY} END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS s FROM g),
+r AS (SELECT doc_id, item_id, shift, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM s),
+f AS (SELECT doc_id, item_id, cast(max(run) AS BIGINT) AS matched FROM r GROUP BY ALL HAVING max(run) >= {NEED}),
+c AS (SELECT doc_id, count(*) AS n_items, max(matched) AS matched, list(item_id ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept, coalesce(n_items, 0) AS n_items, coalesce(matched, 0) AS matched, coalesce(item_ids, []) AS item_ids FROM documents LEFT JOIN c USING (doc_id)
+"""

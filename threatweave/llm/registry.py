@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chunk_dedup import op5_chunk_dedup
-from .decontaminate import op6_decontamination
+from .decontaminate import OP6_SQL, op6_decontamination
 from .kneser_ney import op10_kneser_ney
 from .licenses import op8_licences
 from .minhash import OP2_SQL, op2_minhash_near_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_kneser_ney": op10_kneser_ney,
 }
-SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_minhash_near_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
