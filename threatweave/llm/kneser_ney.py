@@ -37,7 +37,7 @@ SHARD_ROWS = 4_000_000
 START = "\x02"
 SCALE = 1000
 #: Bytes of text whose windows a task handles at once: its arrays take about 100 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 FACTORS = _rng.integers(0, 1 << 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -133,7 +133,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (digest of the set), sig (low 16 bits of each minimum) and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", 8 << 20):
+        for chunk in chunks(batches, "text", 4 << 20):
             rows: dict[str, list] = {"n_shingles": [], "set_id": [], "sig": [], "bands": []}
             for s in shingle_sets(chunk["text"].combine_chunks()):
                 rows["n_shingles"].append(len(s))
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
-        for chunk in chunks(batches, "text", 8 << 20):
+        for chunk in chunks(batches, "text", 4 << 20):
             sets = shingle_sets(chunk["text"].combine_chunks())
             found = []
             for a, fan, doc, role, s in zip(chunk["a"].to_pylist(), chunk["fan"].to_pylist(), chunk["doc_id"].to_pylist(), chunk["role"].to_pylist(), sets, strict=True):
@@ -208,7 +208,7 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, shingles): the full sets of the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", 8 << 20):
+        for chunk in chunks(batches, "text", 4 << 20):
             sets = [s.tobytes() for s in shingle_sets(chunk["text"].combine_chunks())]
             yield pa.RecordBatch.from_arrays([chunk["rep"].combine_chunks(), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 

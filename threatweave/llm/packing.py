@@ -30,7 +30,7 @@ from .common import table
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a block, and of a step group.
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 2 << 20
 STEP_TOKENS = 1 << 18
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, tiers: tuple[int,
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
         waiting: set[int] = set()
-        for chunk in tokens.chunks(batches, "text", 8 << 20):
+        for chunk in tokens.chunks(batches, "text"):
             ids, bounds = enc.encode(chunk["text"].combine_chunks())
             ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
             for key, a, b in zip(chunk["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -125,6 +125,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, tiers: tuple[int,
                 waiting, held = set(docs), 0
         if docs:
             yield flush(True)
+        tokens.forget(tokenizer_path)
 
     schema = pa.schema([(k, pa.int64()) for k in FIELDS])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{k} long" for k in FIELDS))

@@ -71,6 +71,7 @@ def write_token_files(docs: DataFrame, uri: str, *, tokenizer_path: str, end_id:
             valid.append(ok.astype(np.int64))
             keys.append(chunk["doc_id"].fill_null(0).to_numpy().astype(np.int64))
             sizes.append(np.diff(bounds) + 1)
+        tokens.forget(tokenizer_path)
         if out is None:
             return
         out.close()

@@ -15,7 +15,7 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Words that a worker remembers at most; then it starts anew.
 CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 
 class WordEncoder:
@@ -35,7 +35,7 @@ class WordEncoder:
         ends = np.zeros(self.n_ids, dtype=bool)
         ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.ends = ends
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
     @property
     def dtype(self) -> np.dtype:
@@ -58,7 +58,7 @@ class WordEncoder:
             if len(cuts) == len(names):
                 a = 0
                 for name, b in zip(names, cuts.tolist(), strict=True):
-                    cache[name] = ids[a:b]
+                    cache[name] = ids[a:b].tobytes()
                     a = b
             else:
                 odd += names
@@ -67,11 +67,11 @@ class WordEncoder:
                 odd.append(mark)
         if odd:
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype=self.dtype)
+                cache[w] = np.array(e.ids, dtype=self.dtype).tobytes()
         for w in words:
             if w not in cache:
                 stem, mark = PLAIN.fullmatch(w).groups()
-                cache[w] = np.concatenate([cache[stem], cache[mark]])
+                cache[w] = cache[stem] + cache[mark]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's first position among them (one more at the end). Null: empty."""
@@ -84,8 +84,8 @@ class WordEncoder:
         if missing := [w for w in words if w not in self.cache]:
             self._learn(missing)
         each = [self.cache[w] for w in words]
-        sizes = np.array([len(x) for x in each], dtype=np.int64)
-        pool = np.concatenate(each) if each else np.zeros(0, dtype=self.dtype)
+        sizes = np.array([len(x) for x in each], dtype=np.int64) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(each), dtype=self.dtype)
         first = np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[at]
@@ -100,12 +100,18 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for this file; it outlives a task."""
+    """The worker's encoder for this file; it outlives a task, the words it remembers don't."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].cache = {}
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """At a task's end: leave the memory to what the worker does next."""
+    _encoders[path].cache = {}
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Arrow batches regrouped so that a chunk's texts have about ``limit`` bytes (one text at least)."""
     held: list[pa.RecordBatch] = []
