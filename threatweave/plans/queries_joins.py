@@ -66,10 +66,10 @@ def seen_in(t):
 
 
 @query("j05_related", """
-    WITH k AS (SELECT DISTINCT rid AS id, concat(cve, '/', actor) AS k FROM mentions)
+    WITH k AS (SELECT DISTINCT rid AS id, concat(cast(partkey AS STRING), '/', cast(suppkey % 5 AS STRING)) AS k FROM mentions)
     SELECT a.id AS a, b.id AS b, list_sort(list(DISTINCT k)) AS shared FROM k a JOIN k b USING (k) WHERE a.id < b.id GROUP BY ALL""")
 def related(t):
-    keys = t.mentions.select(F.col("rid").alias("research_id"), F.concat_ws("/", "cve", "actor").alias("key"))
+    keys = t.mentions.select(F.col("rid").alias("research_id"), F.concat_ws("/", F.col("partkey").cast("string"), (F.col("suppkey") % 5).cast("string")).alias("key"))
     return jo.related(keys)
 
 
