@@ -149,6 +149,16 @@ def test_op4(spark, docs):
         assert not (failed and r["kept"])
 
 
+def test_op4_rejects_labelled_bad(spark):
+    """The score itself decides: of what passes the base rules, bad documents go and trusted ones stay."""
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = defaultdict(list)
+    for r in registry.QUERIES["op4_quality_rules"](spark, "/root/testdata/sf0.01").collect():
+        if not r["base_failed"]:
+            kept[labels.get(r["doc_id"])].append(r["kept"])
+    assert np.mean(kept[1, 0]) > 0.98 and np.mean(kept[0, 0] + kept[0, 1]) < 0.1
+
+
 def test_op5(spark, docs):
     rows = {r["doc_id"]: r for r in result(spark, "op5_chunk_dedup")}
     where = defaultdict(set)

@@ -3,8 +3,10 @@
 Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets. Two multinomials over the buckets, with add-one
 smoothing, are counted over all documents: one of the trusted documents (labelled good and not toxic), one of the whole
 corpus. A document's score is the mean log ratio of its n-grams, in 1/1024 nats and whole numbers, so that it doesn't
-depend on the order of additions. A document is kept unless the base rules fail it or its score lies more than ``MARGIN``
-below the trusted documents' quantile ``QUANTILE`` (an exact count over all of them, not a sketch).
+depend on the order of additions. A document is kept unless the base rules fail it or its score lies below the trusted
+documents' quantile ``QUANTILE`` (an exact count over all of them, not a sketch). For the quantile each trusted document is
+scored without its own fold of the trusted documents (``FOLDS`` of them, by a hash of the id), since a text that was counted
+scores higher than an equally good one that wasn't.
 
 DataFrame and SQL functions only. The table of the ratios has a fixed size (``BUCKETS`` whole numbers), so it goes into the
 scoring expression as a constant. Trusted ids are broadcast while they are few and joined by shuffle otherwise.
@@ -20,11 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, table, words_of, written
+from .common import GAP, let, table, words_of, written
 
 BUCKETS = 1 << 14
 SCALE = 1024
-QUANTILE, MARGIN = 0.001, 256
+QUANTILE, FOLDS = 0.001, 8
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BROADCAST_IDS = 1_000_000
 #: Scores are whole numbers within plus and minus this, which bounds the histogram.
@@ -79,38 +81,48 @@ def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
-def ratios(docs: DataFrame) -> list[int]:
-    """The log ratio of each bucket from ``docs`` (words, trusted)."""
-    grams = docs.select("trusted", F.explode(buckets(F.col("words"))).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+def ratios(docs: DataFrame) -> list[list[int]]:
+    """The log ratio of each bucket from ``docs`` (words, trusted, fold): without the trusted texts of fold 0, 1 ..., and from all."""
+    grams = docs.select(F.when(F.col("trusted"), F.col("fold")).alias("fold"), F.explode(buckets(F.col("words"))).alias("bucket"))
+    counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *[F.count_if(F.col("fold") == k).alias(f"good{k}") for k in range(FOLDS)]).collect()
+    raw, good = [1] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
     for row in counted:
         raw[row["bucket"]] += row["raw"]
-        good[row["bucket"]] += row["good"]
-    shift = math.log(sum(raw)) - math.log(sum(good))
+        for k in range(FOLDS):
+            good[k][row["bucket"]] = row[f"good{k}"]
+    every = [1 + sum(parts) for parts in zip(*good, strict=True)]
+    return [_ratios([n - x for n, x in zip(every, own, strict=True)], raw) for own in good] + [_ratios(every, raw)]
+
+
+def _ratios(good: list[int], raw: list[int]) -> list[int]:
     if sum(good) == BUCKETS:
         return [0] * BUCKETS
+    shift = math.log(sum(raw)) - math.log(sum(good))
     return [round(SCALE * (math.log(g) - math.log(r) + shift)) for g, r in zip(good, raw, strict=True)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, the base columns, base_failed, kept, and score (1/1024 nats an n-gram)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = flagged(texts, trusted_ids(labels)).withColumn("words", words_of(F.col("text")))
-    values = ratios(marked.select("trusted", "words"))
+    marked = flagged(texts, trusted_ids(labels)).withColumn("words", words_of(F.col("text"))).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    values = [v for one in ratios(marked.select("trusted", "fold", "words")) for v in one]
     held = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-    total = F.aggregate(buckets(F.col("words")), F.lit(0).cast("long"), lambda a, g: a + F.get(held, g))
+
+    def total(grams: Column, which: Column) -> Column:
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(held, which * BUCKETS + g))
+
+    totals = let(buckets(F.col("words")), lambda g: F.struct(total(g, F.lit(FOLDS)).alias("all"), F.when(F.col("trusted"), total(g, F.col("fold"))).alias("own")))
     n_grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
-    score = F.greatest(F.least(F.expr("total div n_grams"), F.lit(LIMIT)), F.lit(-LIMIT))
-    scored = base_columns(marked.withColumn("total", total).withColumn("n_grams", n_grams)).withColumn("score", score)
+    score = lambda part: F.greatest(F.least(F.expr(f"totals.{part} div n_grams"), F.lit(LIMIT)), F.lit(-LIMIT))
+    scored = base_columns(marked.withColumn("totals", totals).withColumn("n_grams", n_grams)).withColumn("score", score("all")).withColumn("own_score", score("own"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    scored = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", "trusted")
+    scored = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", "own_score", "trusted")
     scored = written(scored, "quality-scores")
-    counts = sorted((r["score"], r["count"]) for r in scored.filter("trusted and not base_failed").groupBy("score").count().collect())
+    counts = sorted((r["score"], r["count"]) for r in scored.filter("trusted and not base_failed").select(F.col("own_score").alias("score")).groupBy("score").count().collect())
     least, left = -LIMIT - 1, QUANTILE * sum(n for _, n in counts)
     for value, n in counts:
         if left < n:
-            least = value - MARGIN
+            least = value
             break
         left -= n
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= least)).alias("kept"), "score")
