@@ -1,7 +1,7 @@
 """The stages one after another: each works on what the one before kept."""
 
 import corpus_pipeline
-from threatweave.llm import pii
+from threatweave.llm import minhash, pii
 from threatweave.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,12 @@ def test_stages_on_odd_rows(spark, odd):
         docs = stage(spark, docs, SF)
         assert docs.columns == odd.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_near_dedup_takes_similarity_of_80(spark):
+    """Copies of 100 words, the last 10 changed: 86 of 106 shingles are common. Changed in the last 14: 82 of 110."""
+    words = [f"word{i}" for i in range(100)]
+    texts = [" ".join(words[: 100 - n] + [f"other{n}x{i}" for i in range(n)]) for n in (0, 10, 14)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0, 2}
+    assert all(r["kept"] for r in minhash.near_duplicates(docs, minhash.NEED).collect())

@@ -11,6 +11,9 @@
 5. Survivors are verified on the full sets, rebuilt from the whole texts.
 6. Links become components by least labels with pointer jumps.
 
+The threshold is a parameter, ``NEAR`` unless a caller has its own. The bands lose a pair of similarity 0.8 with a
+probability of 3e-6, one of 0.85 with 2e-9.
+
 Defined results: a text without words has an empty set and no links; a null document id has a null component and is
 kept; rows that share an id but not a text are separate documents, each in the component of its own set; an empty table
 gives no rows; extra columns are ignored.
@@ -35,7 +38,9 @@ from .tokens import chunks
 
 WORDS = 5
 ROWS, BANDS = 6, 42
-#: Similarity of 85 in 100, as integers.
+#: Similarity of 80 in 100, as integers, for all callers without a threshold of their own.
+NEAR = (80, 100)
+#: The threshold of op2_minhash_near_dedup.
 NEED = (85, 100)
 #: Chosen probability of losing a pair at the threshold, and signature values compared at once.
 MISS, BATCH = 1e-7, 36
@@ -110,14 +115,19 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-BOUNDS = [(n, least_matches(n, NEED[0] / NEED[1], MISS)) for n in range(BATCH, ROWS * BANDS + 1, BATCH)]
+def bounds_of(need: tuple[int, int]) -> list[tuple[int, int]]:
+    """After how many signature values a pair needs how many matches."""
+    return [(n, least_matches(n, need[0] / need[1], MISS)) for n in range(BATCH, ROWS * BANDS + 1, BATCH)]
+
+
+BOUNDS = bounds_of(NEED)
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def may_link(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]] = BOUNDS) -> np.ndarray:
     """Of the pairs of signatures (rows), which still can reach the threshold after all batches."""
     left = np.arange(len(a))
     same = np.zeros(len(a), dtype=np.int32)
-    for n, least in BOUNDS:
+    for n, least in bounds:
         same[left] += (a[left, n - BATCH : n] == b[left, n - BATCH : n]).sum(axis=1, dtype=np.int32)
         left = left[same[left] >= least]
     out = np.zeros(len(a), dtype=bool)
@@ -150,20 +160,21 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
 
 
-def _surviving(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _surviving(pairs: DataFrame, sigs: DataFrame, need: tuple[int, int]) -> DataFrame:
     """Candidate pairs (a, b) that pass the sequential test."""
+    bounds = bounds_of(need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                keep = may_link(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]))
+                keep = may_link(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), bounds)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold. Many b share one copy of their a, FAN of them a time."""
     pairs = written(pairs.distinct(), "minhash-pairs")
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
@@ -188,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     continue
                 for h in heads:
                     common = len(np.intersect1d(h, s, assume_unique=True))
-                    if common and NEED[1] * common >= NEED[0] * (len(h) + len(s) - common):
+                    if common and need[1] * common >= need[0] * (len(h) + len(s) - common):
                         found.append((a, doc))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -230,13 +241,14 @@ def _families(rows: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("family").agg(F.count("*").alias("size")), "family")
 
 
-def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataFrame:
     """Links (a, b) between different components of a family, verified on the full sets; enough of them to join all that link.
 
     A family of m sets is cut into blocks, and each pair of blocks is compared in one task, which holds two blocks at
     most. A pair must share a band, pass the sequential test and reach the threshold on the full sets. Components that a
     task has joined aren't compared again, so it returns less links than it has components.
     """
+    bounds = bounds_of(need)
     rows = written(_families(rows), "minhash-families")
     sets = _sets(rows.select("rep").distinct(), docs)
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -256,12 +268,12 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
             ys = right[(comps[right] != comps[x]) & ((reps[right] > reps[x]) | (i != j))]
             ys = ys[(bands[ys] == bands[x]).any(axis=1)]
             if len(ys):
-                ys = ys[may_link(np.broadcast_to(sigs[x], (len(ys), sigs.shape[1])), sigs[ys])]
+                ys = ys[may_link(np.broadcast_to(sigs[x], (len(ys), sigs.shape[1])), sigs[ys], bounds)]
             if len(ys):
                 pooled = np.concatenate([full[y] for y in ys.tolist()])
                 at = np.minimum(np.searchsorted(full[x], pooled), sizes[x] - 1)
                 common = np.add.reduceat((full[x][at] == pooled).astype(np.int64), np.cumsum(sizes[ys]) - sizes[ys])
-                for y in ys[NEED[1] * common >= NEED[0] * (sizes[x] + sizes[ys] - common)].tolist():
+                for y in ys[need[1] * common >= need[0] * (sizes[x] + sizes[ys] - common)].tolist():
                     if comps[y] != comps[x]:
                         found.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
                         comps[comps == comps[y]] = comps[x]
@@ -270,8 +282,8 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
     return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept. Sets link at a similarity of need[0] in need[1]."""
     spark = docs.sparkSession
     feats = written(features(docs), "minhash-features")
     full = feats.filter("set_id is not null and doc_id is not null")
@@ -282,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Only members of buckets with company go on.
     bands = written(every.join(centers, "bucket").select("bucket", "rep", "a"), "minhash-bands")
     pairs = bands.filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(_verified(_surviving(pairs, sigs), docs), "minhash-links")
+    links = written(_verified(_surviving(pairs, sigs, need), docs, need), "minhash-links")
     labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
     rows = written(_unsettled(bands.select("bucket", "rep"), labels), "minhash-open")
@@ -292,11 +304,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         chosen = rated.groupBy("bucket").agg(F.max(F.struct("shared", F.negative("rep").alias("low"), "comp")).alias("c"))
         stars = rated.join(chosen, "bucket").filter("comp <> c.comp").select(F.negative("c.low").alias("x"), "rep")
         stars = stars.select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct()
-        links = written(links.unionByName(_verified(_surviving(stars, sigs), docs)), "minhash-links")
+        links = written(links.unionByName(_verified(_surviving(stars, sigs, need), docs, need)), "minhash-links")
         labels = components(links, "a", "b").withColumnRenamed("id", "rep")
         rows = written(_unsettled(rows.select("bucket", "rep"), labels), "minhash-open")
         if not rows.isEmpty():
-            links = written(links.unionByName(_block_links(rows, reps, docs)), "minhash-links")
+            links = written(links.unionByName(_block_links(rows, reps, docs, need)), "minhash-links")
             labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
     owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
@@ -306,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), NEED)
 
 
 #: The same result by comparing all pairs of sets that share a shingle.
