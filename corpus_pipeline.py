@@ -13,9 +13,9 @@ from threatweave.llm.common import new_path, table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity stays within their language's threshold."""
+    """Documents whose perplexity and most surprising word stay within their language's thresholds."""
     rated = kneser_ney.quality_classifier(docs, table(spark, sf_dir, "labels"))
-    return without(docs, rated.filter("not kept").select("doc_id"))
+    return without(docs, rated.filter("not (kept and clean)").select("doc_id"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,13 @@ def test_near_dedup_takes_similarity_of_80(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0, 2}
     assert all(r["kept"] for r in minhash.near_duplicates(docs, minhash.NEED).collect())
+
+
+def test_quality_drops_bad_and_toxic(spark):
+    """What the stage leaves of labelled documents: trusted ones, few bad ones, and less than half of the toxic ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, sf).select("doc_id").collect()}
+    share = lambda want: sum(i in left for i, x in labels.items() if want(x)) / sum(map(want, labels.values()))
+    assert share(lambda x: x == (1, 0)) > 0.97 and share(lambda x: x[0] == 0) < 0.15 and share(lambda x: x == (1, 1)) < 0.5

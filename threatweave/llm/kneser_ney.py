@@ -6,12 +6,14 @@ counts of counts, for 1, 2 and 3 or more) and context sums are aggregations and
 sharded by the two characters before the last. Scoring: a task looks up the distinct windows of its texts in the
 shards, which it reads from the shared folder, one at a time when there are several.
 
-A share of the trusted documents (``FOLDS``-th part by a hash of the id) is left out of the counts; the quantile of their
-perplexities, by language, plus ``MARGIN`` is the threshold, exact over all of them; a text of n characters gets
-``SLACK / sqrt(n)`` bits more, because the mean over few characters strays. Languages with fewer than ``LEAST`` such
-documents take that of all languages.
-
-Defined results: a null or empty text has no characters, 0 bits and is kept; labels that contradict each other make a
+A share of the trusted documents (``FOLDS``-th part by a hash of the id) is left out of the counts and sets the thresholds,
+exactly and over all of them. A text's bits a character are compared with the mean of its language, in units of the spread of
+held-out texts of like length (powers of two), because the mean over few characters strays; the ``QUANTILE`` of this by language
+is the threshold of ``kept``. ``clean`` rates words beside the mean, in which a few strange ones vanish: the most surprising
+word of a text, less what the number of its words makes likely, has a threshold of its own, in the same way. Means, spreads and
+quantiles of few texts are drawn towards those of all (``DRAWN`` texts' worth), so nothing switches by size.
+
+Defined results: a null or empty text has no characters, 0 bits and is kept and clean, a text without letters is clean; labels that contradict each other make a
 document untrusted; null languages are a language of their own; without trusted documents all are kept; an empty table
 gives no rows.
 """
@@ -30,7 +32,11 @@ from .quality_rules import flagged, trusted_ids
 from .tokens import chunks
 
 ORDER = 5
-FOLDS, QUANTILE, MARGIN, SLACK, LEAST = 8, 0.995, 0.25, 10, 100
+FOLDS, QUANTILE = 8, (995, 1000)
+#: Held-out texts that the pooled mean, the spread of the next longer texts and the pooled distribution count for.
+DRAWN = {"mean": 10, "spread": 10, "quantile": 100}
+#: A word of n letters that costs ``RATE * n`` bits surprises by 0; the spread of its bits grows with the root of n + ``FEW``.
+RATE, FEW = 2.5, 4
 #: Rows of all orders that a shard holds on average at most.
 SHARD_ROWS = 4_000_000
 #: Stands before a text, so that its first characters have a context.
@@ -197,8 +203,26 @@ def shard_of(path: str, shard: int) -> Shard:
     return _shards[path, shard]
 
 
+def peaks(flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words (runs of letters) each text has, and how much the most surprising one surprises (times SCALE, whole)."""
+    own, back = np.unique(flat, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in own.tolist()], dtype=bool)[back] if len(own) else np.zeros(0, dtype=bool)
+    edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # Start marks are no letters, so a word is within one text.
+    upto = np.concatenate([[0.0], np.cumsum(bits)])
+    size = end - start
+    each = np.rint(SCALE * (upto[end] - upto[start] - RATE * size) / np.sqrt(size + FEW)).astype(np.int64)
+    of = np.searchsorted(bounds, start, side="right") - 1
+    n = np.bincount(of, minlength=len(bounds) - 1)
+    most = np.zeros(len(bounds) - 1, dtype=np.int64)
+    if len(each):
+        most[n > 0] = np.maximum.reduceat(each, np.flatnonzero(np.diff(of, prepend=-1)))
+    return n, most
+
+
 def perplexities(docs: DataFrame, path: str, shards: int, carried: list[str]) -> DataFrame:
-    """``carried`` columns, n_scored (characters) and bits (bits a character times SCALE, whole) of every document."""
+    """``carried`` columns, n_scored (characters), bits (bits a character times SCALE, whole), n_words (runs of letters) and peak of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK_BYTES):
@@ -223,45 +247,79 @@ def perplexities(docs: DataFrame, path: str, shards: int, carried: list[str]) ->
             n = np.diff(bounds) - ORDER + 1
             mean = np.rint(SCALE * sums / np.maximum(n, 1)).astype(np.int64)
             out = chunk.select(carried).combine_chunks().to_batches(max_chunksize=None)[0]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(n, pa.int64()), pa.array(mean)], names=[*carried, "n_scored", "bits"])
+            words, most = peaks(flat, bounds, bits)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(n, pa.int64()), pa.array(mean), pa.array(words, pa.int64()), pa.array(most)], names=[*carried, "n_scored", "bits", "n_words", "peak"])
 
     kept = [docs.schema[c] for c in carried]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return docs.select("text", *carried).mapInArrow(run, f"{schema}, n_scored long, bits long")
+    return docs.select("text", *carried).mapInArrow(run, f"{schema}, n_scored long, bits long, n_words long, peak long")
 
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, most): the largest bits that a document of the language may have, from ``scored`` (lang, held, bits)."""
-    held = scored.filter("held and n_scored > 0")
-    counts = held.groupBy("lang", "bits").agg(F.count("*").alias("n"))
+def beside(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``by_lang`` (of, ...) of their language."""
+    few = by_lang.count() <= 100_000
+    return rows.join(F.broadcast(by_lang) if few else by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def spreads(held: DataFrame) -> list[float]:
+    """The spread of ``held`` (n_scored, off) by floor(log2(n_scored)), each drawn towards what the next longer texts have.
+
+    A mean over half the characters has twice the variance at most, which is what a class without texts gets.
+    """
+    found = {r["k"]: (r["n"], r["squares"]) for r in held.groupBy(F.floor(F.log2("n_scored")).cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("off") * F.col("off")).alias("squares")).collect()}
+    total = sum(n for n, _ in found.values())
+    longer = sum(q for _, q in found.values()) / total if total else 1.0
+    out = [0.0] * 64
+    for k in range(63, -1, -1):
+        n, squares = found.get(k, (0, 0))
+        prior = 2 * longer if k < max(found, default=64) else longer
+        longer = max(1.0, (squares + DRAWN["spread"] * prior) / (n + DRAWN["spread"]))
+        out[k] = longer**0.5
+    return out
 
-    def quantile(rows: DataFrame, by: list[str]) -> DataFrame:
-        # One row for each whole value of bits: a table of fixed size a language.
-        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        upto = part.orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(part))
-        return rows.filter(F.col("upto") >= QUANTILE * F.col("all")).groupBy(*by).agg(F.min("bits").alias("q"), F.max("all").alias("all"))
 
-    each = quantile(counts, ["lang"]).filter(F.col("all") >= LEAST)
-    pooled = quantile(counts.groupBy("bits").agg(F.sum("n").alias("n")), [])
+def quantiles(held: DataFrame, langs: DataFrame, value: str, name: str) -> DataFrame:
+    """(of, name): by language, the quantile of ``held`` (lang, value) mixed with all languages' as if it had some more rows."""
+    counts = held.groupBy("lang", F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    pooled = counts.groupBy("value").agg(F.sum("n").alias("n"))
+    total = pooled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Weights are whole: a row of the language counts ``total``, each of all rows ``DRAWN``.
+    own = counts.select("lang", "value", (F.col("n") * total).alias("n"))
+    shared = langs.crossJoin(F.broadcast(pooled.select("value", (F.col("n") * DRAWN["quantile"]).alias("n"))))
+    part = Window.partitionBy("lang")
+    upto = part.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    rows = own.unionByName(shared).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(part))
+    return rows.filter(QUANTILE[1] * F.col("upto") >= QUANTILE[0] * F.col("all")).groupBy(F.col("lang").alias("of")).agg(F.min("value").alias(name))
+
+
+def rated(scored: DataFrame) -> DataFrame:
+    """``scored`` (lang, held, n_scored, bits, n_words, peak) with kept and clean."""
+    held = scored.filter("held and n_scored > 0")
     langs = scored.select("lang").distinct()
-    margin = round(MARGIN * SCALE)
-    base = [r["q"] for r in pooled.collect()]
-    found = langs.join(each, langs["lang"].eqNullSafe(each["lang"]), "left").select(langs["lang"], (F.coalesce("q", F.lit(base[0] if base and base[0] is not None else 1 << 40)) + margin).alias("most"))
-    return written(found, "thresholds")
+    pool = held.agg(F.sum("bits").alias("sum"), F.count("*").alias("n"), F.regr_slope("peak", F.log2(F.col("n_words") + 1)).alias("slope")).first()
+    mean = pool["sum"] / pool["n"] if pool["n"] else 0.0
+    sums = held.groupBy(F.col("lang").alias("own")).agg(F.sum("bits").alias("sum"), F.count("*").alias("n"))
+    drawn = F.round((F.coalesce("sum", F.lit(0)) + DRAWN["mean"] * F.lit(mean)) / (F.coalesce("n", F.lit(0)) + DRAWN["mean"])).cast("long")
+    means = written(langs.join(sums, F.col("lang").eqNullSafe(F.col("own")), "left").select(F.col("lang").alias("of"), drawn.alias("mean")), "means")
+    slope = round(max(0.0, pool["slope"] or 0.0))
+    rows = beside(scored, means).withColumn("off", F.col("bits") - F.col("mean")).withColumn("odd", F.col("peak") - F.round(slope * F.log2(F.col("n_words") + 1)).cast("long"))
+    spread = F.array(*[F.lit(x) for x in spreads(rows.filter("held and n_scored > 0"))])
+    rows = rows.withColumn("off", F.round(100 * F.col("off") / F.get(spread, F.floor(F.log2(F.greatest("n_scored", F.lit(1)))).cast("int"))).cast("long"))
+    for value, name in (("off", "most_off"), ("odd", "most_odd")):
+        limits = quantiles(rows.filter("held and n_scored > 0"), langs, value, name)
+        rows = beside(rows, written(limits, "thresholds"))
+    within = lambda v, most, n: (F.col(n) == 0) | F.coalesce(F.col(v) <= F.col(most), F.lit(True))
+    return rows.withColumn("kept", within("off", "most_off", "n_scored")).withColumn("clean", within("odd", "most_odd", "n_words"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a document: doc_id, lang, n_scored, bits_per_char, perplexity, kept."""
+    """One row a document: doc_id, lang, n_scored, bits_per_char, perplexity, kept (by perplexity), peak, clean (by its words)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     marked = flagged(texts, trusted_ids(labels)).withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0))
     path, shards = model(marked.filter("trusted and not held"))
     scored = written(perplexities(marked, path, shards, ["doc_id", "lang", "held"]), "perplexities")
-    limits = thresholds(scored).withColumnRenamed("lang", "of")
-    few = limits.count() <= 100_000
-    out = scored.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("of")), "left")
     bits = F.col("bits") / SCALE
-    return out.select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), (bits <= F.col("most") / SCALE + SLACK / F.sqrt(F.greatest(F.col("n_scored"), F.lit(1)))).alias("kept"))
+    return rated(scored).select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), "kept", (F.col("peak") / SCALE).alias("peak"), "clean")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
