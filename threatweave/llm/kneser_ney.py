@@ -2,9 +2,10 @@
 
 Units are characters, order ``ORDER``: any script works, and what the model holds grows with the variety of the trusted
 text. Counting: tasks count the windows of their trusted texts, Spark sums them; continuation counts, discounts (from
-counts of counts, for 1, 2 and 3 or more) and context sums are aggregations and joins over the count tables, which are
-sharded by the two characters before the last. Scoring: a task looks up the distinct windows of its texts in the
-shards, which it reads from the shared folder, one at a time when there are several.
+counts of counts, for 1, 2 and 3 or more) and context sums are aggregations and joins over the count tables, which Spark
+shards by gram. Scoring joins the same tables: documents are written in blocks of neighbouring rows, tasks list the distinct
+windows of each block, the distinct windows of all blocks get their probability by joins with the counts, order by order, and
+these go back to the blocks. A second pass over the documents reads the probabilities of its own block, and of no other.
 
 A share of the trusted documents (``FOLDS``-th part by a hash of the id) is left out of the counts and sets the thresholds,
 exactly and over all of them. A text's bits a character are compared with the mean of its language, in units of the spread of
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import freeing, new_path, table, written
 from .quality_rules import flagged, trusted_ids
 from .tokens import chunks
 
@@ -37,8 +38,8 @@ FOLDS, QUANTILE = 8, (995, 1000)
 DRAWN = {"mean": 10, "spread": 10, "quantile": 100}
 #: A word of n letters that costs ``RATE * n`` bits surprises by 0; the spread of its bits grows with the root of n + ``FEW``.
 RATE, FEW = 2.5, 4
-#: Rows of all orders that a shard holds on average at most.
-SHARD_ROWS = 4_000_000
+#: A block holds two to the power of this many documents at most: its distinct windows are what a task holds at once.
+BLOCK_BITS = 13
 #: Stands before a text, so that its first characters have a context.
 START = "\x02"
 SCALE = 1000
@@ -74,22 +75,19 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
             pad = START * (ORDER - 1)
             joined = pad + pad.join(texts)
             flat, bounds = points(texts)
-            inner = np.ones(len(flat), dtype=bool)
-            for k in range(ORDER - 1):
-                inner[bounds[:-1] + k] = False
-            at = np.flatnonzero(inner)
+            at = inner_places(flat, bounds)
             if len(at):
                 _, first, n = np.unique(codes(flat, ORDER)[at], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([joined[i - ORDER + 1 : i + 1] for i in at[first].tolist()]), pa.array(n, pa.int64())], names=["gram", "c"])
 
-    return trusted.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return trusted.select("text").mapInArrow(freeing(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def model(trusted: DataFrame) -> tuple[str, int]:
-    """Write the model's tables to the shared folder; the folder, and the number of shards.
+def model(trusted: DataFrame) -> DataFrame:
+    """The model's tables, as rows (n, kind, gram, value) in the shared folder.
 
-    Rows: (n, gram, value, kind, shard); kind 0 has the discounted probability of a gram, kind 1 the weight that a context
-    gives to the next lower order. Order 0 has the uniform probability.
+    Kind 0 has the discounted probability of a gram, kind 1 the weight that a context gives to the next lower order. Order 0
+    has the uniform probability.
     """
     spark = trusted.sparkSession
     tables = {ORDER: written(gram_counts(trusted), "grams")}
@@ -97,11 +95,9 @@ def model(trusted: DataFrame) -> tuple[str, int]:
         shorter = tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c"))
         tables[n] = written(shorter, "grams")
     rows = None
-    total = 0
     for n, grams in tables.items():
         # The discounts, from how many grams occur once to four times.
         seen = grams.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("all")).first()
-        total += seen["all"]
         n1, n2, n3, n4 = (seen[f"n{k}"] for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [min(0.95 * k, max(0.05, k - (k + 1) * y * b / a)) if a and b else min(0.75, 0.5 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
@@ -121,86 +117,103 @@ def model(trusted: DataFrame) -> tuple[str, int]:
         part = probs.withColumn("kind", F.lit(0)).unionByName(weights.withColumn("kind", F.lit(1))).withColumn("n", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.unionByName(base)
-    shards = max(1, -(-total // SHARD_ROWS))
-    # The two characters before the last decide; shorter histories are in every shard.
-    last = F.length("gram") - F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.lit(0))
-    near, far = F.ascii(F.substring("gram", last, F.lit(1))), F.ascii(F.substring("gram", last - 1, F.lit(1)))
-    own = F.pmod(near * 31 + far, F.lit(shards))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    rows = rows.withColumn("shard", F.explode(F.when(F.col("n") >= 3, F.array(own)).otherwise(every)))
     path = new_path(spark, "kneser-ney")
-    rows.select("n", "kind", "gram", "value", "shard").repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    return path, shards
-
-
-class Shard:
-    """One shard's tables, by order: sorted hashes and values of grams and of contexts."""
-
-    def __init__(self, path: str, shard: int):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(path)
-        files = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/shard={shard}")) if f.path.endswith(".parquet")]
-        self.tables: dict[tuple[int, int], list] = {(n, k): [] for n in range(1, ORDER + 1) for k in (0, 1)}
-        for f in files:
-            # One row group after another, so that only hashes and values stay.
-            source = pq.ParquetFile(f, filesystem=system)
-            for batch in source.iter_batches(100_000, columns=["n", "kind", "gram", "value"]):
-                self._add(batch)
-        for at, parts in self.tables.items():
-            keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, dtype=np.uint64)
-            values = np.concatenate([v for _, v in parts]) if parts else np.zeros(0, dtype=np.float64)
-            by = np.argsort(keys)
-            self.tables[at] = (keys[by], values[by])
-
-    def _add(self, batch: pa.RecordBatch) -> None:
-        n, kind, value = (batch[c].to_numpy() for c in ("n", "kind", "value"))
-        grams = batch["gram"].to_pylist()
-        if (n == 0).any():
-            self.floor = float(value[n == 0][0])
-        for order in range(1, ORDER + 1):
-            for k in (0, 1):
-                at = np.flatnonzero((n == order) & (kind == k))
-                size = order - k
-                keys = np.zeros(len(at), dtype=np.uint64)
-                if size and len(at):
-                    flat = np.frombuffer("".join([grams[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(at), size).astype(np.uint64)
-                    for j in range(size):
-                        keys += (flat[:, size - 1 - j] + np.uint64(1)) * FACTORS[j]
-                if len(at):
-                    self.tables[order, k].append((keys, value[at]))
-
-    def find(self, order: int, kind: int, keys: np.ndarray, absent: float) -> np.ndarray:
-        own, values = self.tables[order, kind]
-        if not len(own):
-            return np.full(len(keys), absent)
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        return np.where(own[at] == keys, values[at], absent)
-
-    def bits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of the character at each place, given those before it."""
-        p = np.full(len(ends), self.floor)
-        for order in range(1, ORDER + 1):
-            gram = np.zeros(len(ends), dtype=np.uint64)
-            context = np.zeros(len(ends), dtype=np.uint64)
-            for k in range(order):
-                gram += (flat[ends - k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
-            for k in range(order - 1):
-                context += (flat[ends - 1 - k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
-            p = self.find(order, 0, gram, 0.0) + self.find(order, 1, context, 1.0) * p
-        return -np.log2(p)
-
-
-_shards: dict[tuple[str, int], Shard] = {}
-
-
-def shard_of(path: str, shard: int) -> Shard:
-    """The last shard that this worker used stays in memory."""
-    if (path, shard) not in _shards:
-        _shards.clear()
-        _shards[path, shard] = Shard(path, shard)
-    return _shards[path, shard]
+    rows.select("n", "kind", "gram", "value").write.partitionBy("n", "kind").parquet(path)
+    return spark.read.schema("gram string, value double, n int, kind int").parquet(path)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``block``, a number of neighbouring rows, as a written table: both passes must see the same blocks."""
+    return written(docs.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "kneser-documents", "zstd")
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Chunks of texts, each of one block."""
+    for chunk in chunks(batches, "text", CHUNK_BYTES):
+        own = chunk["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(own[a]), chunk.slice(a, b - a)
+
+
+def inner_places(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The places of the texts' own characters, without the start marks."""
+    inner = np.ones(len(flat), dtype=bool)
+    for k in range(ORDER - 1):
+        inner[bounds[:-1] + k] = False
+    return np.flatnonzero(inner)
+
+
+def block_windows(docs: DataFrame) -> DataFrame:
+    """(block, gram): the distinct windows of ORDER characters of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, np.zeros(0, dtype=np.uint64)
+        for block, chunk in by_block(batches):
+            if block != at:
+                at, seen = block, np.zeros(0, dtype=np.uint64)
+            texts = [t or "" for t in chunk["text"].to_pylist()]
+            flat, bounds = points(texts)
+            ends = inner_places(flat, bounds)
+            keys, first = np.unique(codes(flat, ORDER)[ends], return_index=True)
+            new = ~np.isin(keys, seen, assume_unique=True)
+            if new.any():
+                pad = START * (ORDER - 1)
+                joined = pad + pad.join(texts)
+                grams = [joined[i - ORDER + 1 : i + 1] for i in ends[first[new]].tolist()]
+                seen = np.union1d(seen, keys[new])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["block", "gram"])
+
+    return docs.select("block", "text").mapInArrow(freeing(run), "block long, gram string")
+
+
+def probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, p) for distinct windows of ORDER characters: the last character's probability after the others.
+
+    Each order's probability is joined from the counts' table of that order and from the probability of the shorter window.
+    A key of these joins has as many rows as there are characters at most.
+    """
+
+    def of(n: int, kind: int, gram: str, value: str) -> DataFrame:
+        return model.filter((F.col("n") == n) & (F.col("kind") == kind)).select(F.col("gram").alias(gram), F.col("value").alias(value))
+
+    wanted = {ORDER: grams}
+    for n in range(ORDER - 1, 0, -1):
+        wanted[n] = wanted[n + 1].select(F.substring("gram", 2, n).alias("gram")).distinct()
+    floor, weight = of(0, 0, "gram", "value").first()["value"], of(1, 1, "gram", "value").first()["value"]
+    p = wanted[1].join(of(1, 0, "gram", "own"), "gram", "left").select("gram", (F.coalesce("own", F.lit(0.0)) + weight * floor).alias("p"))
+    for n in range(2, ORDER + 1):
+        held = wanted[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("shorter", F.substring("gram", 2, n - 1))
+        held = held.join(of(n, 0, "gram", "own"), "gram", "left").join(of(n, 1, "context", "weight"), "context", "left").join(p.withColumnRenamed("gram", "shorter"), "shorter")
+        p = held.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+    return p
+
+
+def scored_blocks(docs: DataFrame, model: DataFrame) -> str:
+    """The folder with the probability of each window of each block of ``docs``, a folder a block."""
+    windows = written(block_windows(docs), "kneser-windows")
+    p = probabilities(written(windows.select("gram").distinct(), "kneser-distinct"), model)
+    path = new_path(docs.sparkSession, "kneser-blocks")
+    windows.join(p, "gram").select("block", "gram", "p").repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def block_bits(path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a block's windows, and -log2 of their probabilities."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    keys, values = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+    for f in system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(50_000, columns=["gram", "p"]):
+                wide = np.frombuffer("".join(batch["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                keys.append(codes(wide, ORDER)[ORDER - 1 :: ORDER])
+                values.append(-np.log2(batch["p"].to_numpy()))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    by = np.argsort(key)
+    return key[by], value[by]
 
 
 def peaks(flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,29 +234,25 @@ def peaks(flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.nd
     return n, most
 
 
-def perplexities(docs: DataFrame, path: str, shards: int, carried: list[str]) -> DataFrame:
+def perplexities(docs: DataFrame, path: str, carried: list[str]) -> DataFrame:
     """``carried`` columns, n_scored (characters), bits (bits a character times SCALE, whole), n_words (runs of letters) and peak of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", CHUNK_BYTES):
+        at = None
+        for block, chunk in by_block(batches):
+            if block != at:
+                at, (keys, values) = block, block_bits(path, block)
             texts = [t or "" for t in chunk["text"].to_pylist()]
             flat, bounds = points(texts)
-            inner = np.ones(len(flat), dtype=bool)
-            for k in range(ORDER - 1):
-                inner[bounds[:-1] + k] = False
-            ends = np.flatnonzero(inner)
+            ends = inner_places(flat, bounds)
             bits = np.zeros(len(flat))
             if len(ends):
-                _, first, back = np.unique(codes(flat, ORDER)[ends], return_index=True, return_inverse=True)
-                at = ends[first]
-                own = (flat[at - 1].astype(np.int64) * 31 + flat[at - 2].astype(np.int64)) % shards
-                each = np.zeros(len(at))
-                for s in range(shards):
-                    mine = np.flatnonzero(own == s)
-                    if len(mine):
-                        each[mine] = shard_of(path, s).bits(flat, at[mine])
-                bits[ends] = each[back]
-            sums = np.add.reduceat(bits, bounds[:-1]) if len(texts) else np.zeros(0)
+                own, back = np.unique(codes(flat, ORDER)[ends], return_inverse=True)
+                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                if not (keys[place] == own).all():
+                    raise RuntimeError(f"block {block} has windows that were not scored")
+                bits[ends] = values[place][back]
+            sums = np.add.reduceat(bits, bounds[:-1])
             n = np.diff(bounds) - ORDER + 1
             mean = np.rint(SCALE * sums / np.maximum(n, 1)).astype(np.int64)
             out = chunk.select(carried).combine_chunks().to_batches(max_chunksize=None)[0]
@@ -252,7 +261,7 @@ def perplexities(docs: DataFrame, path: str, shards: int, carried: list[str]) ->
 
     kept = [docs.schema[c] for c in carried]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return docs.select("text", *carried).mapInArrow(run, f"{schema}, n_scored long, bits long, n_words long, peak long")
+    return docs.select("block", "text", *carried).mapInArrow(freeing(run), f"{schema}, n_scored long, bits long, n_words long, peak long")
 
 
 def beside(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
@@ -316,8 +325,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: doc_id, lang, n_scored, bits_per_char, perplexity, kept (by perplexity), peak, clean (by its words)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     marked = flagged(texts, trusted_ids(labels)).withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0))
-    path, shards = model(marked.filter("trusted and not held"))
-    scored = written(perplexities(marked, path, shards, ["doc_id", "lang", "held"]), "perplexities")
+    marked = blocks(marked)
+    path = scored_blocks(marked, model(marked.filter("trusted and not held")))
+    scored = written(perplexities(marked, path, ["doc_id", "lang", "held"]), "perplexities")
     bits = F.col("bits") / SCALE
     return rated(scored).select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), "kept", (F.col("peak") / SCALE).alias("peak"), "clean")
 
