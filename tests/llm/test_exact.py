@@ -79,6 +79,33 @@ def test_sequential_test_keeps_similar_signatures():
     assert may_link(a, near).all() and not may_link(a, far).any() and BOUNDS[0][1] < BOUNDS[-1][1]
 
 
+@pytest.mark.parametrize("family", [20_000, 3])
+def test_op2_families(spark, family, monkeypatch):
+    """Chains of near copies that the stars leave open, in families beyond the bound and in several blocks."""
+    from threatweave.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 220)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.integers(0, 220, rng.integers(0, 8)):
+            w[at] = f"v{rng.integers(0, 10_000)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.near_duplicates(docs, minhash.NEED, family=family).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == label
+
+
 @pytest.fixture(scope="module")
 def encoded(docs):
     from tokenizers import Tokenizer
@@ -122,6 +149,26 @@ def test_op9(spark, encoded):
         assert at <= 4096
         padded += 0 if at & (at - 1) == 0 else 4096 - at
     assert padded <= 4096
+    groups = Counter()
+    for r in rows:
+        if r["offset"] == 0:
+            groups[r["step_group"]] += r["tier"]
+    assert max(groups.values()) - min(groups.values()) <= 4096
+
+
+def test_step_groups_are_balanced(spark):
+    """Over many tasks with windows of all tiers, groups differ by one window at most."""
+    from threatweave.llm import packing
+
+    texts = [(i, "river stone " * (i * 37 % 900 + 1)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows = packing.pack(docs, tokenizer_path=tokens.default_path(), end_id=2, block_tokens=20_000, step_tokens=30_000).collect()
+    groups, windows = Counter(), {}
+    for r in rows:
+        windows[r["sequence_id"]] = (r["step_group"], r["tier"])
+    for g, tier in windows.values():
+        groups[g] += tier
+    assert len(groups) == round(sum(groups.values()) / 30_000) and max(groups.values()) - min(groups.values()) <= 4096
 
 
 def test_word_cache_equals_the_library():
@@ -225,16 +272,57 @@ def test_kneser_ney_sums_to_one(spark):
     from threatweave.llm import kneser_ney as kn
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abracadabra abra cadabra", "banana bandana", "abba cab dab"] * 3)], "doc_id long, text string")
-    path, shards = kn.model(docs)
-    model = kn.Shard(path, 0)
     seen = sorted(set("".join(["abracadabra abra cadabra", "banana bandana", "abba cab dab"])))
-    for context in ("abra", "bana", "zzzz"):
-        total = 0.0
-        for c in seen:
-            flat, _ = kn.points([context + c])
-            total += 2 ** -model.bits(flat, np.array([len(flat) - 1]))[0]
-        assert total < 1.0001 and total > 0.85
-    assert shards == 1
+    grams = spark.createDataFrame([(context + c,) for context in ("abra", "bana", "zzzz") for c in seen], "gram string")
+    totals = defaultdict(float)
+    for r in kn.probabilities(grams, kn.model(docs)).collect():
+        totals[r["gram"][:-1]] += r["p"]
+    assert len(totals) == 3 and all(0.85 < total < 1.0001 for total in totals.values())
+
+
+def kneser_ney_by_hand(trusted, order=5):
+    """A function (window -> probability), straight from the definitions."""
+    tables = {order: Counter(t[k : k + order] for t in ("\x02" * (order - 1) + t for t in trusted) for k in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    cut = {}
+    for n, grams in tables.items():
+        n1, n2, n3, n4 = (sum(c == k for c in grams.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        cut[n] = [min(0.95 * k, max(0.05, k - (k + 1) * y * b / a)) if a and b else min(0.75, 0.5 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    def p(window):
+        n = len(window)
+        if n == 0:
+            return 1 / (len(tables[1]) + 1)
+        held = {g: c for g, c in tables[n].items() if g[:-1] == window[:-1]}
+        if not held:
+            return p(window[1:])
+        off = lambda c: cut[n][min(c, 3) - 1]
+        own = held.get(window, 0)
+        return ((own - off(own) if own else 0) + sum(map(off, held.values())) * p(window[1:])) / sum(held.values())
+
+    return p
+
+
+def test_kneser_ney_by_hand(spark):
+    """Bits of documents over several blocks equal those of the definitions."""
+    from threatweave.llm import kneser_ney as kn
+
+    trusted = ["abracadabra abra cadabra", "banana bandana", "abba cab dab", "a banana"] * 2
+    p = kneser_ney_by_hand(trusted)
+    texts = ["banana", "xyz abra", "", None, "dab dab", "cabana \U0001f600"] * 3
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    model = kn.model(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    marked = kn.blocks(docs)
+    assert marked.select("block").distinct().count() > 1
+    rows = kn.perplexities(marked, kn.scored_blocks(marked, model), ["doc_id"]).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        padded = "\x02" * 4 + t
+        bits = [-np.log2(p(padded[k : k + 5])) for k in range(len(t))]
+        assert r["n_scored"] == len(t) and abs(r["bits"] - 1000 * (np.mean(bits) if t else 0)) <= 1
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import freeing, table, written
 from .tokens import chunks
 
 CUT_BITS, LEAST, MOST = 5, 24, 160
@@ -91,7 +91,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             spot = (start << (LENGTH_BITS + TAG_BITS)) | ((end - start) << TAG_BITS) | tags[take]
             yield pa.RecordBatch.from_arrays([ids, pa.array(spot, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "spot", "high", "low"])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, spot long, high long, low long")
+    return docs.select("doc_id", "tag", "text").mapInArrow(freeing(run), "doc_id long, spot long, high long, low long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:

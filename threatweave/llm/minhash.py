@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import freeing, table, written
 from .graph import components
 from .tokens import chunks
 
@@ -157,7 +157,7 @@ def features(docs: DataFrame) -> DataFrame:
                         rows[k].append(None)
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), pa.array(rows["n_shingles"], pa.int64()), pa.array(rows["set_id"], pa.binary()), pa.array(rows["sig"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64()))], names=["doc_id", *rows])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(run), "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
 
 
 def _surviving(pairs: DataFrame, sigs: DataFrame, need: tuple[int, int]) -> DataFrame:
@@ -171,7 +171,7 @@ def _surviving(pairs: DataFrame, sigs: DataFrame, need: tuple[int, int]) -> Data
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(freeing(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataFrame:
@@ -205,7 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     joined = wanted.join(texts, "doc_id").select("a", "fan", "doc_id", "role", "text").repartition("a", "fan").sortWithinPartitions("a", "fan", "role")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(freeing(run), "a long, b long")
 
 
 def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,23 +225,35 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     few = reps.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep")
-    return written(texts.mapInArrow(run, "rep long, shingles binary"), "minhash-sets")
+    return written(texts.mapInArrow(freeing(run), "rep long, shingles binary"), "minhash-sets")
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """(family, rep, comp, size): open buckets joined into families of sets that share some, so that a pair meets once.
+def _families(rows: DataFrame, most: int) -> DataFrame:
+    """(family, rep, comp, blocks): open buckets joined into families of sets that share some, so that a pair meets once.
 
-    A family of more than ``FAMILY`` sets stays apart by its buckets, whose pairs are fewer.
+    A family of more than ``most`` sets stays apart by its buckets, whose pairs are fewer. Only families of more than one
+    block are looked up, of which there are few, so that no exchange deals the rows by their family.
     """
     low = rows.groupBy("bucket").agg(F.min("rep").alias("low"))
     kin = components(rows.join(low, "bucket").filter("rep <> low").select("rep", "low").distinct(), "rep", "low").withColumnsRenamed({"id": "rep", "comp": "family"})
-    joined = rows.join(kin, "rep")
-    sizes = joined.groupBy("family").agg(F.count_distinct("rep").alias("members"))
-    keyed = joined.join(sizes, "family").select(F.when(F.col("members") <= FAMILY, F.col("family")).otherwise(F.col("bucket")).alias("family"), "rep", "comp").distinct()
-    return keyed.join(keyed.groupBy("family").agg(F.count("*").alias("size")), "family")
+    joined = written(rows.join(kin, "rep").select("bucket", "rep", "comp", "family"), "minhash-kin")
+    large = _sized(joined.select("family", "rep").distinct(), most)
+    keyed = _beside(joined, large, "family").select(F.when(F.col("size").isNull(), F.col("family")).otherwise(F.col("bucket")).alias("family"), "rep", "comp").distinct()
+    keyed = written(keyed, "minhash-keyed")
+    return _beside(keyed, _sized(keyed, BLOCK), "family").select("family", "rep", "comp", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
 
 
-def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataFrame:
+def _sized(rows: DataFrame, more_than: int) -> DataFrame:
+    """(of, size) of the families with more than so many rows; counted in parts before they are dealt."""
+    return written(rows.groupBy(F.col("family").alias("of")).agg(F.count("*").alias("size")).filter(F.col("size") > more_than), "minhash-sizes")
+
+
+def _beside(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    few = sizes.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(sizes) if few else sizes, rows[key] == sizes["of"], "left")
+
+
+def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[int, int], most: int) -> DataFrame:
     """Links (a, b) between different components of a family, verified on the full sets; enough of them to join all that link.
 
     A family of m sets is cut into blocks, and each pair of blocks is compared in one task, which holds two blocks at
@@ -249,10 +261,10 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[
     task has joined aren't compared again, so it returns less links than it has components.
     """
     bounds = bounds_of(need)
-    rows = written(_families(rows), "minhash-families")
+    rows = written(_families(rows, most), "minhash-families")
     sets = _sets(rows.select("rep").distinct(), docs)
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(reps.select("rep", "sig", "bands"), "rep").join(sets, "rep")
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
@@ -282,7 +294,7 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[
     return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int = FAMILY) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. Sets link at a similarity of need[0] in need[1]."""
     spark = docs.sparkSession
     feats = written(features(docs), "minhash-features")
@@ -308,7 +320,7 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR) -> DataFrame:
         labels = components(links, "a", "b").withColumnRenamed("id", "rep")
         rows = written(_unsettled(rows.select("bucket", "rep"), labels), "minhash-open")
         if not rows.isEmpty():
-            links = written(links.unionByName(_block_links(rows, reps, docs, need)), "minhash-links")
+            links = written(links.unionByName(_block_links(rows, reps, docs, need, family)), "minhash-links")
             labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
     owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))

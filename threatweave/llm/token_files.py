@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_path, table
+from .common import freeing, new_path, table
 
 READ_DOCS = 4096
 
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, uri: str, *, tokenizer_path: str, end_id:
     system.create_dir(path, recursive=True)
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-    ordered.mapInArrow(write, "part long, ids_file string, idx_file string, dtype string, n_docs long, n_tokens long").write.parquet(f"{uri}/written")
+    ordered.mapInArrow(freeing(write), "part long, ids_file string, idx_file string, dtype string, n_docs long, n_tokens long").write.parquet(f"{uri}/written")
     # One row a file: the prefix sum over them is small however large the corpus.
     files = spark.read.parquet(f"{uri}/written")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +112,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[a:b], mask=valid[a:b] == 0), "start": at[:-1] + row["base"], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     files = spark.read.parquet(f"{uri}/manifest")
-    return files.repartition(max(1, files.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, files.count()), "part").mapInArrow(freeing(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
