@@ -1,25 +1,27 @@
 """Operator 1: personal data by weak supervision.
 
-Base spans come from fixed patterns and checks. Further candidates are what the patterns find but the checks refuse, and
-looser forms (written-out e-mail addresses, phone numbers without a country code). Five labelers vote on every candidate,
-for (+1), against (-1) or not at all (0):
+Base spans come from fixed patterns and checks. Further candidates are what the patterns find but the checks refuse, looser
+forms (written-out e-mail addresses, phone numbers without a country code), and secrets: values of passwords and keys, and long
+runs of token characters. Five labelers vote on every candidate, for (+1), against (-1) or not at all (0):
 
-- regex: the base check holds, or refuses a form that the base pattern found
-- gazetteer: known top-level domains, card prefixes, phone prefixes, address blocks in public use
-- context: telling words shortly before (for: "mail", "call", "card"; against: "version", "order", "id")
-- shape: runs of one digit or counting digits speak against
-- border: a letter or digit right beside the candidate speaks against
+- regex: the base check holds, or refuses a form that the base pattern found; for secrets, formats of well-known keys and digests
+- gazetteer: top-level domains in use and reserved ones, card issuers' prefixes, address blocks, dialling prefixes, names that
+  secrets have, and names of values that only look like secrets
+- context: telling words shortly before, in the four languages of the corpus
+- shape: variety of the characters; runs of one digit or counting digits speak against
+- border: quotes, brackets, colons and equals signs beside it speak for a value, letters and digits against
 
 Expectation-maximisation over the counts of vote patterns estimates, for each kind, how common personal data is and how
 reliable each labeler is (votes are independent given the truth). Its posteriors are the soft labels of the final span
 classifier, a logistic regression on votes and shape features. Both are fitted on counts of patterns, whose number is bounded by
-the feature values (``4 * 3**5 * 5 * 3``), not by the corpus. Candidates with a probability of ``CERTAIN`` or more that
+the feature values (``5 * 3**5 * 5 * 3``), not by the corpus. Candidates with a probability of ``CERTAIN`` or more that
 don't touch a base span of any kind become added spans; base spans always stay.
 
 DataFrame and SQL functions only; the fit is arithmetic on the driver over the counted patterns.
 
 Defined results: a null text is an empty one; without candidates there are no added spans; rows that repeat are judged
-each; an empty table gives no rows; extra columns are ignored.
+each; ties (spans that start at one place) stand in the order of ``KINDS``; very long texts are searched whole; an empty table
+gives no rows; extra columns are ignored, and ``redact`` keeps them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import let, table, written
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds with base spans, and the one that only the method adds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: The fixed patterns. Runs are possessive and start where no earlier start in the same run can match, so that long runs
 #: cost linear time; what they find is what the plain forms find.
 PATTERNS = {
@@ -41,27 +45,37 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What secrets are called, and what values are called that only look like secrets.
+SECRET_NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?key|credentials?|bearer|auth|passwort|kennwort|geheimnis|mot de passe|jeton|contrase(?:ñ|n)a|clave"
+HARMLESS_NAMES = r"sha-?[0-9]*|md5|crc|commit|checksum|hash|digest|uuid|guid|etag|revision|rev|build|blob|serial|isbn|doi"
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
+    "email": r"[A-Za-z0-9._%+-]++ ?(?:[\[(](?:at|AT)[\])]| at (?=[A-Za-z0-9-]+ dot )) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]|(?<= )dot(?= )) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "secret": rf"(?<=(?i:{SECRET_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}+=*+",
 }
 #: Texts that can't hold a match are not searched.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
+LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]| at ", "phone": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"[A-Za-z0-9+/_-]{16}|(?i:pass|pwd|secret|token|key|cred|auth|bearer|wort|geheim|jeton|contrase|clave)"}
+#: For, and against.
 GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co|us|ca|ch|at|it|nl)$",
-    "ip": r"^(?!0|127\.|255\.|22[4-9]\.|2[3-5][0-9]\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|36|35)",
-    "phone": r"^(?:\+(?:1|3[0-9]|4[0-9]|6[0-9]|7|8[0-9]|9[0-9]|2[0-9])|\(?[2-9][0-9]{2})",
+    "email": (r"(?i)(?:\.|dot[\])]? ?)(?:com|org|net|edu|gov|mil|info|io|dev|app|biz|eu|de|at|ch|fr|be|lu|es|mx|ar|cl|co|pe|uk|ie|us|ca|au|nz|it|nl|pt|pl|se|no|fi|dk|cz|jp|cn|in|br|ru|za)$", r"(?i)\.(?:test|invalid|localhost|local|png|jpe?g|gif|js|css|py|txt)$"),
+    "ip": (r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|[1-9][0-9]?\.[0-9]{2,3}\.|1[0-9]{2}\.|2[01][0-9]\.|22[0-3]\.)", r"^(?:0|127\.|255\.|22[4-9]\.|2[3-5][0-9]\.|[0-9]\.[0-9]\.)|[0-9]{4}"),
+    "card": (r"^(?:4|5[1-5]|2[2-7]|3[47]|30|36|38|6011|64|65|35|62)", r"^(?:0|1|7|8|9)"),
+    "phone": (r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-9]{2})", r"^(?:\+0|\(?[01][0-9]{2}|\(?555[ )-])"),
+    "secret": (rf"(?i)(?:{SECRET_NAMES})\W{{0,5}}$", rf"(?i)(?:{HARMLESS_NAMES})\W{{0,5}}$"),
 }
 FOR = {
-    "email": r"(?i)mail|contact|write|reach|correo|courriel|kontakt",
-    "ip": r"(?i)\bip\b|address|host|server|login|adresse|direcci",
-    "card": r"(?i)card|visa|master|amex|credit|debit|tarjeta|carte|karte",
-    "phone": r"(?i)phone|call|tel|mobile|fax|cell|t[ée]l[ée]|anruf|ll[aá]m",
+    "email": r"(?i)mail|contact|write|reach|reply|correo|escr[ií]b|courriel|[ée]cri(?:re|vez)|kontakt|schreib|erreich",
+    "ip": r"(?i)\bip\b|address|host|server|login|client|adresse|direcci|servidor|serveur",
+    "card": r"(?i)card|visa|master|amex|credit|debit|pay|tarjeta|pago|carte|paiement|karte|zahl",
+    "phone": r"(?i)phone|call|\btel|mobile|\bfax|\bcell|dial|text me|t[ée]l[ée]|appel|anruf|ruf|handy|ll[aá]m|m[oó]vil",
+    "secret": r"(?i)login|user|sign in|access|connect|export |env|config|zugang|anmeld|acc[eè]s|connexion|acceso|usuario",
 }
-AGAINST = r"(?i)version|\bv\.?\s*$|order|\bid\b|\bref|isbn|section|ticket|invoice|\bno\.\s*$|#\s*$"
-CERTAIN = 0.95
+AGAINST = r"(?i)version|\bv\.?\s*$|order|\bid\b|\bref|isbn|section|ticket|invoice|\bno\.\s*$|#\s*$|bestell|rechnung|commande|facture|pedido|factura|https?://\S*$"
+#: Formats of keys and of digests that serve as keys.
+KEY_FORMS = r"^(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{20,}|sk-[\w-]{16,}|xox[abpr]-[\w-]{10,}|AIza[\w-]{20,}|eyJ[\w-]{10,}.*|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
+UUID = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+CERTAIN = 0.9
 CONTEXT = 40
 ROUNDS, STEPS = 30, 400
 VOTES = ("v_regex", "v_gazetteer", "v_context", "v_shape", "v_border")
@@ -116,14 +130,19 @@ def votes(kind: str, text: Column, span: Column, base: Column, loose: bool) -> d
     value, d = span["v"], digits(span["v"])
     before = F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT)))
     left, right = F.when(span["s"] > 0, F.substring(text, span["s"], F.lit(1))).otherwise(" "), F.substring(text, span["e"] + 1, F.lit(1))
+    vote = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
+    secret = kind == "secret"
+    named = before if secret else value
     flat = d.rlike(r"([0-9])\1{6}") | d.rlike("0123456|1234567|2345678|3456789|9876543")
-    sign = lambda yes, no=None: F.when(yes, F.lit(1)).otherwise(F.lit(0) if no is None else F.when(no, F.lit(-1)).otherwise(F.lit(0)))
+    kinds = F.size(F.array_distinct(F.split(value, "")))
+    varied = (kinds >= 9) if secret else (kinds >= 5)
+    rule = vote(value.rlike(KEY_FORMS), value.rlike(UUID)) if secret else F.lit(0) if loose else vote(base, ~base)
     return {
-        "v_regex": F.lit(0) if loose else sign(base, ~base),
-        "v_gazetteer": sign(value.rlike(GAZETTEER[kind]), ~value.rlike(GAZETTEER[kind])),
-        "v_context": sign(before.rlike(FOR[kind]), before.rlike(AGAINST)),
-        "v_shape": F.when(flat, F.lit(-1)).otherwise(F.lit(0)),
-        "v_border": F.when(left.rlike(r"[\p{L}\p{N}]") | right.rlike(r"[\p{L}\p{N}]"), F.lit(-1)).otherwise(F.lit(1)),
+        "v_regex": rule,
+        "v_gazetteer": vote(named.rlike(GAZETTEER[kind][0]), named.rlike(GAZETTEER[kind][1])),
+        "v_context": vote(before.rlike(FOR[kind]) & ~before.rlike(AGAINST), before.rlike(AGAINST)),
+        "v_shape": vote(varied & ~flat, flat | ~varied),
+        "v_border": vote(left.rlike(r"[\"'=:<(\[]") | right.rlike(r"[\"'>)\]]"), left.rlike(r"[\p{L}\p{N}/]") | right.rlike(r"[\p{L}\p{N}/]")),
         "size": F.least(F.floor(F.length(value) / 8), F.lit(4)).cast("int"),
         "form": F.when(F.lit(loose), F.lit(2)).when(value.rlike(r"[\x20()-]"), F.lit(1)).otherwise(F.lit(0)),
     }
@@ -154,6 +173,9 @@ def candidates(docs: DataFrame, keep: str) -> DataFrame:
             if kind in ("card", "phone") and not loose:
                 # Numbers of other lengths are neither cards nor phones, and no candidates.
                 found = F.filter(found, of_length(*((13, 20) if kind == "card" else (7, 17))))
+            if kind == "secret":
+                # Words and plain numbers are no secrets, whatever stands before them.
+                found = F.filter(found, lambda span: span["v"].rlike("[0-9]") & span["v"].rlike("[A-Za-z]"))
             rows = F.transform(found, described(kind, loose))
             lists.append(F.when(text.rlike(needs[kind]), rows.cast(shape)).otherwise(F.array().cast(shape)))
     return docs.select(keep, F.concat(*lists).alias("found"))
@@ -252,8 +274,9 @@ def digest(found: DataFrame) -> DataFrame:
     def of_kind(i: int):
         return lambda c: c["base"] & (c["k"] == i)
 
-    counts = [F.size(F.filter("spans", of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda c: ~c["base"])).cast("long").alias("n_added"))
+    counts = [F.size(F.filter("spans", of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE_KINDS)]
+    more = [F.size(F.filter("spans", lambda c: ~c["base"])).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_private")]
+    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:
