@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A word of Latin-1 letters and the marks after it. The letters are one piece for the tokenizer, the marks another.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of Latin-1 letters. With a mark after it the tokenizer makes the word one piece and the mark another, so the mark is
+#: cut off before words are told apart.
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])( |$)"
 #: Words that a worker remembers at most; then it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text that are encoded at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 
 class WordEncoder:
@@ -42,48 +43,39 @@ class WordEncoder:
         """The narrowest unsigned integer that holds every id."""
         return np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        cache, stems, odd = self.cache, {}, []
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                odd.append(w)
-            elif m[1] not in cache:
-                stems[m[1]] = None
-        if stems:
+    def _learn(self, words: list[str], plain: np.ndarray) -> None:
+        """Remember the ids of new words; ``plain`` tells which are letters alone."""
+        cache = self.cache
+        names = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        odd = [w for w, p in zip(words, plain.tolist(), strict=True) if not p]
+        if names:
             # One text of plain words: each ends with the only token that closes a word.
-            names = list(stems)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(names):
-                a = 0
-                for name, b in zip(names, cuts.tolist(), strict=True):
-                    cache[name] = ids[a:b].tobytes()
-                    a = b
+                data, size = ids.tobytes(), self.dtype.itemsize
+                ends = (cuts * size).tolist()
+                cache.update(zip(names, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 odd += names
-        for mark in ".,":
-            if mark not in cache:
-                odd.append(mark)
         if odd:
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 cache[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for w in words:
-            if w not in cache:
-                stem, mark = PLAIN.fullmatch(w).groups()
-                cache[w] = cache[stem] + cache[mark]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's first position among them (one more at the end). Null: empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, MARKED, r"\1 \2\3"), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        if missing := [w for w in words if w not in self.cache]:
-            self._learn(missing)
-        each = [self.cache[w] for w in words]
+        cache = self.cache
+        new = np.array([w not in cache for w in words], dtype=bool)
+        if new.any():
+            plain = pc.match_substring_regex(coded.dictionary, PLAIN).to_numpy(zero_copy_only=False)
+            self._learn([w for w, n in zip(words, new.tolist(), strict=True) if n], plain[new])
+        each = [cache[w] for w in words]
         sizes = np.array([len(x) for x in each], dtype=np.int64) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(each), dtype=self.dtype)
         first = np.cumsum(sizes) - sizes
