@@ -49,13 +49,14 @@ PATTERNS = {
 SECRET_NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?key|credentials?|bearer|auth|passwort|kennwort|geheimnis|mot de passe|jeton|contrase(?:ñ|n)a|clave"
 HARMLESS_NAMES = r"sha-?[0-9]*|md5|crc|commit|checksum|hash|digest|uuid|guid|etag|revision|rev|build|blob|serial|isbn|doi"
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++ ?(?:[\[(](?:at|AT)[\])]| at (?=[A-Za-z0-9-]+ dot )) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]|(?<= )dot(?= )) ?[A-Za-z0-9-]++)++",
+    "email": r"[A-Za-z0-9._%+-]++ ?(?:[\[(](?:at|AT)[\])]| at (?=[A-Za-z0-9-]++ dot )) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]|(?<= )dot(?= )) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
-    "secret": rf"(?<=(?i:{SECRET_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}+=*+",
+    # A value has a digit, which is looked for before its name is.
+    "secret": rf"(?<=[=:\s\"'])(?=[^\s\"'<>,;0-9]{{0,60}}+[0-9])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{SECRET_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;]{{6,}}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{16,}}+=*+",
 }
 #: Texts that can't hold a match are not searched.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]| at ", "phone": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"[A-Za-z0-9+/_-]{16}|(?i:pass|pwd|secret|token|key|cred|auth|bearer|wort|geheim|jeton|contrase|clave)"}
+LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]| at [A-Za-z0-9-]++ dot ", "phone": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"[=:]\s{0,2}[\"']?[^\s\"'<>,;0-9]{0,60}+[0-9]|(?<![A-Za-z0-9+/_=-])[A-Za-z+/_-]{0,60}+[0-9][A-Za-z0-9+/_-]{15}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]++[0-9]"}
 #: For, and against.
 GAZETTEER = {
     "email": (r"(?i)(?:\.|dot[\])]? ?)(?:com|org|net|edu|gov|mil|info|io|dev|app|biz|eu|de|at|ch|fr|be|lu|es|mx|ar|cl|co|pe|uk|ie|us|ca|au|nz|it|nl|pt|pl|se|no|fi|dk|cz|jp|cn|in|br|ru|za)$", r"(?i)\.(?:test|invalid|localhost|local|png|jpe?g|gif|js|css|py|txt)$"),
