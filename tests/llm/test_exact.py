@@ -250,6 +250,21 @@ def test_op7(spark, docs):
     assert max(abs(s - mean) for s in sizes.values()) <= max(largest, 0.05 * mean)
 
 
+def test_op7_keeps_equal_texts_together(spark):
+    """Groups of equal texts lie in one shard; only one that is larger than a shard's share of deviation is spread."""
+    from threatweave.llm import sharding
+
+    texts = [(i, f"text {i // 3} " + "x" * (i // 3 * 53 % 400), "en") for i in range(3000)] + [(10_000 + i, "hot " * 100, "en") for i in range(900)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()
+    held, where = Counter(), defaultdict(set)
+    for r in rows:
+        held[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    mean = sum(held.values()) / 8
+    assert all(abs(n - mean) <= 0.05 * mean for n in held.values())
+    assert sorted(len(x) for x in where.values())[:-1] == [1] * 1000 and max(len(x) for x in where.values()) > 1
+
+
 def test_op8(spark, docs):
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT"}
     found = {r["doc_id"]: set(r["families"]) for r in result(spark, "op8_licences")}
@@ -273,10 +288,10 @@ def test_kneser_ney_sums_to_one(spark):
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abracadabra abra cadabra", "banana bandana", "abba cab dab"] * 3)], "doc_id long, text string")
     seen = sorted(set("".join(["abracadabra abra cadabra", "banana bandana", "abba cab dab"])))
-    grams = spark.createDataFrame([(context + c,) for context in ("abra", "bana", "zzzz") for c in seen], "gram string")
+    windows = [context + c for context in ("abra", "bana", "zzzz") for c in seen]
     totals = defaultdict(float)
-    for r in kn.probabilities(grams, kn.model(docs)).collect():
-        totals[r["gram"][:-1]] += r["p"]
+    for r in kn.probabilities(spark.createDataFrame(list(enumerate(windows)), "key long, gram string"), kn.model(docs)).collect():
+        totals[windows[r["key"]][:-1]] += r["p"]
     assert len(totals) == 3 and all(0.85 < total < 1.0001 for total in totals.values())
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ def codes(flat: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each occurs first, and each place's number among them."""
+    back, own = pd.factorize(keys)
+    first = np.empty(len(own), dtype=np.int64)
+    first[back[::-1]] = np.arange(len(keys))[::-1]
+    return own, first, back
+
+
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """(gram, c): how often each window of ORDER characters occurs in the texts."""
 
@@ -77,7 +86,8 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
             flat, bounds = points(texts)
             at = inner_places(flat, bounds)
             if len(at):
-                _, first, n = np.unique(codes(flat, ORDER)[at], return_index=True, return_counts=True)
+                _, first, back = distinct(codes(flat, ORDER)[at])
+                n = np.bincount(back)
                 yield pa.RecordBatch.from_arrays([pa.array([joined[i - ORDER + 1 : i + 1] for i in at[first].tolist()]), pa.array(n, pa.int64())], names=["gram", "c"])
 
     return trusted.select("text").mapInArrow(freeing(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -145,7 +155,7 @@ def inner_places(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def block_windows(docs: DataFrame) -> DataFrame:
-    """(block, gram): the distinct windows of ORDER characters of each block."""
+    """(block, key, gram): the distinct windows of ORDER characters of each block, and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen = None, np.zeros(0, dtype=np.uint64)
@@ -155,20 +165,23 @@ def block_windows(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in chunk["text"].to_pylist()]
             flat, bounds = points(texts)
             ends = inner_places(flat, bounds)
-            keys, first = np.unique(codes(flat, ORDER)[ends], return_index=True)
-            new = ~np.isin(keys, seen, assume_unique=True)
+            keys, first, _ = distinct(codes(flat, ORDER)[ends])
+            new = np.ones(len(keys), dtype=bool)
+            if len(seen):
+                new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
             if new.any():
                 pad = START * (ORDER - 1)
                 joined = pad + pad.join(texts)
                 grams = [joined[i - ORDER + 1 : i + 1] for i in ends[first[new]].tolist()]
-                seen = np.union1d(seen, keys[new])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["block", "gram"])
+                # A stable sort merges what is in order already.
+                seen = np.sort(np.concatenate([seen, np.sort(keys[new])]), kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(keys[new].view(np.int64)), pa.array(grams, pa.string())], names=["block", "key", "gram"])
 
-    return docs.select("block", "text").mapInArrow(freeing(run), "block long, gram string")
+    return docs.select("block", "text").mapInArrow(freeing(run), "block long, key long, gram string")
 
 
 def probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(gram, p) for distinct windows of ORDER characters: the last character's probability after the others.
+    """``grams`` (key, gram), distinct windows of ORDER characters, as (key, p): the last character's probability after the others.
 
     Each order's probability is joined from the counts' table of that order and from the probability of the shorter window.
     A key of these joins has as many rows as there are characters at most.
@@ -180,21 +193,22 @@ def probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
     wanted = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         wanted[n] = wanted[n + 1].select(F.substring("gram", 2, n).alias("gram")).distinct()
+    carried = {ORDER: ["key"]}
     floor, weight = of(0, 0, "gram", "value").first()["value"], of(1, 1, "gram", "value").first()["value"]
     p = wanted[1].join(of(1, 0, "gram", "own"), "gram", "left").select("gram", (F.coalesce("own", F.lit(0.0)) + weight * floor).alias("p"))
     for n in range(2, ORDER + 1):
         held = wanted[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("shorter", F.substring("gram", 2, n - 1))
         held = held.join(of(n, 0, "gram", "own"), "gram", "left").join(of(n, 1, "context", "weight"), "context", "left").join(p.withColumnRenamed("gram", "shorter"), "shorter")
-        p = held.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        p = held.select(*carried.get(n, ["gram"]), (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
     return p
 
 
 def scored_blocks(docs: DataFrame, model: DataFrame) -> str:
     """The folder with the probability of each window of each block of ``docs``, a folder a block."""
     windows = written(block_windows(docs), "kneser-windows")
-    p = probabilities(written(windows.select("gram").distinct(), "kneser-distinct"), model)
+    p = probabilities(written(windows.groupBy("key").agg(F.first("gram").alias("gram")), "kneser-distinct"), model)
     path = new_path(docs.sparkSession, "kneser-blocks")
-    windows.join(p, "gram").select("block", "gram", "p").repartition("block").write.partitionBy("block").parquet(path)
+    windows.select("block", "key").join(p, "key").select("block", "key", "p").repartition("block").write.partitionBy("block").parquet(path)
     return path
 
 
@@ -207,9 +221,8 @@ def block_bits(path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
     keys, values = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
     for f in system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True)):
         if f.path.endswith(".parquet"):
-            for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(50_000, columns=["gram", "p"]):
-                wide = np.frombuffer("".join(batch["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                keys.append(codes(wide, ORDER)[ORDER - 1 :: ORDER])
+            for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(200_000, columns=["key", "p"]):
+                keys.append(batch["key"].to_numpy().view(np.uint64))
                 values.append(-np.log2(batch["p"].to_numpy()))
     key, value = np.concatenate(keys), np.concatenate(values)
     by = np.argsort(key)
@@ -247,7 +260,7 @@ def perplexities(docs: DataFrame, path: str, carried: list[str]) -> DataFrame:
             ends = inner_places(flat, bounds)
             bits = np.zeros(len(flat))
             if len(ends):
-                own, back = np.unique(codes(flat, ORDER)[ends], return_inverse=True)
+                own, _, back = distinct(codes(flat, ORDER)[ends])
                 place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 if not (keys[place] == own).all():
                     raise RuntimeError(f"block {block} has windows that were not scored")

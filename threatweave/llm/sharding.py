@@ -7,8 +7,9 @@ whose low part is a hash of the document id, so that every cut exists, however m
 lie side by side.
 
 The median is found by histograms: the bytes of all nodes of a level are summed by bins of their key range, the bin with
-the median is refined, until it holds less than ``TOLERANCE`` of a shard's bytes. The driver sees bins, never documents. A
-group of equal texts is cut only if it holds more than that, so one that holds a third of all bytes is spread over shards.
+the median is refined, until it holds less than ``TOLERANCE`` of a shard's bytes or is one group of equal texts. The driver sees
+bins, never documents. A group of equal texts stays together unless it holds more than ``GROUP`` of a shard's bytes, where sizes
+near equal would not hold otherwise; so one that holds a third of all bytes is spread over shards.
 
 Slots: rows of a shard fall into buckets by a hash of their id; a bucket's first slot is the prefix sum over the counts of
 buckets, so no window holds more than a bucket. DataFrame and SQL functions only.
@@ -28,6 +29,8 @@ from .common import table, written
 
 SHARDS = 8
 TOLERANCE = 0.002
+#: Share of a shard's bytes that a cut may be off by, so that equal texts stay together.
+GROUP = 0.02
 #: Rows of a slot bucket on average.
 BUCKET_ROWS = 20_000
 #: Bits of a key that a pass resolves, from high to low: the dimension, the text's CRC-32, the id's hash.
@@ -53,7 +56,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "size", "text_crc32", key(by_size).alias("by_size"), key(by_width).alias("by_width"), key(by_lang).alias("by_lang"))
 
 
-def _medians(rows: DataFrame, nodes: dict[int, dict], tolerance: float) -> dict[int, int]:
+def _medians(rows: DataFrame, nodes: dict[int, dict], tolerance: float, group: float) -> dict[int, int]:
     """For each node (its key and the bytes wanted below the cut) the cut: rows with a smaller key go left."""
     low = dict.fromkeys(nodes, 0)
     want = {n: x["want"] for n, x in nodes.items()}
@@ -75,7 +78,8 @@ def _medians(rows: DataFrame, nodes: dict[int, dict], tolerance: float) -> dict[
                 if below + size >= want[n]:
                     break
                 below += size
-            if size <= tolerance or left == 0:
+            # With all bits but the id's, a bin is a group of equal texts.
+            if size <= tolerance or left == 0 or (left == ID_BITS and size <= group):
                 take = below + size - want[n] <= want[n] - below
                 cuts[n] = low[n] + ((b + take) << left)
             else:
@@ -101,7 +105,7 @@ def kd_shards(rows: DataFrame, shards: int) -> DataFrame:
             if k > 1 and n in spans:
                 widest = max(KEYS, key=lambda d: spans[n][d] / wide[d])
                 asked[n] = {"key": widest, "want": spans[n]["bytes"] * (k // 2) / k}
-        cuts = _medians(rows, asked, TOLERANCE * ranges["bytes"] / shards)
+        cuts = _medians(rows, asked, TOLERANCE * ranges["bytes"] / shards, GROUP * ranges["bytes"] / shards)
         after = {}
         chain = F.when(F.lit(False), F.lit(0))
         for n, k in leaves.items():
