@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: Rows that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it, if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
 def seen_in(links: DataFrame, research: DataFrame, *, entity_type: str) -> DataFrame:
     """(entity_key, research): ids of the live research that names each entity, newest first."""
@@ -33,24 +41,29 @@ def provenance_summary(items: DataFrame) -> DataFrame:
 def first_quote(wanted: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(source_id, name, quote): the first claim of a source that names it, else the first evidence quote, else ''."""
     both = claims.select("source_id", "pos", F.col("statement").alias("q"), F.lit(0).alias("rank")).unionByName(evidence.select("source_id", "pos", F.col("quote").alias("q"), F.lit(1).alias("rank")))
-    near = wanted.join(both, "source_id", "left")
+    # A source repeats its quotes: each text counts once, where it comes first.
+    each = both.groupBy("source_id", "rank", "q").agg(F.min("pos").alias("pos"))
+    near = wanted.join(each, "source_id", "left")
     hit = F.when(F.contains(F.lower("q"), F.lower("name")), F.struct("rank", "pos", "q"))
     return near.groupBy("source_id", "name").agg(F.coalesce(F.min(hit)["q"], F.lit("")).alias("quote"))
 
 
-def related(keys: DataFrame, *, id_col: str = "research_id", key_col: str = "key", hot: int = 1000) -> DataFrame:
-    """(a, b, shared): pairs of items that share keys.
+def related(keys: DataFrame, *, id_col: str = "research_id", key_col: str = "key") -> DataFrame:
+    """(key, id, class, n): the items of every key that two or more share; class is the least of them, n their number.
 
-    A key that more than ``hot`` items have relates each of them only to its least item: all pairs within a popular key
-    would be the square of its items and say little.
+    Items of a key are related to each other. Written as membership, a key of n items costs n rows, however popular it is;
+    ``related_to`` gives the partners of chosen items.
     """
-    rows = keys.select(F.col(id_col).alias("id"), F.col(key_col).alias("k")).distinct()
-    sized = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
-    held = rows.join(sized, "k")
-    small = held.filter(F.col("n") <= hot)
-    pairs = small.select("k", F.col("id").alias("a")).join(small.select("k", F.col("id").alias("b")), "k").filter("a < b").select("a", "b", "k")
-    stars = held.filter((F.col("n") > hot) & (F.col("id") != F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b"), "k")
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.array_sort(F.collect_set("k")).alias("shared"))
+    rows = keys.select(F.col(key_col).alias("key"), F.col(id_col).alias("id")).distinct()
+    sized = rows.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(small(sized), "key").select("key", "id", "class", "n")
+
+
+def related_to(wanted: DataFrame, keys: DataFrame, *, id_col: str = "research_id", key_col: str = "key") -> DataFrame:
+    """(a, b, shared): for each wanted item all others that share keys with it, and the keys."""
+    rows = keys.select(F.col(id_col).alias("b"), F.col(key_col).alias("k")).distinct()
+    mine = rows.join(wanted.select(F.col(id_col).alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("a"), "k")
+    return mine.join(rows, "k").filter("a <> b").groupBy("a", "b").agg(F.array_sort(F.collect_set("k")).alias("shared"))
 
 
 def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame) -> DataFrame:
@@ -63,11 +76,11 @@ def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame)
     core = F.trim(F.regexp_replace(F.lower("product"), r"\b(server|on-prem|on-premises|\d{4}|se|subscription edition)\b", ""))
     a = affected.select(F.lower("product").alias("p")).distinct()
     w = owned.select(F.lower("product").alias("wp"), core.alias("core")).distinct()
-    match = F.broadcast(w).join(a, ((F.col("core") != "") & F.contains("p", "core")) | ((F.col("p") != "") & F.contains("wp", F.substring_index("p", " ", 1))))
+    match = small(w).join(a, ((F.col("core") != "") & F.contains("p", "core")) | ((F.col("p") != "") & F.contains("wp", F.substring_index("p", " ", 1))))
     hit = affected.select("research_id", F.lower("product").alias("p")).distinct().join(match.select("p", "wp"), "p").select("research_id", "wp").distinct()
     exposed = hit.join(owned.select("workspace_id", "pos", F.lower("product").alias("wp")), "wp").groupBy("research_id", "workspace_id").agg(F.min_by("wp", "pos").alias("wp"))
     known = affected.groupBy("research_id").agg(F.count("*").alias("n"))
-    pairs = known.select("research_id").join(F.broadcast(workspaces.select("workspace_id")), F.lit(True))
+    pairs = known.select("research_id").join(small(workspaces.select("workspace_id")), F.lit(True))
     out = pairs.join(exposed, ["research_id", "workspace_id"], "left")
     return out.select("research_id", "workspace_id", F.when(F.col("wp").isNotNull(), "exposed").otherwise("not_exposed").alias("status"), F.when(F.col("wp").isNotNull(), F.concat(F.lit("runs "), "wp")).otherwise("no affected product").alias("reason"))
 
@@ -78,8 +91,8 @@ def coverage_gaps(required: DataFrame, workspaces: DataFrame, collected: DataFra
     For each workspace the missing sources are found first, among distinct data sources; they then meet the hunts.
     """
     needed = required.select("data_source").distinct()
-    missing = workspaces.select("workspace_id").join(F.broadcast(needed), F.lit(True)).join(collected.select("workspace_id", "data_source"), ["workspace_id", "data_source"], "left_anti")
-    return required.select("ref", "kind", "data_source").distinct().join(F.broadcast(missing), "data_source").select("workspace_id", "ref", "kind", "data_source")
+    missing = workspaces.select("workspace_id").join(small(needed), F.lit(True)).join(collected.select("workspace_id", "data_source"), ["workspace_id", "data_source"], "left_anti")
+    return required.select("ref", "kind", "data_source").distinct().join(small(missing), "data_source").select("workspace_id", "ref", "kind", "data_source")
 
 
 def enriched(vulns: DataFrame, nvd: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:
@@ -174,11 +187,11 @@ def routed(mails: DataFrame, tags: DataFrame, domains: DataFrame) -> DataFrame:
     from ..functions.indicators import plus_tags
     from ..functions.urls import parents
 
-    by_tag = mails.select("mail_id", F.posexplode(plus_tags(F.col("recipients"))).alias("pos", "key")).join(F.broadcast(tags.withColumnRenamed("tag", "key")), "key").select("mail_id", F.lit(0).alias("rank"), "pos", "workspace_id", F.concat(F.lit("tag "), "key").alias("reason"))
+    by_tag = mails.select("mail_id", F.posexplode(plus_tags(F.col("recipients"))).alias("pos", "key")).join(small(tags.withColumnRenamed("tag", "key")), "key").select("mail_id", F.lit(0).alias("rank"), "pos", "workspace_id", F.concat(F.lit("tag "), "key").alias("reason"))
     parts = [by_tag]
     for rank, column in ((1, "sender"), (2, "original_sender")):
         rows = mails.filter(F.contains(column, F.lit("@"))).select("mail_id", F.posexplode(parents(F.substring_index(column, "@", -1))).alias("pos", "key"))
-        parts.append(rows.join(F.broadcast(domains.withColumnRenamed("domain", "key")), "key").select("mail_id", F.lit(rank).alias("rank"), "pos", "workspace_id", F.concat(F.lit("domain "), "key").alias("reason")))
+        parts.append(rows.join(small(domains.withColumnRenamed("domain", "key")), "key").select("mail_id", F.lit(rank).alias("rank"), "pos", "workspace_id", F.concat(F.lit("domain "), "key").alias("reason")))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     best = every.groupBy("mail_id").agg(F.min(F.struct("rank", "pos", "workspace_id", "reason")).alias("b"))
     return best.select("mail_id", "b.workspace_id", "b.reason")
@@ -211,16 +224,27 @@ def cited_sources(opportunities: DataFrame, steps: DataFrame, mitre: DataFrame)
 
 
 def duplicates_of(seeds: DataFrame, research: DataFrame, cves: DataFrame, names: DataFrame, urls: DataFrame, most: int = 5) -> DataFrame:
-    """(seed_id, research_id, reasons): live research that shares a CVE, a named actor or a source URL with a seed."""
+    """(seed_id, research_id, reasons): live research that shares a CVE, a named actor or a source URL with a seed, ``most`` of it.
+
+    The least ids count. Of each key only so many are joined: one that isn't among the first of a key isn't among a seed's first.
+    """
     from .extract import dictionary_hits
 
-    live = research.filter("status <> 'archived'").select("research_id")
+    live = research.filter("status <> 'archived'").select("research_id").distinct()
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy("research_id")
+        mine = rows.select(key, "research_id").distinct().join(live, "research_id")
+        return mine.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+
+    cves, urls = first(cves, "cve"), first(urls, "url")
+    named = first(names.withColumn("canonical", F.lower("name")), "canonical")
     text = seeds.select("seed_id", F.col("text"))
     by_cve = text.select("seed_id", F.explode(tx.cves(F.col("text"))).alias("cve")).join(cves, "cve").groupBy("seed_id", "research_id").agg(F.concat(F.lit("covers "), F.array_join(F.array_sort(F.collect_set("cve")), ", ")).alias("why")).withColumn("rank", F.lit(0))
     hits = dictionary_hits(text, names.select("name", F.lower("name").alias("canonical")).distinct(), id_col="seed_id", least=1)
-    by_name = hits.join(names.select(F.lower("name").alias("canonical"), "research_id").distinct(), "canonical").groupBy("seed_id", "research_id").agg(F.concat(F.lit("covers "), F.initcap(F.min("canonical"))).alias("why")).withColumn("rank", F.lit(1))
+    by_name = hits.join(named, "canonical").groupBy("seed_id", "research_id").agg(F.concat(F.lit("covers "), F.initcap(F.min("canonical"))).alias("why")).withColumn("rank", F.lit(1))
     by_url = seeds.select("seed_id", F.explode("urls").alias("url")).join(urls, "url").select("seed_id", "research_id", F.lit("uses the same source URL").alias("why")).distinct().withColumn("rank", F.lit(2))
-    every = by_cve.unionByName(by_name).unionByName(by_url).join(live, "research_id")
+    every = by_cve.unionByName(by_name).unionByName(by_url)
     joined = every.groupBy("seed_id", "research_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "why"))), lambda x: x["why"]), "; ").alias("reasons"))
     ranked = joined.withColumn("_n", F.row_number().over(Window.partitionBy("seed_id").orderBy("research_id")))
     return ranked.filter(F.col("_n") <= most).drop("_n")

@@ -67,6 +67,14 @@ TABLES = {
         SELECT concat('actor', cast(s_suppkey AS STRING)) AS actor_id, s_name AS name, {list:concat('Alias', cast(s_suppkey % 30 AS STRING))|concat('Group', cast(s_suppkey AS STRING))} AS aliases, s_nationkey AS nation FROM {supplier}""",
     "products": """
         SELECT concat('ws', cast(p_partkey % 25 AS STRING)) AS workspace_id, p_partkey AS pos, p_name AS product FROM {part}""",
+    # Stored queries from every part: twelve a research, some in groups, some with a sigma rule.
+    "queries": """
+        SELECT p_partkey AS qid, concat('Q-', cast(p_partkey AS STRING)) AS query_id, cast(floor(p_partkey / 12) AS BIGINT) AS rid, CASE WHEN p_partkey % 5 < 3 THEN concat('G', cast(p_size % 4 AS STRING)) END AS group_id,
+          CASE WHEN p_partkey % 5 = 3 THEN concat('Q-', cast(p_partkey - p_partkey % 4 AS STRING)) END AS sigma_ref, CASE p_partkey % 4 WHEN 0 THEN 'sigma' WHEN 1 THEN 'kql_sentinel' WHEN 2 THEN 'splunk' ELSE 'KQL Custom' END AS platform,
+          CASE p_size % 3 WHEN 0 THEN 'ioc' WHEN 1 THEN 'ttp' ELSE 'ioa' END AS type, CASE p_size % 4 WHEN 0 THEN 'generated' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'deployed' ELSE 'deprecated' END AS status,
+          concat('T', cast(1000 + p_partkey % 60 AS STRING)) AS technique_id, concat('T', cast(1000 + p_size AS STRING)) AS second_id, CASE WHEN p_partkey % 7 = 0 THEN 'reference' ELSE 'generated' END AS origin,
+          p_name AS title, concat(p_type, '  where ', p_brand, ' ', cast(p_size % 3 AS STRING)) AS body, p_retailprice AS price
+        FROM {part}""",
     # Telemetry from every event.
     "telemetry": """
         SELECT event_id, cast(ts AS TIMESTAMP) AS ts, concat('host', cast(user_id % 40 AS STRING)) AS host, concat('ws', cast(user_id % 25 AS STRING)) AS workspace_id,

@@ -23,7 +23,7 @@ def _overrides(t):
     return t.supplier.select(F.concat(F.lit("domain|cdn"), (F.col("s_suppkey") % 97).cast("string"), F.lit(".update"), (F.col("s_suppkey") % 13).cast("string"), F.lit(".top")).alias("key"), F.lit("benign").alias("verdict")).dropDuplicates(["key"])
 
 
-DECISIONS = """decisions AS (SELECT concat('domain|cdn', cast(p_partkey % 97 AS STRING), '.update', cast(p_partkey % 13 AS STRING), '.top') AS key, CASE WHEN p_partkey % 2 = 0 THEN 'false_positive' END AS verdict, p_partkey % 5 = 0 AS excluded FROM part WHERE p_partkey <= 150),
+DECISIONS = """decisions AS (SELECT concat('domain|cdn', cast(p_partkey % 97 AS STRING), '.update', cast(p_partkey % 13 AS STRING), '.top') AS key, CASE WHEN p_partkey % 2 = 0 THEN 'false_positive' END AS verdict, p_partkey % 5 = 0 AS excluded FROM part),
     overrides AS (SELECT DISTINCT concat('domain|cdn', cast(s_suppkey % 97 AS STRING), '.update', cast(s_suppkey % 13 AS STRING), '.top') AS key, 'benign' AS verdict FROM supplier),
     iocs AS (SELECT DISTINCT concat(ioc_type, '|', lower(ioc_value)) AS key, CASE WHEN rid % 3 = 0 THEN 'malicious' ELSE 'expired' END AS pipeline_verdict FROM mentions)"""
 
@@ -49,13 +49,13 @@ def provenance_summary(t):
 
 
 @query("j02_quotes", """
-    SELECT source_id, name, coalesce(min(CASE WHEN quote LIKE concat('%', name, '%') THEN (0, rid, quote) END)[3], '') AS quote
-    FROM (SELECT DISTINCT source_id, concat('mal', cast(l_partkey % 90 AS STRING)) AS name FROM lineitem, (SELECT DISTINCT source_id FROM sources) WHERE l_partkey < 6) w LEFT JOIN mentions m USING (source_id) GROUP BY ALL""")
+    SELECT source_id, name, coalesce(min(CASE WHEN quote LIKE concat('%', name, '%') THEN (rid % 2, rid, quote) END)[3], '') AS quote
+    FROM (SELECT DISTINCT source_id, name FROM (SELECT DISTINCT concat('mal', cast(l_partkey % 90 AS STRING)) AS name FROM lineitem) CROSS JOIN (SELECT DISTINCT source_id FROM sources)) w LEFT JOIN mentions m USING (source_id) GROUP BY ALL""")
 def quotes(t):
-    names = t.lineitem.filter("l_partkey < 6").select(F.concat(F.lit("mal"), (F.col("l_partkey") % 90).cast("string")).alias("name")).distinct()
-    wanted = t.sources.select("source_id").distinct().join(F.broadcast(names), F.lit(True))
-    claims = t.mentions.select("source_id", F.col("rid").alias("pos"), F.col("quote").alias("statement"))
-    return jo.first_quote(wanted, claims, claims.select("source_id", "pos", F.lit("none").alias("quote")))
+    names = t.lineitem.select(F.concat(F.lit("mal"), (F.col("l_partkey") % 90).cast("string")).alias("name")).distinct()
+    wanted = t.sources.select("source_id").distinct().join(names, F.lit(True))
+    rows = t.mentions.select("source_id", F.col("rid").alias("pos"), "quote")
+    return jo.first_quote(wanted, rows.filter("pos % 2 = 0").withColumnRenamed("quote", "statement"), rows.filter("pos % 2 = 1"))
 
 
 @query("j04_seen_in", """
@@ -65,53 +65,65 @@ def seen_in(t):
     return jo.seen_in(links, t.research, entity_type="malware")
 
 
-@query("j05_related", """
-    WITH k AS (SELECT DISTINCT rid AS id, concat(cast(partkey AS STRING), '/', cast(suppkey % 5 AS STRING)) AS k FROM mentions)
-    SELECT a.id AS a, b.id AS b, list_sort(list(DISTINCT k)) AS shared FROM k a JOIN k b USING (k) WHERE a.id < b.id GROUP BY ALL""")
+KEYS = "k AS (SELECT DISTINCT rid AS id, cve AS key FROM mentions UNION SELECT DISTINCT rid, lower(actor) FROM mentions)"
+
+
+def _keys(t):
+    m = t.mentions.withColumnRenamed("rid", "research_id")
+    return m.select("research_id", F.col("cve").alias("key")).union(m.select("research_id", F.lower("actor")))
+
+
+@query("j05_related", f"""
+    WITH {KEYS} SELECT key, id, min(id) OVER (PARTITION BY key) AS class, count(*) OVER (PARTITION BY key) AS n FROM k QUALIFY count(*) OVER (PARTITION BY key) > 1""")
 def related(t):
-    keys = t.mentions.select(F.col("rid").alias("research_id"), F.concat_ws("/", F.col("partkey").cast("string"), (F.col("suppkey") % 5).cast("string")).alias("key"))
-    return jo.related(keys)
+    return jo.related(_keys(t))
 
 
 @query("j06_duplicates", """
-    SELECT doc_id AS seed_id, research_id, concat('covers CVE-2024-0', cast(1000 + doc_id % 211 AS STRING)) AS reasons FROM documents
-    JOIN (SELECT DISTINCT rid % 50 AS research_id, rid % 211 AS c FROM research WHERE rid % 50 > 0 AND status <> 'archived' AND rid < 400) ON c = doc_id % 211 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY research_id) <= 5""")
+    WITH live AS (SELECT rid FROM research WHERE status <> 'archived'),
+    m AS (SELECT doc_id, rid, 0 AS k, concat('covers CVE-2024-0', cast(1000 + doc_id % 211 AS STRING)) AS why FROM reports JOIN live ON rid % 211 = doc_id % 211
+      UNION ALL SELECT doc_id, rid, 1, concat('covers Apt', cast(doc_id % 40 + 1 AS STRING)) FROM reports JOIN live ON rid % 40 = doc_id % 40
+      UNION ALL SELECT DISTINCT a.doc_id, b.doc_id, 2, 'uses the same source URL' FROM reports a JOIN reports b USING (url) JOIN live ON rid = b.doc_id)
+    SELECT * FROM (SELECT doc_id AS seed_id, rid AS research_id, string_agg(why, '; ' ORDER BY k) AS reasons FROM m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed_id ORDER BY research_id) <= 5""")
 def duplicates(t):
-    rows = t.research.filter("rid % 50 > 0 and status <> 'archived' and rid < 400").select((F.col("rid") % 50).alias("research_id"), F.concat(F.lit("CVE-2024-0"), (1000 + F.col("rid") % 211).cast("string")).alias("cve"), F.lit("draft").alias("status")).distinct()
-    seeds = t.reports.select(F.col("doc_id").alias("seed_id"), "text", F.array("url").alias("urls"))
-    names = rows.select("research_id", F.lit("no such name").alias("name")).distinct()
-    urls = rows.select("research_id", F.lit("https://none.example/").alias("url")).distinct()
-    return jo.duplicates_of(seeds, rows.select("research_id", "status").distinct(), rows.select("research_id", "cve"), names, urls)
+    r = t.research.select(F.col("rid").alias("research_id"), "status")
+    cves = r.select("research_id", F.concat(F.lit("CVE-2024-0"), (1000 + F.col("research_id") % 211).cast("string")).alias("cve"))
+    names = r.select("research_id", F.concat(F.lit("APT"), (F.col("research_id") % 40 + 1).cast("string")).alias("name"))
+    urls = t.reports.select(F.col("doc_id").alias("research_id"), "url")
+    return jo.duplicates_of(t.reports.select(F.col("doc_id").alias("seed_id"), "text", F.array("url").alias("urls")), r, cves, names, urls)
 
 
 @query("j07_applicability", """
     WITH owned AS (SELECT workspace_id, pos, lower(product) AS wp, trim(regexp_replace(lower(product), '\\b(server|on-prem|on-premises|\\d{4}|se|subscription edition)\\b', '', 'g')) AS core FROM products),
-    affected AS (SELECT DISTINCT rid AS research_id, lower(p_name) AS p FROM mentions JOIN part ON p_partkey = partkey WHERE partkey <= 40),
+    affected AS (SELECT DISTINCT rid AS research_id, lower(p_name) AS p FROM mentions JOIN part ON p_partkey = partkey),
     hit AS (SELECT research_id, workspace_id, arg_min(wp, pos) AS wp FROM affected JOIN owned ON (core <> '' AND contains(p, core)) OR (p <> '' AND contains(wp, split_part(p, ' ', 1))) GROUP BY ALL)
-    SELECT research_id, workspace_id, CASE WHEN wp IS NOT NULL THEN 'exposed' ELSE 'not_exposed' END AS status FROM (SELECT DISTINCT research_id FROM affected) CROSS JOIN (SELECT workspace_id FROM workspaces) LEFT JOIN hit USING (research_id, workspace_id)""")
+    SELECT research_id, workspace_id, CASE WHEN wp IS NOT NULL THEN 'exposed' ELSE 'not_exposed' END AS status, CASE WHEN wp IS NOT NULL THEN concat('runs ', wp) ELSE 'no affected product' END AS reason FROM (SELECT DISTINCT research_id FROM affected) CROSS JOIN (SELECT workspace_id FROM workspaces) LEFT JOIN hit USING (research_id, workspace_id)""")
 def applicability(t):
-    affected = t.mentions.filter("partkey <= 40").join(t.part, F.col("p_partkey") == F.col("partkey")).select(F.col("rid").alias("research_id"), F.col("p_name").alias("product"))
-    return jo.applicability(affected, t.products, t.workspaces).select("research_id", "workspace_id", "status")
+    affected = t.mentions.join(t.part, F.col("p_partkey") == F.col("partkey")).select(F.col("rid").alias("research_id"), F.col("p_name").alias("product"))
+    return jo.applicability(affected, t.products, t.workspaces)
 
 
 @query("j08_coverage_gaps", """
-    WITH need AS (SELECT DISTINCT rid AS ref, tactic_id AS data_source FROM mentions WHERE rid % 4 = 0), have AS (SELECT DISTINCT workspace_id, concat('TA', cast(pos % 14 AS STRING)) AS data_source FROM products WHERE pos % 3 = 0 AND pos < 600)
+    WITH need AS (SELECT DISTINCT rid AS ref, tactic_id AS data_source FROM mentions), have AS (SELECT DISTINCT workspace_id, concat('TA', cast(pos % 14 AS STRING)) AS data_source FROM products WHERE (pos % 25 + pos % 14) % 8 <> 0)
     SELECT workspace_id, ref, data_source FROM need CROSS JOIN workspaces ANTI JOIN have USING (workspace_id, data_source)""")
 def gaps(t):
-    need = t.mentions.filter("rid % 4 = 0").select(F.col("rid").alias("ref"), F.lit("ttp").alias("kind"), F.col("tactic_id").alias("data_source"))
-    have = t.products.filter("pos % 3 = 0 and pos < 600").select("workspace_id", F.concat(F.lit("TA"), (F.col("pos") % 14).cast("string")).alias("data_source"))
+    need = t.mentions.select(F.col("rid").alias("ref"), F.lit("ttp").alias("kind"), F.col("tactic_id").alias("data_source"))
+    have = t.products.filter("(pos % 25 + pos % 14) % 8 <> 0").select("workspace_id", F.concat(F.lit("TA"), (F.col("pos") % 14).cast("string")).alias("data_source"))
     return jo.coverage_gaps(need, t.workspaces, have).drop("kind")
 
 
 @query("j09_enriched", """
-    SELECT concat('CVE-2024-', cast(1000 + p_partkey AS STRING)) AS cve, CASE WHEN p_partkey % 2 = 0 THEN 9.0 ELSE 1.0 END AS cvss, CASE WHEN p_partkey % 3 = 0 THEN '2024-02-02' END AS kev_added,
-      CASE WHEN p_partkey % 5 = 0 THEN 'not_found' WHEN p_partkey % 2 = 0 THEN 'verified' ELSE 'unchecked' END AS validation FROM part WHERE NOT (p_partkey % 5 = 0 AND p_partkey % 2 = 1)""")
+    SELECT concat('CVE-2024-', cast(1000 + p_partkey AS STRING)) AS cve, CASE WHEN p_partkey % 2 = 0 THEN 9.0 ELSE 1.0 END AS cvss, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE 'old' END AS description,
+      CASE WHEN p_partkey % 6 = 1 THEN ['known'] WHEN p_partkey % 2 = 0 THEN [p_name] END AS products, CASE WHEN p_partkey % 3 = 0 THEN '2024-02-02' END AS kev_added, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS epss,
+      CASE WHEN p_partkey % 2 = 1 THEN 'unchecked' WHEN p_partkey % 5 = 0 THEN 'not_found' WHEN p_partkey % 8 = 2 THEN 'rejected' ELSE 'verified' END AS validation FROM part""")
 def enriched(t):
-    p = t.part.filter("not (p_partkey % 5 = 0 and p_partkey % 2 = 1)").withColumn("cve", F.concat(F.lit("CVE-2024-"), (1000 + F.col("p_partkey")).cast("string")))
-    vulns = p.select(F.lower("cve").alias("cve"), F.lit(1.0).alias("cvss"), F.lit("old").alias("description"), F.array().cast("array<string>").alias("products"), F.lit("x").alias("kev_added"))
-    nvd = p.filter("p_partkey % 2 = 0").select("cve", (F.col("p_partkey") % 5 != 0).alias("exists"), F.lit("Analyzed").alias("state"), F.lit(9.0).alias("score"), F.lit("").alias("description"), F.array("p_name").alias("products"))
+    k = F.col("p_partkey")
+    p = t.part.withColumn("cve", F.concat(F.lit("CVE-2024-"), (1000 + k).cast("string")))
+    vulns = p.select(F.lower("cve").alias("cve"), F.lit(1.0).alias("cvss"), F.lit("old").alias("description"), F.when(k % 6 == 1, F.array(F.lit("known"))).otherwise(F.array().cast("array<string>")).alias("products"), F.lit("x").alias("kev_added"))
+    state, text = F.when(k % 8 == 2, "Rejected").otherwise("Analyzed"), F.when(k % 4 == 0, F.col("p_type")).otherwise("")
+    nvd = p.filter("p_partkey % 2 = 0").select("cve", (k % 5 != 0).alias("exists"), state.alias("state"), F.lit(9.0).alias("score"), text.alias("description"), F.array("p_name").alias("products"))
     kev = p.filter("p_partkey % 3 = 0").select("cve", F.lit("2024-02-02").alias("date_added"))
-    return jo.enriched(vulns, nvd, kev, p.select("cve", F.lit(0.1).alias("epss"))).select("cve", "cvss", "kev_added", "validation")
+    return jo.enriched(vulns, nvd, kev, p.filter("p_partkey % 7 <> 0").select("cve", F.col("p_retailprice").alias("epss")))
 
 
 @query("j10_cached_reputation", """
@@ -123,9 +135,9 @@ def cached(t):
 
 
 @query("t06_lookups", """
-    SELECT ioc_type AS type, lower(ioc_value) AS value FROM mentions WHERE pos % 2 = 0 GROUP BY ALL ORDER BY count(DISTINCT source_id) DESC, type, value LIMIT 150""")
+    SELECT ioc_type AS type, lower(ioc_value) AS value FROM mentions GROUP BY ALL ORDER BY count(DISTINCT source_id) DESC, type, value LIMIT 150""")
 def lookups(t):
-    merged = t.mentions.filter("pos % 2 = 0").groupBy(F.col("ioc_type").alias("type"), F.lower("ioc_value").alias("value")).agg(F.count_distinct("source_id").alias("n_sources")).withColumn("state", F.lit("missing"))
+    merged = t.mentions.groupBy(F.col("ioc_type").alias("type"), F.lower("ioc_value").alias("value")).agg(F.count_distinct("source_id").alias("n_sources")).withColumn("state", F.lit("missing"))
     return jo.lookups(merged, most=150).select("type", "value")
 
 
@@ -139,7 +151,7 @@ def reviewed(t):
 
 
 def _decisions_sorted(t):
-    rows = t.part.filter("p_partkey <= 150").select(F.concat(F.lit("domain|cdn"), (F.col("p_partkey") % 97).cast("string"), F.lit(".update"), (F.col("p_partkey") % 13).cast("string"), F.lit(".top")).alias("key"), F.when(F.col("p_partkey") % 2 == 0, "false_positive").alias("verdict"), (F.col("p_partkey") % 5 == 0).alias("excluded"))
+    rows = t.part.select(F.concat(F.lit("domain|cdn"), (F.col("p_partkey") % 97).cast("string"), F.lit(".update"), (F.col("p_partkey") % 13).cast("string"), F.lit(".top")).alias("key"), F.when(F.col("p_partkey") % 2 == 0, "false_positive").alias("verdict"), (F.col("p_partkey") % 5 == 0).alias("excluded"))
     return rows.groupBy("key").agg(F.min(F.struct(F.coalesce("verdict", F.lit("~")).alias("o"), "excluded", "verdict")).alias("x")).select("key", "x.verdict", "x.excluded")
 
 
@@ -203,12 +215,14 @@ def ungrounded(t):
     return jo.ungrounded(items.filter("item <= 2").unionByName(real), t.sources.withColumnRenamed("rid", "research_id")).select("research_id", "item", "kind")
 
 
-@query("j25_quotes_found", "SELECT doc_id AS quote_id, doc_id % 3 <> 2 AS found FROM documents WHERE length(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) > 400")
+@query("j25_quotes_found", """
+    SELECT doc_id AS quote_id, doc_id % 3 <> 2 AS found FROM documents""")
 def found_quotes(t):
-    rows = t.documents.filter(F.length(_plain(F.col("text"))) > 400)
-    whole = F.substring(_plain(F.col("text")), 1, 150)
-    q = F.when(F.col("doc_id") % 3 == 0, F.upper(whole)).when(F.col("doc_id") % 3 == 1, "").otherwise("zq xz qz zx qq xx zzq qqz")
-    return jo.quotes_found(rows.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("source_id"), q.alias("quote")), rows.select(F.col("doc_id").alias("source_id"), "text"))
+    plain = _plain(F.col("text"))
+    # From the middle of a text: up to 150 characters that follow its first third.
+    part = F.substring(plain, (F.length(plain) / 3).cast("int") + 1, F.lit(150))
+    q = F.when(F.col("doc_id") % 3 == 0, F.upper(part)).when(F.col("doc_id") % 3 == 1, "").otherwise("zq xz qz zx qq xx zzq qqz")
+    return jo.quotes_found(t.documents.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("source_id"), q.alias("quote")), t.documents.select(F.col("doc_id").alias("source_id"), "text"))
 
 
 def _plain(c):
@@ -345,17 +359,19 @@ def lineage(t):
 
 
 @query("c03_folded", """
-    WITH e AS (SELECT DISTINCT source_id AS src, technique_id AS dst FROM mentions WHERE rid < 200), n AS (SELECT 0 AS col, src AS node, count(*) AS outs, 0 AS ins FROM e GROUP BY src UNION ALL SELECT 1, dst, 0, count(*) FROM e GROUP BY dst)
+    WITH e AS (SELECT DISTINCT source_id AS src, technique_id AS dst FROM mentions), n AS (SELECT 0 AS col, src AS node, count(*) AS outs, 0 AS ins FROM e GROUP BY src UNION ALL SELECT 1, dst, 0, count(*) FROM e GROUP BY dst)
     SELECT node, outs, ins, count(*) OVER (PARTITION BY col) <= 12 OR row_number() OVER (PARTITION BY col ORDER BY outs > 0 DESC, outs DESC, ins DESC, node) <= 10 AS shown FROM n""")
 def folded(t):
-    e = t.mentions.filter("rid < 200").select(F.col("source_id").alias("src"), F.col("technique_id").alias("dst")).distinct()
+    e = t.mentions.select(F.col("source_id").alias("src"), F.col("technique_id").alias("dst")).distinct()
     nodes = e.select(F.lit(0).alias("column"), F.col("src").alias("node")).union(e.select(F.lit(1), "dst")).distinct()
     return gr.folded(e, nodes).select("node", "outs", "ins", "shown")
 
 
-@query("c04_same_technique", "SELECT count(*) AS n FROM mentions WHERE TRUE")
+@query("c04_same_technique", "SELECT rid, pos, CASE partkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE ELSE FALSE END AS same FROM mentions")
 def same(t):
-    return t.mentions.filter(gr.same_technique(F.concat("technique_id", F.lit(".001")), F.col("technique_id"))).agg(F.count("*").alias("n"))
+    k, own = F.col("partkey") % 4, F.col("technique_id")
+    other = F.when(k == 0, own).when(k == 1, F.concat(own, F.lit(".002"))).when(k == 2, "T9999").otherwise(F.concat(own, F.lit("9")))
+    return t.mentions.select("rid", "pos", gr.same_technique(F.when(k == 1, own).otherwise(F.concat(own, F.lit(".001"))), other).alias("same"))
 
 
 @query("x01_search", """
@@ -377,9 +393,9 @@ def entities(t):
     return se.entities(rows, "01").select("type", "key", "title")
 
 
-@query("x03_jump", "SELECT DISTINCT lower(ioc_value) AS query, 'ioc' AS type FROM mentions WHERE rid < 40")
+@query("x03_jump", "SELECT DISTINCT lower(ioc_value) AS query, 'ioc' AS type FROM mentions")
 def jump(t):
-    typed = t.mentions.filter("rid < 40").select(F.lower("ioc_value").alias("query")).distinct()
+    typed = t.mentions.select(F.lower("ioc_value").alias("query")).distinct()
     known = t.mentions.select(F.lit("ioc").alias("type"), F.lower("ioc_value").alias("title"), F.lower("ioc_value").alias("key")).distinct()
     return se.jump(typed, known).select("query", "type")
 

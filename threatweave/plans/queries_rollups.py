@@ -99,10 +99,10 @@ def facets(t):
 
 
 @query("g13_tactic_rail", """
-    WITH tac AS (SELECT DISTINCT tactic_id FROM mentions) SELECT rid AS research_id, tactic_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT rid FROM mentions WHERE rid < 500) CROSS JOIN tac LEFT JOIN (SELECT rid, tactic_id, count(DISTINCT technique_id) AS n FROM mentions GROUP BY ALL) USING (rid, tactic_id)""")
+    WITH tac AS (SELECT DISTINCT tactic_id FROM mentions) SELECT rid AS research_id, tactic_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT rid FROM mentions) CROSS JOIN tac LEFT JOIN (SELECT rid, tactic_id, count(DISTINCT technique_id) AS n FROM mentions GROUP BY ALL) USING (rid, tactic_id)""")
 def rail(t):
     m = t.mentions.withColumnRenamed("rid", "research_id")
-    return ag.tactic_rail(m.filter("research_id < 500"), m.select("tactic_id").distinct().withColumn("pos", F.lit(0))).drop("pos")
+    return ag.tactic_rail(m, m.select("tactic_id").distinct().withColumn("pos", F.lit(0))).drop("pos")
 
 
 @query("g14_thread_counts", "SELECT section, count(*) FILTER (pos = 0) AS threads, count(*) FILTER (pos = 0 AND NOT resolved) AS open, count(*) AS comments FROM comments GROUP BY section")
@@ -168,10 +168,11 @@ def shares(t):
 
 
 @query("g26_enrichment_state", """
-    SELECT 'partial' AS state, list(DISTINCT cve ORDER BY cve) FILTER (pos = 1) AS not_found FROM mentions WHERE suppkey < 50""")
+    SELECT 'partial' AS state, list(DISTINCT cve ORDER BY cve) FILTER (pos = 1) AS not_found, list(DISTINCT cve ORDER BY cve) FILTER (pos = 3 AND partkey % 2 = 0) AS invalid, list(DISTINCT cve ORDER BY cve) FILTER (pos = 4 AND partkey % 3 = 0) AS rejected FROM mentions""")
 def enrichment(t):
-    v = F.when(F.col("pos") == 1, "not_found").otherwise("verified")
-    return ag.enrichment_state(t.mentions.filter("suppkey < 50").select("cve", F.when(F.col("pos") == 2, "unavailable").otherwise("live").alias("state"), v.alias("validation"))).select("state", "not_found")
+    k = F.col("partkey")
+    v = F.when(F.col("pos") == 1, "not_found").when((F.col("pos") == 3) & (k % 2 == 0), "invalid_format").when((F.col("pos") == 4) & (k % 3 == 0), "rejected").otherwise("verified")
+    return ag.enrichment_state(t.mentions.select("cve", F.when(F.col("pos") == 2, "unavailable").otherwise("live").alias("state"), v.alias("validation")))
 
 
 @query("g27_source_cards", "SELECT source_id, count(*) AS claims, count(*) FILTER (pos % 2 = 0) AS techniques, count(*) FILTER (pos % 3 = 0) AS iocs FROM mentions GROUP BY source_id")

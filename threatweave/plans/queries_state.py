@@ -121,11 +121,11 @@ def merged_cves(t):
 
 
 @query("m06_merged_iocs", """
-    SELECT p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN 'old' WHEN p_partkey % 5 = 0 THEN 'benign' ELSE 'new' END AS verdict, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 2 END AS n FROM part""")
+    SELECT p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN 'old' WHEN p_partkey % 5 = 0 THEN 'benign' ELSE 'new' END AS verdict, CASE WHEN p_size % 3 = 1 THEN 3 ELSE 2 END AS n FROM part""")
 def merged_iocs(t):
     ctx = lambda r, c: F.struct(F.lit(r).alias("research_id"), F.lit(c).alias("context"))
     current = t.part.select(F.col("p_partkey").alias("key"), F.lit("old").alias("verdict"), F.lit(5).alias("first_seen"), F.array(ctx("A", "a"), ctx("B", "b")).alias("contexts"))
-    changes = t.part.filter("p_size % 3 <> 0").select(F.col("p_partkey").alias("key"), F.lit("new").alias("verdict"), F.lit(3).alias("first_seen"), F.lit("B").alias("research_id"), F.lit("fresh").alias("context"))
+    changes = t.part.filter("p_size % 3 <> 0").select(F.col("p_partkey").alias("key"), F.lit("new").alias("verdict"), F.lit(3).alias("first_seen"), F.when(F.col("p_size") % 3 == 1, "C").otherwise("B").alias("research_id"), F.lit("fresh").alias("context"))
     overrides = t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("key"), F.lit("benign").alias("verdict"))
     return me.merged_iocs(current, changes, overrides).select("key", "verdict", F.size("contexts").alias("n"))
 
@@ -193,9 +193,9 @@ def remembered(t):
     return me.remembered(m.filter("flag = 'A'").drop("flag"), m.filter("flag <> 'A'").drop("flag"), F.lit("1998-11-01").cast("timestamp_ntz")).select("key", F.unix_seconds(F.col("at").cast("timestamp")).cast("double").alias("s"))
 
 
-@query("u08_platforms", "SELECT rid, list_distinct(list_concat(['sigma'], [workspace_ids[1], workspace_ids[2]])) IS NOT NULL AS ok, len(list_distinct(workspace_ids)) + 1 AS n FROM research")
+@query("u08_platforms", "SELECT rid, list_distinct_in_order AS platforms FROM (SELECT rid, CASE WHEN workspace_ids[1] = workspace_ids[2] THEN ['sigma', workspace_ids[1]] ELSE ['sigma', workspace_ids[1], workspace_ids[2]] END AS list_distinct_in_order FROM research)")
 def platforms(t):
-    return t.research.select("rid", F.lit(True).alias("ok"), F.size(F.array_distinct(F.concat(F.array(F.lit("sigma")), "workspace_ids"))).cast("long").alias("n"))
+    return t.research.select("rid", F.array_distinct(F.concat(F.array(F.lit("sigma")), "workspace_ids")).alias("platforms"))
 
 
 @query("u10_missing_platforms", "SELECT rid, list_sort(list_filter(list_distinct(workspace_ids), lambda x: x <> 'ws1')) AS missing FROM research")

@@ -344,11 +344,12 @@ def search_text(t):
 
 
 @query("p36_status", """
-    SELECT p_partkey, CASE WHEN p_size % 7 = 6 OR (p_size % 7 >= p_size % 5 AND p_size % 7 > 0) THEN ['reference', 'generated', 'syntax_checked', 'reviewed', 'lab_tested', 'deployed', 'deprecated'][p_size % 7 + 1] ELSE 'other' END AS later FROM part WHERE p_size % 7 >= 1 + p_size % 5""")
+    WITH ranks AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i, unnest(['reference', 'generated', 'syntax_checked', 'reviewed', 'lab_tested', 'deployed', 'deprecated']) AS name, unnest([0, 0, 1, 2, 3, 4, 5]) AS r)
+    SELECT p_partkey, CASE WHEN a.r >= b.r THEN a.name ELSE b.name END AS later FROM part JOIN ranks a ON a.i = p_size % 7 JOIN ranks b ON b.i = p_size % 5""")
 def statuses(t):
-    names = F.array(*map(F.lit, fixed.STATUS_RANK))
+    names = F.array(*map(F.lit, fixed.STATUS_RANK), F.lit("deprecated"))
     a, b = F.get(names, (F.col("p_size") % 7).cast("int")), F.get(names, (F.col("p_size") % 5).cast("int"))
-    return t.part.filter(F.col("p_size") % 7 >= 1 + F.col("p_size") % 5).select("p_partkey", ind.later_status(a, b).alias("later"))
+    return t.part.select("p_partkey", ind.later_status(a, b).alias("later"))
 
 
 @query("p37_lint", """
@@ -359,10 +360,11 @@ def lints(t):
 
 
 @query("p39_budgets", """
-    SELECT event_id, CASE WHEN greatest(round(value * 10 / 60, 1) * 10, user_id) >= 100 THEN 'over' WHEN greatest(round(100.0 * (value * 10 / 60.0) / 10.0, 1), user_id) >= 80 THEN 'warning' ELSE 'ok' END AS state FROM events WHERE round(100.0 * (value * 10 / 60.0) / 10.0, 1) < 80""")
+    SELECT event_id, t AS pct_time, k AS pct_tokens, CASE WHEN greatest(t, k) >= 100 THEN 'over' WHEN greatest(t, k) >= 80 THEN 'warning' ELSE 'ok' END AS state
+    FROM (SELECT event_id, round(100.0 * ((event_id % 700) / 60.0) / 10.0, 1) AS t, round(100.0 * (event_id % 613 * 1000) / 600000.0, 1) AS k FROM events)""")
 def budgets(t):
-    rows = t.events.filter(F.round(100.0 * (F.col("value") * 10 / 60.0) / 10.0, 1) < 80)
-    return rows.select("event_id", ind.budget(F.lit("unknown"), F.col("value") * 10, F.col("user_id") * 6000)["state"].alias("state"))
+    k = F.col("event_id")
+    return t.events.select("event_id", ind.budget(F.lit("unknown"), (k % 700).cast("double"), k % 613 * 1000).alias("b")).select("event_id", "b.*")
 
 
 @query("p40_hidden", "SELECT rid, pos, pos = 1 OR pos = 2 OR (pos = 3 AND rid % 2 = 0) AS hide FROM mentions")
@@ -371,10 +373,11 @@ def hidden(t):
     return t.mentions.select("rid", "pos", F.when(F.col("rid") % 2 == 0, ind.hidden(v, F.col("pos") == 2, F.lit(False))).otherwise(ind.hidden(v, F.col("pos") == 2, F.lit(True))).alias("hide"))
 
 
-@query("p42_seed_titles", "SELECT doc_id, substring(regexp_replace(regexp_extract(trim(regexp_extract(text, '[^\\n]*\\S[^\\n]*', 0)), '^(.*?[.!?])\\s', 1), '\\.+$', ''), 1, 120) AS title FROM documents WHERE regexp_matches(trim(regexp_extract(text, '[^\\n]*\\S[^\\n]*', 0)), '[.!?]\\s')")
+@query("p42_seed_titles", r"""
+    SELECT doc_id, CASE WHEN line IS NULL THEN 'Untitled threat' ELSE substring(regexp_replace(CASE WHEN regexp_matches(line, '[.!?]\s') THEN regexp_extract(line, '^(.*?[.!?])\s', 1) ELSE line END, '\.+$', ''), 1, 120) END AS title
+    FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1] AS line FROM documents)""")
 def seed_titles(t):
-    line = F.trim(F.regexp_extract("text", r"[^\n]*\S[^\n]*", 0))
-    return t.documents.filter(line.rlike(r"[.!?]\s")).select("doc_id", tx.seed_title(F.col("text")).alias("title"))
+    return t.documents.select("doc_id", tx.seed_title(F.col("text")).alias("title"))
 
 
 @query("f07_relevant", "SELECT doc_id, CASE WHEN doc_id % 40 = 6 THEN 3 ELSE 0 END + CASE WHEN doc_id % 211 = 5 THEN 4 ELSE 0 END AS score FROM documents")
@@ -383,9 +386,13 @@ def relevant(t):
     return ex.relevance(t.reports, terms)
 
 
-@query("f08_huntable", "SELECT rid, pos, TRUE AS ok FROM mentions")
+@query("f08_huntable", """
+    SELECT rid, pos, CASE partkey % 5 WHEN 0 THEN FALSE WHEN 1 THEN FALSE WHEN 2 THEN FALSE ELSE TRUE END AS ok FROM mentions""")
 def huntable(t):
-    return t.mentions.select("rid", "pos", ind.huntable(F.col("ioc_type"), F.col("ioc_value")).alias("ok"))
+    k = F.col("partkey") % 5
+    kind = F.when(k == 0, "ipv4").when(k == 1, "domain").when(k == 2, "sha256").otherwise(F.col("ioc_type"))
+    value = F.when(k == 0, "10.1.2.3").when(k == 1, "www.microsoft.com").when(k == 2, F.sha2(F.lit(""), 256)).otherwise(F.col("ioc_value"))
+    return t.mentions.select("rid", "pos", ind.huntable(kind, value).alias("ok"))
 
 
 @query("e01_indicators")
@@ -393,12 +400,9 @@ def indicators(t):
     return ex.indicators(t.reports)
 
 
-@query("e01_indicators_by_type", """
-    SELECT type, count(*) AS n FROM (
-      SELECT doc_id, 'cve' AS type FROM reports UNION ALL SELECT doc_id, 'ipv4' FROM reports UNION ALL SELECT doc_id, 'md5' FROM reports UNION ALL SELECT doc_id, 'url' FROM reports) GROUP BY type""")
+@query("e01_indicators_by_type")
 def indicators_by_type(t):
-    tail = t.reports.withColumn("text", F.regexp_extract("text", r"(?s)^.*( Actor APT\d+ exploited .*)$", 1))
-    return ex.indicators(tail).groupBy("type").agg(F.count("*").alias("n"))
+    return ex.indicators(t.reports).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("e02_cves", "SELECT doc_id, [concat('CVE-2024-', lpad(cast(1000 + doc_id % 211 AS STRING), 5, '0'))] AS cves FROM reports")
@@ -406,10 +410,9 @@ def cves(t):
     return t.reports.select("doc_id", tx.cves(F.concat("text", F.lit(" "), F.lower("text"))).alias("cves"))
 
 
-@query("e03_actor_names", "SELECT doc_id, [concat('APT', cast(doc_id % 40 + 1 AS STRING))] AS actors FROM reports WHERE NOT regexp_matches(regexp_replace(text, 'APT\\d+', '', 'g'), '[A-Z][a-z]+ (Rain|Hail|Dust|Flood|Bear|Tiger)|Akira|Turla')")
+@query("e03_actor_names", f"SELECT doc_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS actors FROM (SELECT doc_id, regexp_extract_all(text, '{fixed.ACTOR_PATTERN}') AS x FROM reports)")
 def actor_names(t):
-    rows = t.reports.filter(~F.regexp_replace("text", r"APT\d+", "").rlike("[A-Z][a-z]+ (Rain|Hail|Dust|Flood|Bear|Tiger)|Akira|Turla"))
-    return rows.select("doc_id", tx.actor_names(F.col("text")).alias("actors"))
+    return t.reports.select("doc_id", tx.actor_names(F.col("text")).alias("actors"))
 
 
 @query("e04_dictionary", "SELECT doc_id, 'actor7' AS canonical FROM documents WHERE doc_id % 40 = 6 UNION ALL SELECT doc_id, 'ransom' FROM documents")
@@ -418,10 +421,9 @@ def dictionary(t):
     return ex.dictionary_hits(t.reports, names)
 
 
-@query("e06_techniques", "SELECT technique_id, count(*) AS n FROM (SELECT doc_id, unnest(['T1190', 'T1486', 'T1059.001', 'T1071.001']) AS technique_id FROM documents) GROUP BY 1")
+@query("e06_techniques")
 def techniques(t):
-    tail = t.reports.withColumn("text", F.regexp_extract("text", r"(?s)^.*(Actor APT\d+ exploited .*)$", 1))
-    return ex.techniques(tail).groupBy("technique_id").agg(F.count("*").alias("n"))
+    return ex.techniques(t.reports)
 
 
 @query("e07_notes")
