@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import status_rank
+from .joins import small
 
 
 def period_bounds(period: str, today: dt.date, first: dt.date | None = None, last: dt.date | None = None) -> tuple[dt.datetime, dt.datetime]:
@@ -76,14 +77,14 @@ def domain_counts(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
 def heat_map(mitre: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(tactic_id, technique_id, n): distinct research per technique, under each of its tactics. catalogue (technique_id, tactics)."""
     counts = mitre.groupBy("technique_id").agg(F.count_distinct("research_id").alias("n"))
-    return counts.join(F.broadcast(catalogue), "technique_id").select(F.explode("tactics").alias("tactic_id"), "technique_id", "n")
+    return counts.join(small(catalogue), "technique_id").select(F.explode("tactics").alias("tactic_id"), "technique_id", "n")
 
 
 def tactic_rail(mitre: DataFrame, tactics: DataFrame) -> DataFrame:
     """(research_id, tactic_id, pos, n): distinct techniques per tactic, zero filled, in kill-chain order. tactics (tactic_id, pos)."""
     ids = mitre.select("research_id").distinct()
     counts = mitre.groupBy("research_id", "tactic_id").agg(F.count_distinct("technique_id").alias("n"))
-    return ids.join(F.broadcast(tactics), F.lit(True)).join(counts, ["research_id", "tactic_id"], "left").select("research_id", "tactic_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    return ids.join(small(tactics), F.lit(True)).join(counts, ["research_id", "tactic_id"], "left").select("research_id", "tactic_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def most_common(rows: DataFrame, by: str, n: int, last: str | None = None, order: str | None = None) -> DataFrame:

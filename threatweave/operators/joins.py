@@ -66,8 +66,8 @@ def related_to(wanted: DataFrame, keys: DataFrame, *, id_col: str = "research_id
     return mine.join(rows, "k").filter("a <> b").groupBy("a", "b").agg(F.array_sort(F.collect_set("k")).alias("shared"))
 
 
-def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """(research_id, workspace_id, status, reason): whether a workspace runs an affected product.
+def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame, *, every: bool = False) -> DataFrame:
+    """(research_id, workspace_id, status, reason): the workspaces that run an affected product, or with ``every`` all of them.
 
     affected (research_id, product), owned (workspace_id, pos, product), workspaces (workspace_id). A product matches if
     its name without edition words is in an affected one, or an affected one's first word is in it. Products meet by
@@ -77,11 +77,15 @@ def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame)
     a = affected.select(F.lower("product").alias("p")).distinct()
     w = owned.select(F.lower("product").alias("wp"), core.alias("core")).distinct()
     match = small(w).join(a, ((F.col("core") != "") & F.contains("p", "core")) | ((F.col("p") != "") & F.contains("wp", F.substring_index("p", " ", 1))))
-    hit = affected.select("research_id", F.lower("product").alias("p")).distinct().join(match.select("p", "wp"), "p").select("research_id", "wp").distinct()
-    exposed = hit.join(owned.select("workspace_id", "pos", F.lower("product").alias("wp")), "wp").groupBy("research_id", "workspace_id").agg(F.min_by("wp", "pos").alias("wp"))
-    known = affected.groupBy("research_id").agg(F.count("*").alias("n"))
-    pairs = known.select("research_id").join(small(workspaces.select("workspace_id")), F.lit(True))
-    out = pairs.join(exposed, ["research_id", "workspace_id"], "left")
+    # Each affected name meets a workspace once, at the workspace's first product that matches.
+    best = match.select("p", "wp").join(owned.select("workspace_id", "pos", F.lower("product").alias("wp")), "wp").groupBy("p", "workspace_id").agg(F.min(F.struct("pos", "wp")).alias("best"))
+    hit = affected.select("research_id", F.lower("product").alias("p")).distinct().join(small(best), "p")
+    exposed = hit.groupBy("research_id", "workspace_id").agg(F.min("best")["wp"].alias("wp"))
+    out = exposed.join(workspaces.select("workspace_id"), "workspace_id", "left_semi")
+    if every:
+        # One row for each research and workspace is what is asked for here; research meets the few workspaces in place.
+        pairs = affected.select("research_id").distinct().join(small(workspaces.select("workspace_id")), F.lit(True))
+        out = pairs.join(exposed, ["research_id", "workspace_id"], "left")
     return out.select("research_id", "workspace_id", F.when(F.col("wp").isNotNull(), "exposed").otherwise("not_exposed").alias("status"), F.when(F.col("wp").isNotNull(), F.concat(F.lit("runs "), "wp")).otherwise("no affected product").alias("reason"))
 
 

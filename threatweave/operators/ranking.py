@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ul
+from .joins import small
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -137,13 +138,13 @@ def mitre_rows(rows: DataFrame, catalogue: DataFrame, tactics: DataFrame) -> Dat
 
     A row's tactic stays if the technique has it, else it is the technique's first one. catalogue (technique_id, name, tactics).
     """
-    known = rows.withColumn("technique_id", F.upper(F.trim("technique_id"))).join(F.broadcast(catalogue), "technique_id")
+    known = rows.withColumn("technique_id", F.upper(F.trim("technique_id"))).join(small(catalogue), "technique_id")
     tactic = F.when(F.array_contains("tactics", F.col("tactic_id")), F.col("tactic_id")).otherwise(F.get("tactics", F.lit(0)))
     sub = F.col("technique_id").contains(".")
     named = known.withColumn("tactic_id", tactic).withColumn("technique", F.when(sub, F.substring_index("name", ": ", 1)).otherwise(F.col("name"))).withColumn("sub_technique", F.when(sub, F.regexp_extract("name", "^.*?: (.*)$", 1)).otherwise(""))
     unique = first_by_key(named, ["research_id", "technique_id", "tactic_id"], [F.asc("idx")])
-    return unique.join(F.broadcast(tactics.select("tactic_id", "pos")), "tactic_id", "left").select("research_id", "pos", "tactic_id", "technique_id", "technique", "sub_technique", "procedure")
+    return unique.join(small(tactics.select("tactic_id", "pos")), "tactic_id", "left").select("research_id", "pos", "tactic_id", "technique_id", "technique", "sub_technique", "procedure")
 
 
 def dropped_techniques(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return rows.select(F.upper(F.trim("technique_id")).alias("technique_id")).distinct().join(F.broadcast(catalogue), "technique_id", "left_anti")
+    return rows.select(F.upper(F.trim("technique_id")).alias("technique_id")).distinct().join(small(catalogue), "technique_id", "left_anti")

@@ -97,7 +97,7 @@ def duplicates(t):
     WITH owned AS (SELECT workspace_id, pos, lower(product) AS wp, trim(regexp_replace(lower(product), '\\b(server|on-prem|on-premises|\\d{4}|se|subscription edition)\\b', '', 'g')) AS core FROM products),
     affected AS (SELECT DISTINCT rid AS research_id, lower(p_name) AS p FROM mentions JOIN part ON p_partkey = partkey),
     hit AS (SELECT research_id, workspace_id, arg_min(wp, pos) AS wp FROM affected JOIN owned ON (core <> '' AND contains(p, core)) OR (p <> '' AND contains(wp, split_part(p, ' ', 1))) GROUP BY ALL)
-    SELECT research_id, workspace_id, CASE WHEN wp IS NOT NULL THEN 'exposed' ELSE 'not_exposed' END AS status, CASE WHEN wp IS NOT NULL THEN concat('runs ', wp) ELSE 'no affected product' END AS reason FROM (SELECT DISTINCT research_id FROM affected) CROSS JOIN (SELECT workspace_id FROM workspaces) LEFT JOIN hit USING (research_id, workspace_id)""")
+    SELECT research_id, workspace_id, 'exposed' AS status, concat('runs ', wp) AS reason FROM hit JOIN (SELECT workspace_id FROM workspaces) USING (workspace_id)""")
 def applicability(t):
     affected = t.mentions.join(t.part, F.col("p_partkey") == F.col("partkey")).select(F.col("rid").alias("research_id"), F.col("p_name").alias("product"))
     return jo.applicability(affected, t.products, t.workspaces)

@@ -250,9 +250,14 @@ def ranked_sources(t):
     return rk.rank_sources(t.reports.select(F.col("doc_id").alias("source_id"), "url", F.concat("title", F.col("doc_id").cast("string")).alias("title"), origin.alias("origin"), (F.col("doc_id") % 17).alias("score"), "published"), 15).select("source_id")
 
 
-@query("w03_spaced_views")
+#: The first view of a user and path, and each that is three days or more after the last kept one.
+SPACED = """WITH RECURSIVE s AS (SELECT user_id, path, min(seen_at) AS kept_at FROM access GROUP BY ALL UNION ALL
+      SELECT s.user_id, s.path, min(v.seen_at) FROM s JOIN (SELECT user_id, path, seen_at FROM access) v USING (user_id, path) WHERE v.seen_at >= s.kept_at + to_days(3) GROUP BY s.user_id, s.path)"""
+
+
+@query("w03_spaced_views", f"{SPACED} SELECT user_id, path, epoch(kept_at) AS at_s FROM s")
 def spaced(t):
-    return rk.spaced(t.access.withColumn("k", F.col("event_id") % 3), ["k"], "seen_at", 30)
+    return rk.spaced(t.access, ["user_id", "path"], "seen_at", 4320).select("user_id", "path", (F.unix_micros("seen_at") / 1e6).alias("at_s"))
 
 
 @query("w04_busy_time", """

@@ -9,6 +9,7 @@ from ..operators import diff as di
 from ..operators import merge as me
 from ..sources import writers as wr
 from ..streaming import jobs as st
+from .queries_rollups import SPACED
 from .registry import query
 
 OLD, NEW = "flag <> 'A'", "flag <> 'R'"
@@ -236,9 +237,9 @@ def feed_stream(t):
     return st.run_feed(t.pages)
 
 
-@query("ss02_view_stream")
+@query("ss02_view_stream", f"{SPACED} SELECT concat(user_id, ' ', path) AS key, epoch(kept_at) AS at_s FROM s")
 def view_stream(t):
-    return st.run_views(t.access)
+    return st.run_views(t.access, 4320).select("key", (F.unix_micros("seen_at") / 1e6).alias("at_s"))
 
 
 @query("ss03_log_tail", "SELECT count(*) AS n FROM access")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
@@ -14,12 +14,22 @@ from ..functions import indicators as ind
 NAMESPACE = "2f1d8c1e-5b0a-4d3c-9a57-6d1b3c9e7f10"
 
 
-def folder(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
+_local: dict[str, str] = {}
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A temporary folder takes its place only where everything runs in one process, as in tests.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        base = _local[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
