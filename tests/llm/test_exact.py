@@ -290,7 +290,7 @@ def test_kneser_ney_sums_to_one(spark):
     seen = sorted(set("".join(["abracadabra abra cadabra", "banana bandana", "abba cab dab"])))
     windows = [context + c for context in ("abra", "bana", "zzzz") for c in seen]
     totals = defaultdict(float)
-    for r in kn.probabilities(spark.createDataFrame(list(enumerate(windows)), "key long, gram string"), kn.model(docs)).collect():
+    for r in kn.probabilities(spark.createDataFrame(list(enumerate(windows)), "key long, gram string"), kn.model(docs)[0]).collect():
         totals[windows[r["key"]][:-1]] += r["p"]
     assert len(totals) == 3 and all(0.85 < total < 1.0001 for total in totals.values())
 
@@ -320,18 +320,19 @@ def kneser_ney_by_hand(trusted, order=5):
     return p
 
 
-def test_kneser_ney_by_hand(spark):
-    """Bits of documents over several blocks equal those of the definitions."""
+@pytest.mark.parametrize("most", [0, 12, 1 << 20])
+def test_kneser_ney_by_hand(spark, most):
+    """Bits of documents over several blocks equal those of the definitions, with an empty, a partial and a full head."""
     from threatweave.llm import kneser_ney as kn
 
     trusted = ["abracadabra abra cadabra", "banana bandana", "abba cab dab", "a banana"] * 2
     p = kneser_ney_by_hand(trusted)
     texts = ["banana", "xyz abra", "", None, "dab dab", "cabana \U0001f600"] * 3
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
-    model = kn.model(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    model, counts = kn.model(spark.createDataFrame([(t,) for t in trusted], "text string"))
     marked = kn.blocks(docs)
     assert marked.select("block").distinct().count() > 1
-    rows = kn.perplexities(marked, kn.scored_blocks(marked, model), ["doc_id"]).collect()
+    rows = kn.perplexities(marked, kn.scored_blocks(marked, model, counts, most), ["doc_id"]).collect()
     assert len(rows) == len(texts)
     for r in rows:
         t = texts[r["doc_id"]] or ""

@@ -3,9 +3,11 @@
 Units are characters, order ``ORDER``: any script works, and what the model holds grows with the variety of the trusted
 text. Counting: tasks count the windows of their trusted texts, Spark sums them; continuation counts, discounts (from
 counts of counts, for 1, 2 and 3 or more) and context sums are aggregations and joins over the count tables, which Spark
-shards by gram. Scoring joins the same tables: documents are written in blocks of neighbouring rows, tasks list the distinct
+shards by gram. Scoring joins the same tables. Documents are written in blocks of neighbouring rows, tasks list the distinct
 windows of each block, the distinct windows of all blocks get their probability by joins with the counts, order by order, and
-these go back to the blocks. A second pass over the documents reads the probabilities of its own block, and of no other.
+these go back to the blocks. A second pass over the documents reads the probabilities of its own block, and of no other. The
+windows that are most frequent in trusted text (``HEAD`` of them at most, of fixed size whatever the corpus) are in nearly every
+block; they are scored by the same joins, but once, and every task reads them, so that blocks only list the others.
 
 A share of the trusted documents (``FOLDS``-th part by a hash of the id) is left out of the counts and sets the thresholds,
 exactly and over all of them. A text's bits a character are compared with the mean of its language, in units of the spread of
@@ -43,6 +45,8 @@ RATE, FEW = 2.5, 4
 BLOCK_BITS = 13
 #: Stands before a text, so that its first characters have a context.
 START = "\x02"
+#: Windows that every task reads: 16 bytes each.
+HEAD = 1 << 20
 SCALE = 1000
 #: Bytes of text whose windows a task handles at once: its arrays take about 100 times as much.
 CHUNK_BYTES = 1 << 20
@@ -93,8 +97,8 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     return trusted.select("text").mapInArrow(freeing(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def model(trusted: DataFrame) -> DataFrame:
-    """The model's tables, as rows (n, kind, gram, value) in the shared folder.
+def model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model's tables, as rows (n, kind, gram, value) in the shared folder, and the counts (gram, c) of the longest order.
 
     Kind 0 has the discounted probability of a gram, kind 1 the weight that a context gives to the next lower order. Order 0
     has the uniform probability.
@@ -129,7 +133,7 @@ def model(trusted: DataFrame) -> DataFrame:
     rows = rows.unionByName(base)
     path = new_path(spark, "kneser-ney")
     rows.select("n", "kind", "gram", "value").write.partitionBy("n", "kind").parquet(path)
-    return spark.read.schema("gram string, value double, n int, kind int").parquet(path)
+    return spark.read.schema("gram string, value double, n int, kind int").parquet(path), tables[ORDER]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -154,10 +158,41 @@ def inner_places(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def block_windows(docs: DataFrame) -> DataFrame:
-    """(block, key, gram): the distinct windows of ORDER characters of each block, and their hashes."""
+def keyed(grams: DataFrame) -> DataFrame:
+    """(key, gram): windows of ORDER characters with their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer("".join(batch["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(codes(wide, ORDER)[ORDER - 1 :: ORDER].view(np.int64)), batch["gram"]], names=["key", "gram"])
+
+    return grams.select("gram").mapInArrow(freeing(run), "key long, gram string")
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` (gram, c) with the largest counts: as many classes of counts (a quarter octave each) as hold ``most`` rows."""
+    size = F.floor(4 * F.log2("c"))
+    least, held = None, 0
+    for row in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += row["n"]
+        if held > most:
+            break
+        least = row["size"]
+    return counts.filter(F.lit(False) if least is None else size >= least)
+
+
+def has(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among ``own``, which is sorted."""
+    if not len(own):
+        return np.zeros(len(keys), dtype=bool)
+    return own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+
+
+def block_windows(docs: DataFrame, head: str) -> DataFrame:
+    """(block, key, gram): the distinct windows of ORDER characters of each block that the head hasn't, and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, _ = scored_bits(head)
         at, seen = None, np.zeros(0, dtype=np.uint64)
         for block, chunk in by_block(batches):
             if block != at:
@@ -166,9 +201,8 @@ def block_windows(docs: DataFrame) -> DataFrame:
             flat, bounds = points(texts)
             ends = inner_places(flat, bounds)
             keys, first, _ = distinct(codes(flat, ORDER)[ends])
-            new = np.ones(len(keys), dtype=bool)
-            if len(seen):
-                new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
+            new = ~has(common, keys)
+            new[new] = ~has(seen, keys[new])
             if new.any():
                 pad = START * (ORDER - 1)
                 joined = pad + pad.join(texts)
@@ -203,23 +237,25 @@ def probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
     return p
 
 
-def scored_blocks(docs: DataFrame, model: DataFrame) -> str:
-    """The folder with the probability of each window of each block of ``docs``, a folder a block."""
-    windows = written(block_windows(docs), "kneser-windows")
+def scored_blocks(docs: DataFrame, model: DataFrame, counts: DataFrame, most: int = HEAD) -> tuple[str, str]:
+    """Two folders: the probabilities of the head's windows, and those of each block's other windows, a folder a block."""
+    head = new_path(docs.sparkSession, "kneser-head")
+    probabilities(keyed(frequent(counts, most)), model).write.parquet(head)
+    windows = written(block_windows(docs, head), "kneser-windows")
     p = probabilities(written(windows.groupBy("key").agg(F.first("gram").alias("gram")), "kneser-distinct"), model)
     path = new_path(docs.sparkSession, "kneser-blocks")
     windows.select("block", "key").join(p, "key").select("block", "key", "p").repartition("block").write.partitionBy("block").parquet(path)
-    return path
+    return head, path
 
 
-def block_bits(path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of a block's windows, and -log2 of their probabilities."""
+def scored_bits(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the windows in a folder, and -log2 of their probabilities; none where there is no folder."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(path)
     keys, values = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
-    for f in system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True)):
+    for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
         if f.path.endswith(".parquet"):
             for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(200_000, columns=["key", "p"]):
                 keys.append(batch["key"].to_numpy().view(np.uint64))
@@ -247,24 +283,29 @@ def peaks(flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.nd
     return n, most
 
 
-def perplexities(docs: DataFrame, path: str, carried: list[str]) -> DataFrame:
+def perplexities(docs: DataFrame, folders: tuple[str, str], carried: list[str]) -> DataFrame:
     """``carried`` columns, n_scored (characters), bits (bits a character times SCALE, whole), n_words (runs of letters) and peak of every document."""
+    head, path = folders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = scored_bits(head)
         at = None
         for block, chunk in by_block(batches):
             if block != at:
-                at, (keys, values) = block, block_bits(path, block)
+                at, mine = block, scored_bits(f"{path}/block={block}")
             texts = [t or "" for t in chunk["text"].to_pylist()]
             flat, bounds = points(texts)
             ends = inner_places(flat, bounds)
             bits = np.zeros(len(flat))
             if len(ends):
                 own, _, back = distinct(codes(flat, ORDER)[ends])
-                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                if not (keys[place] == own).all():
+                each = np.full(len(own), np.nan)
+                for keys, values in (common, mine):
+                    at_ = np.flatnonzero(has(keys, own))
+                    each[at_] = values[np.searchsorted(keys, own[at_])]
+                if np.isnan(each).any():
                     raise RuntimeError(f"block {block} has windows that were not scored")
-                bits[ends] = values[place][back]
+                bits[ends] = each[back]
             sums = np.add.reduceat(bits, bounds[:-1])
             n = np.diff(bounds) - ORDER + 1
             mean = np.rint(SCALE * sums / np.maximum(n, 1)).astype(np.int64)
@@ -339,8 +380,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     marked = flagged(texts, trusted_ids(labels)).withColumn("held", F.col("trusted") & (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0))
     marked = blocks(marked)
-    path = scored_blocks(marked, model(marked.filter("trusted and not held")))
-    scored = written(perplexities(marked, path, ["doc_id", "lang", "held"]), "perplexities")
+    folders = scored_blocks(marked, *model(marked.filter("trusted and not held")))
+    scored = written(perplexities(marked, folders, ["doc_id", "lang", "held"]), "perplexities")
     bits = F.col("bits") / SCALE
     return rated(scored).select("doc_id", "lang", "n_scored", bits.alias("bits_per_char"), F.pow(F.lit(2.0), bits).alias("perplexity"), "kept", (F.col("peak") / SCALE).alias("peak"), "clean")
 
