@@ -25,6 +25,24 @@ def entities(rows: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
+def groups(rows: DataFrame, query: str, limits: dict[str, int]) -> DataFrame:
+    """(type, key, title, rank): the best hits of each type, as many as ``limits`` says.
+
+    rows has (type, key, title, text, recent): ``text`` is searched besides title and key. Exact titles or keys come first, keys that
+    begin with the query next, then the greatest ``recent``, the title and the key.
+    """
+    q = query.strip().lower()
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    hits = rows.filter(F.col("type").isin(*limits) & (F.contains(low("title"), F.lit(q)) | F.contains(low("key"), F.lit(q)) | F.contains(low("text"), F.lit(q))))
+    place = F.when((low("title") == q) | (low("key") == q), 0).when(F.startswith(low("key"), F.lit(q)), 1).otherwise(2)
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(place, F.desc_nulls_last("recent"), "title", "key"))
+    most = F.lit(0)
+    for kind, n in limits.items():
+        most = F.when(F.col("type") == kind, n).otherwise(most)
+    # The first condition is one number, so that tasks keep the best rows only before the shuffle.
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= max(limits.values())).filter(F.col("rank") <= most).select("type", "key", "title", "rank")
+
+
 def jump(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query, type, key): the entity that a typed query names exactly: a CVE, an indicator or a research id."""
     plain = refang(F.col("query"))
