@@ -78,3 +78,26 @@ def test_decontamination_tolerates_substitutions(spark, benchmark):
     docs = spark.createDataFrame([(1, "Before. " + " ".join(words).upper() + " After."), (2, "nothing of the kind at all in these few words here today")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
     assert rows[1]["item_ids"] == [1] and not rows[1]["kept"] and rows[2]["kept"]
+
+
+def test_short_items_match_as_they_are(spark):
+    import duckdb
+
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "One two three, four five six SEVEN"), (3, "four words are few"), (4, "nine words in a row are still rather short"), (None, "alpha beta gamma delta zeta"), (5, "alpha beta gamma delta epsilon")]
+    texts = [
+        (1, "x Alpha, beta gamma delta epsilon y"), (2, "alpha beta gamma x epsilon"), (3, "one two three four five six seven. Alpha beta gamma delta epsilon"), (4, "four words are few"),
+        (5, None), (6, ""), (7, "alpha"), (7, "a alpha beta gamma delta epsilon"), (8, "nine words in a row are still rather short" + " z" * 20_000), (9, "alpha beta gamma delta epsilonx"), (None, "alpha beta gamma delta epsilon"),
+    ]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in texts], "doc_id long, text string, seed string, matched int")
+    bench = spark.createDataFrame([(i, t, "k") for i, t in items], "item_id long, text string, words string")
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {1: [1, 5], 3: [1, 2, 5], 7: [1, 5], 8: [4]}
+    out = decontaminate.decontaminate(docs, bench).collect()
+    assert len(out) == len(texts) and sum(not r["kept"] for r in out) == 5
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts[:6] + texts[8:10])
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into benchmark values (?, ?)", [i for i in items if i[0] is not None])
+    mine = decontaminate.decontaminate(docs.filter("doc_id not in (7)"), bench)
+    assert sorted(tuple(r) for r in mine.collect()) == sorted(con.sql(f"select {', '.join(mine.columns)} from ({decontaminate.OP6_SQL})").fetchall())

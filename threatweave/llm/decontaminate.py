@@ -7,8 +7,11 @@ substitution ``-PENALTY``, and the best run must reach ``NEED``. Words are lower
 
 DataFrame and SQL functions only. Benchmark seeds and candidate ids are broadcast behind a count, and joined by shuffle beyond it.
 
-Defined results: a null or empty text has no words and is kept; items with fewer words than the longest mask are too short
-to be evidence and are not searched; repeated items count by their ids; a document row is judged by its id, so rows that
+Items shorter than a mask, from ``WHOLE`` words on, must occur as they are: windows of their lengths are joined by hash and compared
+word by word. They cost nothing where there are none.
+
+Defined results: a null or empty text has no words and is kept; items with fewer than ``WHOLE`` words are met by chance in clean
+texts, so they are no evidence and are not searched; repeated items count by their ids; a document row is judged by its id, so rows that
 share an id share the verdict, and rows without an id are kept; an empty benchmark keeps all.
 """
 
@@ -22,6 +25,8 @@ from .common import table, written
 #: Word positions that count; the others are ignored.
 MASKS = ((0, 1, 3, 5, 6, 9), (0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 8))
 SPAN = 10
+#: The fewest words of an item that is searched.
+WHOLE = 5
 NEED, PENALTY = 10, 2
 BROADCAST_SEEDS, BROADCAST_IDS = 2_000_000, 1_000_000
 
@@ -56,10 +61,38 @@ def best_run(words: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(gains, step, add, lambda acc: acc["best"])
 
 
+def windows(df: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, seed) of every run of ``lengths`` words (at most SPAN - 1)."""
+    hashes = df.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") >= min(lengths))
+    shifted = F.arrays_zip(*[F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))).alias(f"w{k}") for k in range(max(lengths))])
+    rows = hashes.select(key, F.explode(shifted).alias("w"))
+    marks = [F.when(F.col(f"w.w{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"w.w{k}") for k in range(n)])) for n in lengths]
+    return rows.select(key, F.explode(F.array(*marks)).alias("seed")).filter("seed is not null")
+
+
+def whole_items(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched): items (item_id, words) of fewer than SPAN words that occur in a text as they are."""
+    lengths = sorted(r.n for r in items.select(F.size("words").alias("n")).distinct().collect())
+    if not lengths:
+        return texts.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0).alias("matched"))
+    small = items.count() <= BROADCAST_SEEDS
+    seed = F.lit(None).cast("long")
+    for n in lengths:
+        seed = F.when(F.size("words") == n, F.xxhash64(F.lit(n), *[F.xxhash64(F.get("words", F.lit(k))) for k in range(n)])).otherwise(seed)
+    wanted = items.select("item_id", seed.alias("seed"))
+    mine = windows(texts.select("doc_id", tokens(F.col("text")).alias("words")), "doc_id", lengths)
+    pairs = written(mine.join(F.broadcast(wanted) if small else wanted, "seed").select("doc_id", "item_id").distinct(), "whole-items")
+    found = texts.join(pairs, "doc_id").select("doc_id", "item_id", tokens(F.col("text")).alias("words")).join(items.withColumnRenamed("words", "item"), "item_id")
+    n = F.size("item")
+    there = F.exists(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda p: F.slice("words", p, n) == F.col("item"))
+    return found.filter(there).select("doc_id", "item_id", n.alias("matched"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched): verified overlaps, the best run of each pair."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") >= SPAN))
-    items = written(items, "benchmark-words")
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") >= WHOLE))
+    known = written(known, "benchmark-words")
+    items, short = known.filter(F.size("words") >= SPAN), known.filter(F.size("words") < SPAN)
     item_seeds = written(seeds(items, "item_id").select("seed", "item_id", F.col("pos").alias("q")).distinct(), "benchmark-seeds")
     small = item_seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -71,8 +104,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     found = found.select("doc_id", tokens(F.col("text")).alias("words"))
     both = diagonals.join(items.withColumnRenamed("words", "item"), "item_id").join(found, "doc_id")
-    scored = both.select("doc_id", "item_id", best_run(F.col("words"), F.col("item"), F.col("shift")).alias("matched"))
-    return scored.filter(F.col("matched") >= NEED).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
+    scored = both.select("doc_id", "item_id", best_run(F.col("words"), F.col("item"), F.col("shift")).alias("matched")).filter(F.col("matched") >= NEED)
+    return scored.unionByName(whole_items(texts, short)).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -108,14 +141,16 @@ def _seed_sql(source: str, key: str) -> str:
 #: The same result in SQL: seeds as texts, the best run by running sums.
 OP6_SQL = rf"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= {SPAN}),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT item_id, w FROM i WHERE len(w) >= {SPAN}), o AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS k FROM i WHERE len(w) BETWEEN {WHOLE} AND {SPAN - 1}),
 tp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t), bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM b),
 ts AS ({_seed_sql("tp", "doc_id")}), bs AS ({_seed_sql("bp", "item_id")}),
 d AS (SELECT DISTINCT doc_id, item_id, ts.p - bs.p AS shift FROM ts JOIN bs USING (m, k)),
 g AS (SELECT doc_id, item_id, shift, t.w AS w, b.w AS v, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(t.w) - shift) + 1)) AS q FROM d JOIN t USING (doc_id) JOIN b USING (item_id)),
 s AS (SELECT doc_id, item_id, shift, q, sum(CASE WHEN v[q] = w[q + shift] THEN 1 ELSE -{PENALTY} END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS s FROM g),
 r AS (SELECT doc_id, item_id, shift, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM s),
-f AS (SELECT doc_id, item_id, cast(max(run) AS BIGINT) AS matched FROM r GROUP BY ALL HAVING max(run) >= {NEED}),
+f AS (SELECT doc_id, item_id, cast(max(run) AS BIGINT) AS matched FROM r GROUP BY ALL HAVING max(run) >= {NEED}
+  UNION ALL SELECT DISTINCT doc_id, item_id, n FROM (SELECT doc_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k FROM tp, (SELECT DISTINCT n FROM o) WHERE p + n - 1 <= len(w)) JOIN o USING (n, k)),
 c AS (SELECT doc_id, count(*) AS n_items, max(matched) AS matched, list(item_id ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept, coalesce(n_items, 0) AS n_items, coalesce(matched, 0) AS matched, coalesce(item_ids, []) AS item_ids FROM documents LEFT JOIN c USING (doc_id)
 """
