@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from threatweave.llm import registry, tokens
-from threatweave.llm.chunk_dedup import cuts
+from threatweave.llm import chunk_dedup, registry, tokens
+from threatweave.llm.chunk_dedup import RUN, cuts
 from threatweave.llm.minhash import BOUNDS, may_link
 
 SF = "/root/testdata/sf0.001"
@@ -206,16 +206,64 @@ def test_op4_rejects_labelled_bad(spark):
     assert np.mean(kept[1, 0]) > 0.98 and np.mean(kept[0, 0] + kept[0, 1]) < 0.1
 
 
+def repeats_by_hand(docs):
+    """Document -> (n_bytes, repeats) from all chunks of all texts in memory; ``docs`` are (doc_id, text) of distinct ids."""
+    found = {}
+    for i, t in docs:
+        data, at, found[i] = (t or "").encode(), 0, []
+        for e in cuts(data):
+            found[i].append((at, e, data[at:e]))
+            at = e
+    places = defaultdict(list)
+    for i in sorted(found):
+        for s, e, x in found[i]:
+            places[x].append((i, s))
+    out = {}
+    for i, own in found.items():
+        runs = []
+        for s, e, x in own:
+            if len(places[x]) > 1:
+                gone = 0 if places[x][0] == (i, s) else e - s
+                if runs and runs[-1][1] == s:
+                    runs[-1] = (runs[-1][0], e, runs[-1][2] + gone)
+                else:
+                    runs.append((s, e, gone))
+        out[i] = sum(e - s for s, e, _ in own), ",".join(f"{s}:{e}:{g}" for s, e, g in runs if e - s >= RUN)
+    return out
+
+
 def test_op5(spark, docs):
-    rows = {r["doc_id"]: r for r in result(spark, "op5_chunk_dedup")}
-    where = defaultdict(set)
-    for i, t in docs.items():
-        w = WORD.findall(t)
-        for k in range(len(w) - 59):
-            where[tuple(w[k : k + 60])].add(i)
-    shared = {i for ids in where.values() if len(ids) > 1 for i in ids}
-    assert all(rows[i]["has_repeat"] for i in shared)
-    assert all(r["removed_bytes"] <= r["repeat_bytes"] <= r["n_bytes"] for r in rows.values())
+    rows = result(spark, "op5_chunk_dedup")
+    hand = repeats_by_hand(docs.items())
+    assert {r["doc_id"]: (r["n_bytes"], r["repeats"]) for r in rows} == hand and len(rows) == len(hand)
+    for r in rows:
+        runs = [tuple(map(int, x.split(":"))) for x in r["repeats"].split(",") if x]
+        assert (r["has_repeat"], r["n_repeats"]) == (bool(runs), len(runs))
+        assert (r["repeat_bytes"], r["removed_bytes"]) == (sum(e - s for s, e, _ in runs), sum(g for *_, g in runs))
+        assert r["kept"] == (r["removed_bytes"] < r["n_bytes"] or not r["n_bytes"])
+
+
+def test_op5_splits_common_chunks(spark, docs, monkeypatch):
+    monkeypatch.setattr(chunk_dedup, "SHARE", 3)
+    common = " ".join(f"footer{k}" for k in range(60))
+    rows = [(i, f"{t or ''} {common} {common if i % 3 == 0 else ''}") for i, t in list(docs.items())[:40]]
+    out = chunk_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["repeats"]) for r in out} == repeats_by_hand(rows)
+    assert all(r["has_repeat"] for r in out)
+
+
+def test_op5_finds_planted_passages(spark):
+    """Passages of 51 words, each put into two texts."""
+    rng = np.random.default_rng(11)
+    names = np.array(["".join(rng.choice(list("abcdefghiklmnoprstuvw"), n)) for n in rng.integers(2, 11, 4000)])
+    prose = lambda n: " ".join(rng.choice(names, n))
+    rows = []
+    for k in range(400):
+        passage = prose(51)
+        rows += [(2 * k, f"{prose(40)} {passage} {prose(30)}"), (2 * k + 1, f"{prose(70)} {passage}")]
+    rows += [(k, prose(150)) for k in range(1000, 1400)]
+    out = {r["doc_id"]: r["has_repeat"] for r in chunk_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([out[k] for k in range(800)]) > 0.97 and not any(out[k] for k in range(1000, 1400))
 
 
 def test_cuts_resist_insertions():

@@ -1,8 +1,10 @@
 """Operator 5: substring dedup by content-defined chunks with a gear rolling hash.
 
-The gear hash at a byte is a sum over the last 32 bytes, each mapped to a random number and shifted by its age, so a cut
-depends on the bytes right before it and an insertion only moves the cuts near it. A chunk ends where the top ``CUT_BITS`` bits
-of the hash are 0, not before ``LEAST`` and at ``MOST`` bytes at the latest. Chunks are compared by 128-bit digests over all
+The gear hash at a byte is a sum over the last ``WINDOW`` bytes, each mapped to a random number and shifted by its age. A
+chunk ends where the hash is at least as great as at the ``APART`` bytes on either side, so a cut depends on the bytes
+around it only: an insertion moves the cuts near it, and equal passages are cut alike from ``WINDOW + APART`` bytes on. In
+stretches with a short period, where cuts could be nearer than ``APART``, each counts from the one before. Chunks that
+would be longer than ``MOST`` bytes are cut by length. Chunks are compared by 128-bit digests over all
 documents. Runs of repeated chunks of ``RUN`` bytes or more are repeated passages; all but the first occurrence (the least
 document id and place) of their chunks are removed. Shorter runs (stock phrases) stay.
 
@@ -24,16 +26,18 @@ from pyspark.sql import functions as F
 from .common import freeing, table, written
 from .tokens import chunks
 
-CUT_BITS, LEAST, MOST = 5, 24, 160
+APART, MOST = 20, 200
 RUN = 80
-WINDOW = 32
+WINDOW = 16
+#: A digest with more occurrences is split among tasks, this many in each; and the most digests that are split (24 bytes each).
+SHARE, SPLIT = 10_000, 100_000
 #: Bits of a packed chunk's length and of the tag that tells texts of one document id apart.
 LENGTH_BITS, TAG_BITS = 8, 20
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash at each byte: sums over 1, 2, 4 ... 32 bytes, each from two of the one before."""
+    """The gear hash at each byte: sums over 1, 2, 4 ... 16 bytes, each from two of the one before."""
     h = GEAR[data]
     width = 1
     while width < WINDOW:
@@ -44,22 +48,31 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def peaks(h: np.ndarray) -> np.ndarray:
+    """Where ``h`` is at least as great as in the APART places on either side; never at the ends."""
+    n = len(h) - 2 * APART
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    # The greatest of APART neighbours from each place on, from two of shorter stretches.
+    most, width = h, 1
+    while width < APART:
+        step = min(width, APART - width)
+        most = np.maximum(most[:-step], most[step:])
+        width += step
+    mid = h[APART : APART + n]
+    return np.flatnonzero((mid >= most[:n]) & (mid >= most[APART + 1 : APART + 1 + n])) + APART
+
+
 def cuts(data: bytes) -> list[int]:
     """Where the chunks of a text end."""
-    marks = np.flatnonzero(gear(np.frombuffer(data, dtype=np.uint8)) >> np.uint32(32 - CUT_BITS) == 0) + 1
     out, at, n = [], 0, len(data)
-    for m in marks.tolist():
+    for m in [*(peaks(gear(np.frombuffer(data, dtype=np.uint8))) + 1).tolist(), n]:
         while m - at > MOST:
             at += MOST
             out.append(at)
-        if m - at >= LEAST:
+        if m - at >= APART or m == n > at:
             at = m
             out.append(at)
-    while n - at > MOST:
-        at += MOST
-        out.append(at)
-    if n > at:
-        out.append(n)
     return out
 
 
@@ -95,11 +108,25 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, length, first): chunks that occur twice or more; first marks the occurrence that stays."""
+    """(doc_id, tag, start, length, first): chunks that occur twice or more; first marks the occurrence that stays.
+
+    Occurrences meet their digest's row by a shuffled join. The ``SPLIT`` most frequent digests are known to all tasks, and
+    each goes to one task for every ``SHARE`` of its occurrences, so a chunk that very many texts share isn't one task's work.
+    """
     every = chunk_table(docs)
     place = F.struct("doc_id", "spot")
-    often = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("high", "low", "first")
-    found = every.join(often, ["high", "low"]).select("doc_id", "spot", (place == F.col("first")).alias("first"))
+    often = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    often = written(often.select("high", "low", "first", F.ceil(F.col("n") / SHARE).cast("int").alias("parts")), "chunk-digests")
+    hot = often.filter("parts > 1").orderBy(F.desc("parts"), "high", "low").limit(SPLIT)
+    hot = written(hot.select(F.col("high").alias("hot_high"), F.col("low").alias("hot_low"), F.col("parts").alias("hot_parts")), "chunk-hot")
+
+    def beside(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(hot), (F.col("high") == F.col("hot_high")) & (F.col("low") == F.col("hot_low")), "left")
+
+    keys = beside(often).select("high", "low", "first", F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1)).alias("part"))
+    rows = beside(every).select("high", "low", "doc_id", "spot", F.pmod(F.xxhash64("doc_id", "spot"), F.coalesce("hot_parts", F.lit(1))).cast("int").alias("part"))
+    # A null document id sorts first and is a place like any other.
+    found = rows.join(keys, ["high", "low", "part"]).select("doc_id", "spot", place.eqNullSafe(F.col("first")).alias("first"))
     start, length = F.shiftright("spot", LENGTH_BITS + TAG_BITS), F.shiftright("spot", TAG_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
     return found.select("doc_id", F.col("spot").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), start.alias("start"), length.alias("length"), "first")
 
@@ -107,13 +134,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, runs): the repeated passages of each text as (s, e, gone), bytes and removed bytes."""
     held = repeated_chunks(docs).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "length", "first"))).alias("c"))
+    # A run begins at each chunk that doesn't begin where the one before ends.
+    heads = F.expr("filter(sequence(0, size(c) - 1), i -> i = 0 or get(c, i).start <> get(c, i - 1).start + get(c, i - 1).length)")
     runs = F.expr(
-        f"""filter(aggregate(c, cast(array() as array<struct<s:bigint,e:bigint,gone:bigint>>),
-        (acc, x) -> if(coalesce(try_element_at(acc, -1).e = x.start, false),
-          concat(slice(acc, 1, size(acc) - 1), array(struct(try_element_at(acc, -1).s as s, x.start + x.length as e, try_element_at(acc, -1).gone + if(x.first, 0L, x.length) as gone))),
-          concat(acc, array(struct(x.start as s, x.start + x.length as e, if(x.first, 0L, x.length) as gone))))), r -> r.e - r.s >= {RUN})"""
+        f"""filter(transform(heads, (h, j) -> named_struct(
+          's', get(c, h).start,
+          'e', get(c, coalesce(get(heads, j + 1), size(c)) - 1).start + get(c, coalesce(get(heads, j + 1), size(c)) - 1).length,
+          'gone', aggregate(slice(c, h + 1, coalesce(get(heads, j + 1), size(c)) - h), 0L, (a, x) -> a + if(x.first, 0L, x.length))
+        )), r -> r.e - r.s >= {RUN})"""
     )
-    return held.select("doc_id", "tag", runs.alias("runs")).filter(F.size("runs") > 0)
+    return held.withColumn("heads", heads).select("doc_id", "tag", runs.alias("runs")).filter(F.size("runs") > 0)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
