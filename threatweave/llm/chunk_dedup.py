@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing, table, written
+from .common import freeing, let, table, written
 from .tokens import chunks
 
 APART, MOST = 20, 200
@@ -132,18 +132,22 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, runs): the repeated passages of each text as (s, e, gone), bytes and removed bytes."""
+    """(doc_id, tag, runs): the repeated passages of each text as (s, e, gone), bytes and removed bytes; there may be none."""
     held = repeated_chunks(docs).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "length", "first"))).alias("c"))
     # A run begins at each chunk that doesn't begin where the one before ends.
     heads = F.expr("filter(sequence(0, size(c) - 1), i -> i = 0 or get(c, i).start <> get(c, i - 1).start + get(c, i - 1).length)")
-    runs = F.expr(
-        f"""filter(transform(heads, (h, j) -> named_struct(
-          's', get(c, h).start,
-          'e', get(c, coalesce(get(heads, j + 1), size(c)) - 1).start + get(c, coalesce(get(heads, j + 1), size(c)) - 1).length,
-          'gone', aggregate(slice(c, h + 1, coalesce(get(heads, j + 1), size(c)) - h), 0L, (a, x) -> a + if(x.first, 0L, x.length))
-        )), r -> r.e - r.s >= {RUN})"""
-    )
-    return held.withColumn("heads", heads).select("doc_id", "tag", runs.alias("runs")).filter(F.size("runs") > 0)
+
+    def runs(heads: Column) -> Column:
+        def run(head: Column, j: Column) -> Column:
+            after = F.coalesce(F.get(heads, j + 1), F.size("c"))
+            last = F.get("c", after - 1)
+            gone = F.aggregate(F.slice("c", head + 1, after - head), F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"], F.lit(0)).otherwise(x["length"]))
+            return F.struct(F.get("c", head)["start"].alias("s"), (last["start"] + last["length"]).alias("e"), gone.alias("gone"))
+
+        return F.filter(F.transform(heads, run), lambda r: r["e"] - r["s"] >= RUN)
+
+    # Rows without a run stay in: a filter on the runs would have Spark find them twice.
+    return held.select("doc_id", "tag", let(heads, runs).alias("runs"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
