@@ -212,7 +212,9 @@ def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (bucket, rep, comp, size) of buckets whose members are in more than one component."""
     now = bands.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     open_ = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
-    return now.join(open_.select("bucket", "size"), "bucket")
+    # Few buckets stay open, so that the rows needn't be dealt by bucket.
+    open_ = written(open_.select("bucket", "size"), "minhash-unsettled")
+    return now.join(F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_, "bucket")
 
 
 def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
