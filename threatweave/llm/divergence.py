@@ -39,7 +39,7 @@ STRIPE = "lang string, term string, df long, sources array<string>, counts array
 _TO = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct terms, the number of each occurrence's term, and the bounds of each text's occurrences."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     first, last = (texts.offset, texts.offset + len(texts))
@@ -49,10 +49,10 @@ def terms_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     clean = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(plain))
     lists = pc.ascii_split_whitespace(clean)
     coded = lists.flatten().dictionary_encode()
-    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    full = (np.array([x != "" for x in names], dtype=bool) if names else np.zeros(0, dtype=bool))[codes]
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    full = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[codes]
     bounds = np.concatenate([[0], np.cumsum(full)])[np.asarray(lists.offsets)]
-    return names, codes[full].astype(np.int64), bounds
+    return coded.dictionary, codes[full].astype(np.int64), bounds
 
 
 class Stripes:
@@ -66,7 +66,8 @@ class Stripes:
         self.hits: list[tuple[np.ndarray, np.ndarray]] = []
 
     def fold(self, chunk: pa.Table) -> None:
-        names, codes, bounds = terms_of(chunk["text"].combine_chunks())
+        distinct, codes, bounds = terms_of(chunk["text"].combine_chunks())
+        names = distinct.to_pylist()
         lang_of = np.array([self.langs.setdefault(x, len(self.langs)) for x in chunk["lang"].to_pylist()], dtype=np.int64)
         group_of = np.array([self.groups.setdefault((g, s), len(self.groups)) for g, s in zip(lang_of.tolist(), chunk["source"].to_pylist(), strict=True)], dtype=np.int64)
         sizes = np.diff(bounds)
@@ -154,13 +155,15 @@ def merged(spilled: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         for batch in batches:
             langs, terms = batch["lang"], batch["term"]
             dfs = batch["df"].to_numpy(zero_copy_only=False)
-            # Terms that stand alone and are too rare go without a look at their counts.
-            if len(batch) > 1:
-                same = pc.and_(pc.equal(langs[1:], langs[:-1]), pc.equal(terms[1:], terms[:-1])).to_numpy(zero_copy_only=False)
-            else:
-                same = np.zeros(0, dtype=bool)
-            alone = ~np.concatenate([[True], same]) & ~np.concatenate([same, [True]]) & (dfs < least_docs)
-            batch = batch.filter(pa.array(~alone))
+            if not len(batch):
+                continue
+            # Terms that lie wholly within the batch and are too rare go without a look at their counts.
+            new = np.ones(len(batch), dtype=bool)
+            new[1:] = ~pc.and_(pc.equal(langs[1:], langs[:-1]), pc.equal(terms[1:], terms[:-1])).to_numpy(zero_copy_only=False)
+            group = np.cumsum(new) - 1
+            enough = np.add.reduceat(dfs, np.flatnonzero(new)) >= least_docs
+            enough[[0, -1]] = True
+            batch = batch.filter(pa.array(enough[group]))
             for lang, term, n, sources, values in zip(*(batch[c].to_pylist() for c in out), strict=True):
                 if key != (lang, term):
                     close()

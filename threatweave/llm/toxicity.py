@@ -1,7 +1,7 @@
 """Operator 11: toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct words (runs of letters and of characters above ASCII, A-Z lower-cased) and their first
-``PREFIXES`` characters, each as a 64-bit hash. A term has a weight and a vector of ``FACTORS`` numbers; the score of a text
+``PREFIXES`` bytes, each as a 64-bit hash. A term has a weight and a vector of ``FACTORS`` numbers; the score of a text
 is the logistic of an offset, the weights of its terms and the dot products of all pairs of their vectors. So terms that are
 harmless alone (a group's name, an ambiguous insult) can be toxic together, which a sum of weights can't say.
 
@@ -31,56 +31,78 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing, table, written
+from .common import distinct, freeing, table, written
 from .divergence import terms_of
+from .minhash import mixed
 from .tokens import chunks
 
 PREFIXES = (4, 5, 6)
-FACTORS, ROUNDS = 4, 50
+FACTORS, ROUNDS = 4, 30
 FEATURES = 1 << 16
 #: Documents that a term needs at least.
 LEAST = 3
 #: Steps of weights and of vectors, decay, spread of the first vectors, and parts of one in whole gradients.
-STEP, VECTOR_STEP, DECAY, SPREAD, WHOLE = 0.5, 0.1, 1e-4, 0.05, 1 << 24
+STEP, VECTOR_STEP, DECAY, SPREAD, WHOLE = 1.0, 0.1, 1e-4, 0.05, 1 << 24
 FOLDS = 5
 #: Labels that are broadcast at most (12 bytes each).
 BROADCAST_LABELS = 1_000_000
+#: Random factors of a word's bytes by their place.
+PLACES = np.random.default_rng(11).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A column for the whole word and for each prefix: 64-bit hashes, 0 where a word is no longer than the prefix."""
+    words = words.cast(pa.large_binary())
+    first, n = words.offset, len(words)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[first : first + n + 1]
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if n and words.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    starts, sizes = offsets[:-1] - (offsets[0] if n else 0), np.diff(offsets)
+    out = np.zeros((n, 1 + len(PREFIXES)), dtype=np.uint64)
+    if not len(data):
+        return out.view(np.int64)
+    # The sum of bytes times the random factors of their places.
+    place = (np.arange(len(data)) - np.repeat(starts, sizes)) % len(PLACES)
+    some = sizes > 0
+    out[some, 0] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * PLACES[place], starts[some])
+    ahead = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        eight |= ahead[starts + k].astype(np.uint64) << np.uint64(8 * k)
+    for c, k in enumerate(PREFIXES, 1):
+        long = sizes > k
+        out[long, c] = (eight[long] & np.uint64((1 << 8 * k) - 1)) * np.uint64(2) + np.uint64(1) + (np.uint64(c) << np.uint64(60))
+    for c in range(out.shape[1]):
+        out[:, c] = np.where(out[:, c] == 0, 0, np.maximum(mixed(out[:, c]), np.uint64(1)))
+    return out.view(np.int64)
+
+
 def hashed_terms(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and terms: each distinct term of each text, by rows. With ``only`` (sorted hashes) terms are places in it."""
-    names, codes, bounds = terms_of(texts)
+    words, codes, bounds = terms_of(texts)
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    width = max(1, len(names))
-    once = np.unique(rows * width + codes)
+    values = word_hashes(words)
+    good = values != 0
+    if only is not None:
+        at = np.searchsorted(only, values)
+        good &= np.append(only, 0)[at] == values if len(only) else False
+        values = at
+        # Words without a term of the model go before anything is sorted.
+        keep = good.any(axis=1)[codes]
+        rows, codes = rows[keep], codes[keep]
+    width = max(1, len(words))
+    once = distinct(rows * width + codes)
     rows, codes = once // width, once % width
-    words = pa.array(names, pa.string())
-    length = pc.utf8_length(words)
-    found_rows, found = [], []
-    for k in (0, *PREFIXES):
-        part = words if k == 0 else pc.if_else(pc.greater(length, k), pc.utf8_slice_codeunits(words, 0, k), pa.scalar(None, pa.string()))
-        coded = part.dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed=k) for w in coded.dictionary.to_pylist()], dtype=np.uint64).astype(np.int64)
-        values = hashes
-        good = np.ones(len(hashes), dtype=bool)
-        if only is not None:
-            values = np.searchsorted(only, hashes)
-            good = np.append(only, 0)[values] == hashes if len(only) else np.zeros(len(hashes), dtype=bool)
-            good &= values < len(only)
-        at = pc.fill_null(coded.indices, len(hashes)).to_numpy(zero_copy_only=False)[codes]
-        keep = np.append(good, False)[at]
-        found_rows.append(rows[keep])
-        found.append(values[at[keep]].astype(np.int64))
-    rows, terms = np.concatenate(found_rows), np.concatenate(found)
+    held = good[codes]
+    terms = values[codes][held]
+    rows = np.repeat(rows, held.sum(axis=1))
     order = np.lexsort((terms, rows))
     rows, terms = rows[order], terms[order]
     new = np.ones(len(rows), dtype=bool)
@@ -88,16 +110,33 @@ def hashed_terms(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.nd
     return rows[new], terms[new]
 
 
+def counted_terms(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of some texts, and in how many texts and toxic texts they are."""
+    words, codes, bounds = terms_of(texts)
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    width = max(1, len(words))
+    once = distinct(rows * width + codes)
+    rows, codes = once // width, once % width
+    parts = []
+    for values in word_hashes(words).T:
+        terms, place = np.unique(values, return_inverse=True)
+        # A prefix counts once a text, whichever words have it.
+        width = max(1, len(terms))
+        at = distinct(rows * width + place[codes])
+        at, row = at % width, at // width
+        n, bad = np.bincount(at, minlength=len(terms)), np.bincount(at[toxic[row] > 0], minlength=len(terms))
+        real = terms != 0
+        parts.append((terms[real], n[real], bad[real]))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+
+
 def term_counts(labelled: DataFrame) -> DataFrame:
     """term, n and n_toxic over labelled texts (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", 16 << 20):
-            rows, terms = hashed_terms(chunk["text"].combine_chunks())
-            toxic = chunk["toxic"].to_numpy()[rows]
-            distinct, at = np.unique(terms, return_inverse=True)
-            n, bad = np.bincount(at, minlength=len(distinct)), np.bincount(at, weights=toxic, minlength=len(distinct)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n.astype(np.int64)), pa.array(bad)], names=["term", "n", "n_toxic"])
+            found = counted_terms(chunk["text"].combine_chunks(), chunk["toxic"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["term", "n", "n_toxic"])
 
     return labelled.mapInArrow(freeing(run), "term long, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
@@ -152,8 +191,10 @@ def gradient(rows: DataFrame, offset: float, weights: np.ndarray, vectors: np.nd
             at, terms = np.repeat(np.arange(len(batch)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
             z, sums = raw_scores(at, terms, len(batch), offset, weights, vectors)
             left = ((logistic(z) - batch["toxic"].to_numpy()) * batch["n"].to_numpy())[at]
-            each = np.concatenate([left[:, None], left[:, None] * (sums[at] - vectors[terms])], axis=1)
-            np.add.at(total, terms, np.rint(each * WHOLE).astype(np.int64))
+            # Whole numbers, and small enough in one batch for exact sums of doubles.
+            for k in range(len(names)):
+                each = left if k == 0 else left * (sums[at, k - 1] - vectors[terms, k - 1])
+                total[:, k] += np.bincount(terms, weights=np.rint(each * WHOLE), minlength=len(weights)).astype(np.int64)
             seen[terms] = True
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(total[used, k]) for k in range(len(names))]], names=["term", *names])
@@ -199,7 +240,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, offset, weights, vectors = shared.value
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", 8 << 20):
             rows, terms = hashed_terms(chunk["text"].combine_chunks(), kept)
             score = logistic(raw_scores(rows, terms, chunk.num_rows, offset, weights, vectors)[0])
             yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), chunk["held_out"].combine_chunks(), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
