@@ -3,16 +3,18 @@
 A seed is a hash of the words at the fixed positions of a mask; the positions between are ignored, so a substituted word
 there does no harm. Seeds of all benchmark items (at every position) are joined with seeds of all documents (at every
 position). Each hit fixes a diagonal, on which the item and the document are compared word by word: a match counts +1, a
-substitution ``-PENALTY``, and the best run must reach ``NEED``. Words are lower-cased runs of letters and digits.
+substitution ``-PENALTY``, and the best run must reach ``SHARE`` of the item's words, ``NEED`` for long items. Words are
+lower-cased runs of letters and digits.
 
 DataFrame and SQL functions only. Benchmark seeds and candidate ids are broadcast behind a count, and joined by shuffle beyond it.
 
-Items shorter than a mask, from ``WHOLE`` words on, must occur as they are: windows of their lengths are joined by hash and compared
-word by word. They cost nothing where there are none.
+Items shorter than a mask, from ``shortest`` words on, must occur as they are: windows of their lengths are joined by hash and
+compared word by word. They cost nothing where there are none.
 
-Defined results: a null or empty text has no words and is kept; items with fewer than ``WHOLE`` words are met by chance in clean
-texts, so they are no evidence and are not searched; repeated items count by their ids; a document row is judged by its id, so rows that
-share an id share the verdict, and rows without an id are kept; an empty benchmark keeps all.
+Defined results: a null or empty text has no words and is kept; items with fewer than ``shortest`` words aren't searched (by
+default five, as shorter ones are met by chance in clean texts and are no evidence; with 1 items of any length are searched, exactly); repeated items
+count by their ids; a document row is judged by its id, so rows that share an id share the verdict, and rows without an id are
+kept; an empty benchmark keeps all.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from .common import table, written
 #: Word positions that count; the others are ignored.
 MASKS = ((0, 1, 3, 5, 6, 9), (0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 8))
 SPAN = 10
-#: The fewest words of an item that is searched.
+#: The fewest words of an item that is searched, where a caller has no choice of its own.
 WHOLE = 5
-NEED, PENALTY = 10, 2
+#: What a best run needs: so many in so many of the item's words, NEED at most.
+SHARE, NEED, PENALTY = (7, 10), 10, 1
 BROADCAST_SEEDS, BROADCAST_IDS = 2_000_000, 1_000_000
 
 
@@ -88,9 +91,9 @@ def whole_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     return found.filter(there).select("doc_id", "item_id", n.alias("matched"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched): verified overlaps, the best run of each pair."""
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") >= WHOLE))
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = WHOLE) -> DataFrame:
+    """(doc_id, item_id, matched): verified overlaps, the best run of each pair. Items have ``shortest`` words at least."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") >= max(1, shortest)))
     known = written(known, "benchmark-words")
     items, short = known.filter(F.size("words") >= SPAN), known.filter(F.size("words") < SPAN)
     item_seeds = written(seeds(items, "item_id").select("seed", "item_id", F.col("pos").alias("q")).distinct(), "benchmark-seeds")
@@ -104,13 +107,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     found = found.select("doc_id", tokens(F.col("text")).alias("words"))
     both = diagonals.join(items.withColumnRenamed("words", "item"), "item_id").join(found, "doc_id")
-    scored = both.select("doc_id", "item_id", best_run(F.col("words"), F.col("item"), F.col("shift")).alias("matched")).filter(F.col("matched") >= NEED)
+    need = F.least(F.lit(NEED), F.floor(F.size("item") * SHARE[0] / SHARE[1]))
+    scored = both.select("doc_id", "item_id", best_run(F.col("words"), F.col("item"), F.col("shift")).alias("matched"), need.alias("need")).filter("matched >= need").drop("need")
     return scored.unionByName(whole_items(texts, short)).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = WHOLE) -> DataFrame:
     """doc_id, n_items, matched and item_ids (ascending) of the documents that overlap with the benchmark."""
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("matched").alias("matched"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    found = overlaps(docs, benchmark, shortest).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("matched").alias("matched"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     return written(found, "contaminated")
 
 
@@ -119,9 +123,9 @@ def with_verdict(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(found) if few else found, "doc_id", "left")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = WHOLE) -> DataFrame:
     """One row a document: doc_id, contaminated, kept, n_items, matched, item_ids."""
-    out = with_verdict(docs.select(F.col("doc_id").cast("long").alias("doc_id")), contaminated(docs, benchmark))
+    out = with_verdict(docs.select(F.col("doc_id").cast("long").alias("doc_id")), contaminated(docs, benchmark, shortest))
     hit = F.col("n_items").isNotNull()
     return out.select("doc_id", hit.alias("contaminated"), (~hit).alias("kept"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
 
@@ -149,7 +153,7 @@ d AS (SELECT DISTINCT doc_id, item_id, ts.p - bs.p AS shift FROM ts JOIN bs USIN
 g AS (SELECT doc_id, item_id, shift, t.w AS w, b.w AS v, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(t.w) - shift) + 1)) AS q FROM d JOIN t USING (doc_id) JOIN b USING (item_id)),
 s AS (SELECT doc_id, item_id, shift, q, sum(CASE WHEN v[q] = w[q + shift] THEN 1 ELSE -{PENALTY} END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS s FROM g),
 r AS (SELECT doc_id, item_id, shift, s - least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS run FROM s),
-f AS (SELECT doc_id, item_id, cast(max(run) AS BIGINT) AS matched FROM r GROUP BY ALL HAVING max(run) >= {NEED}
+f AS (SELECT doc_id, item_id, cast(max(run) AS BIGINT) AS matched FROM r JOIN b USING (item_id) GROUP BY doc_id, item_id HAVING max(run) >= least({NEED}, {SHARE[0]} * any_value(len(b.w)) // {SHARE[1]})
   UNION ALL SELECT DISTINCT doc_id, item_id, n FROM (SELECT doc_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS k FROM tp, (SELECT DISTINCT n FROM o) WHERE p + n - 1 <= len(w)) JOIN o USING (n, k)),
 c AS (SELECT doc_id, count(*) AS n_items, max(matched) AS matched, list(item_id ORDER BY item_id) AS item_ids FROM f GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept, coalesce(n_items, 0) AS n_items, coalesce(matched, 0) AS matched, coalesce(item_ids, []) AS item_ids FROM documents LEFT JOIN c USING (doc_id)
