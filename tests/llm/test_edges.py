@@ -101,3 +101,38 @@ def test_short_items_match_as_they_are(spark):
     con.executemany("insert into benchmark values (?, ?)", [i for i in items if i[0] is not None])
     mine = decontaminate.decontaminate(docs.filter("doc_id not in (7)"), bench)
     assert sorted(tuple(r) for r in mine.collect()) == sorted(con.sql(f"select {', '.join(mine.columns)} from ({decontaminate.OP6_SQL})").fetchall())
+
+
+def test_minhash_ids_that_repeat_join_no_strangers(spark):
+    """Two texts under one id stay apart; each joins its own copies, also where the sets of an id meet in one bucket."""
+    a, b = " ".join(f"left{i}" for i in range(60)), " ".join(f"right{i}" for i in range(60))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (4, a + " again"), (4, a + " again"), (5, None), (5, a)]
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(1, 56, 1, True), (2, 56, 2, True), (2, 57, 1, False), (3, 56, 2, False), (4, 57, 1, False), (4, 57, 1, False), (5, 0, 5, True), (5, 56, 1, False)]
+
+
+def test_substituted_items_of_every_length(spark):
+    """Items of 10 words and more with each word substituted at 5 %: at least nine in ten are found; other texts aren't."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    items, docs = [], []
+    for n in (10, 11, 12, 13, 15, 20, 40):
+        for k in range(300):
+            words = [f"w{rng.integers(0, 5000)}" for _ in range(n)]
+            items.append((n * 1000 + k, " ".join(words)))
+            changed = [f"x{rng.integers(0, 5000)}" if rng.random() < 0.05 else w for w in words]
+            docs.append((n * 1000 + k, " ".join([*(f"w{rng.integers(0, 5000)}" for _ in range(30)), *changed, "end"])))
+    plain = [(100_000 + k, " ".join(f"w{rng.integers(0, 5000)}" for _ in range(60))) for k in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(spark.createDataFrame(docs + plain, "doc_id long, text string"), bench).collect()}
+    for n in (10, 11, 12, 13, 15, 20, 40):
+        assert sum(n * 1000 + k in found.get(n * 1000 + k, []) for k in range(300)) >= 270
+    assert not any(i >= 100_000 for i in found)
+
+
+def test_items_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "say four words are few now"), (2, "four words are"), (3, "one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Four words are few"), (2, "one"), (3, "")], "item_id long, text string")
+    assert decontaminate.contaminated(docs, bench).collect() == []
+    assert {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated(docs, bench, shortest=1).collect()} == {1: [1], 3: [2]}

@@ -15,8 +15,8 @@ The threshold is a parameter, ``NEAR`` unless a caller has its own. The bands lo
 probability of 3e-6, one of 0.85 with 2e-9.
 
 Defined results: a text without words has an empty set and no links; a null document id has a null component and is
-kept; rows that share an id but not a text are separate documents, each in the component of its own set; an empty table
-gives no rows; extra columns are ignored.
+kept; rows that share an id but not a text are separate documents, each in the component of its own set (sets go by the
+least document id and text hash that have them, and a component's id is the least doc_id of its members); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing, table, written
+from .common import distinct, freeing, table, written
 from .graph import components
 from .tokens import chunks
 
@@ -81,7 +81,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= WORDS:
-            out.append(np.unique(joint[a : b - WORDS + 1]))
+            out.append(distinct(joint[a : b - WORDS + 1]))
         elif b > a:
             out.append(mixed((flat[a:b] * STEPS[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
         else:
@@ -122,6 +122,9 @@ def bounds_of(need: tuple[int, int]) -> list[tuple[int, int]]:
 
 BOUNDS = bounds_of(NEED)
 
+#: A set is told by the least document id that has it, with a hash of that text, as ids may repeat.
+LINK = "a struct<doc_id:bigint,mark:bigint>, b struct<doc_id:bigint,mark:bigint>"
+
 
 def may_link(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]] = BOUNDS) -> np.ndarray:
     """Of the pairs of signatures (rows), which still can reach the threshold after all batches."""
@@ -140,7 +143,7 @@ def _signatures(column) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set), sig (low 16 bits of each minimum) and bands of every document."""
+    """doc_id, mark (a hash of the text), n_shingles, set_id (digest of the set), sig (low 16 bits of each minimum) and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", 4 << 20):
@@ -155,9 +158,9 @@ def features(docs: DataFrame) -> DataFrame:
                 else:
                     for k in ("set_id", "sig", "bands"):
                         rows[k].append(None)
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), pa.array(rows["n_shingles"], pa.int64()), pa.array(rows["set_id"], pa.binary()), pa.array(rows["sig"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64()))], names=["doc_id", *rows])
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"].combine_chunks(), chunk["mark"].combine_chunks(), pa.array(rows["n_shingles"], pa.int64()), pa.array(rows["set_id"], pa.binary()), pa.array(rows["sig"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64()))], names=["doc_id", "mark", *rows])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(run), "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(freeing(run), "doc_id long, mark long, n_shingles long, set_id binary, sig binary, bands array<long>")
 
 
 def _surviving(pairs: DataFrame, sigs: DataFrame, need: tuple[int, int]) -> DataFrame:
@@ -171,41 +174,52 @@ def _surviving(pairs: DataFrame, sigs: DataFrame, need: tuple[int, int]) -> Data
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(freeing(run), "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(freeing(run), LINK)
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the wanted sets."""
+    wanted = written(wanted.select("rep", "rep.*"), "minhash-places")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "mark"]).select("rep", "text")
+
+
+def _links(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = [pa.StructArray.from_arrays([pa.array([x[k] for x in side], pa.int64()) for k in (0, 1)], names=["doc_id", "mark"]) for side in (a, b)]
+    return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold. Many b share one copy of their a, FAN of them a time."""
     pairs = written(pairs.distinct(), "minhash-pairs")
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
-    leaves = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fans")).alias("fan"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
-    heads = leaves.select("a", "fan", F.col("a").alias("doc_id"), F.lit(0).alias("role")).distinct()
+    leaves = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fans")).alias("fan"), F.col("b").alias("rep"), F.lit(1).alias("role"))
+    heads = leaves.select("a", "fan", F.col("a").alias("rep"), F.lit(0).alias("role")).distinct()
     wanted = written(leaves.unionByName(heads), "minhash-wanted")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Only the texts of candidates are moved; their ids are broadcast while they are few.
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    # Only the texts of candidates are moved.
+    texts = _texts(wanted.select("rep").distinct(), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads = None, []
+        at, last, head = None, None, None
         for chunk in chunks(batches, "text", 4 << 20):
             sets = shingle_sets(chunk["text"].combine_chunks())
             found = []
-            for a, fan, doc, role, s in zip(chunk["a"].to_pylist(), chunk["fan"].to_pylist(), chunk["doc_id"].to_pylist(), chunk["role"].to_pylist(), sets, strict=True):
-                if at != (a, fan):
-                    at, heads = (a, fan), []
-                if role == 0:
-                    heads.append(s)
+            for *key, doc_id, mark, role, s in zip(*(chunk[c].to_pylist() for c in ("a_id", "a_mark", "fan", "doc_id", "mark", "role")), sets, strict=True):
+                # Equal rows of a document stand side by side and count once.
+                if last == (key, doc_id, mark):
                     continue
-                for h in heads:
-                    common = len(np.intersect1d(h, s, assume_unique=True))
-                    if common and need[1] * common >= need[0] * (len(h) + len(s) - common):
-                        found.append((a, doc))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                last = (key, doc_id, mark)
+                if role == 0:
+                    at, head = key, s
+                elif at == key:
+                    common = len(np.intersect1d(head, s, assume_unique=True))
+                    if common and need[1] * common >= need[0] * (len(head) + len(s) - common):
+                        found.append(((key[0], key[1]), (doc_id, mark)))
+            yield _links([x for x, _ in found], [y for _, y in found])
 
-    joined = wanted.join(texts, "doc_id").select("a", "fan", "doc_id", "role", "text").repartition("a", "fan").sortWithinPartitions("a", "fan", "role")
-    return joined.mapInArrow(freeing(run), "a long, b long")
+    joined = wanted.join(texts, "rep").repartition("a", "fan").sortWithinPartitions("a", "fan", "role", "rep")
+    return joined.select(F.col("a.doc_id").alias("a_id"), F.col("a.mark").alias("a_mark"), "fan", "rep.doc_id", "rep.mark", "role", "text").mapInArrow(freeing(run), LINK)
 
 
 def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,17 +229,15 @@ def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_.select("bucket", "size"), "bucket")
 
 
-def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, shingles): the full sets of the given documents."""
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles): the wanted full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", 4 << 20):
             sets = [s.tobytes() for s in shingle_sets(chunk["text"].combine_chunks())]
             yield pa.RecordBatch.from_arrays([chunk["rep"].combine_chunks(), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-    few = reps.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep")
-    return written(texts.mapInArrow(freeing(run), "rep long, shingles binary"), "minhash-sets")
+    return written(_texts(wanted, docs).mapInArrow(freeing(run), "rep struct<doc_id:bigint,mark:bigint>, shingles binary").dropDuplicates(["rep"]), "minhash-sets")
 
 
 def _families(rows: DataFrame, most: int) -> DataFrame:
@@ -235,7 +247,7 @@ def _families(rows: DataFrame, most: int) -> DataFrame:
     block are looked up, of which there are few, so that no exchange deals the rows by their family.
     """
     low = rows.groupBy("bucket").agg(F.min("rep").alias("low"))
-    kin = components(rows.join(low, "bucket").filter("rep <> low").select("rep", "low").distinct(), "rep", "low").withColumnsRenamed({"id": "rep", "comp": "family"})
+    kin = components(rows.join(low, "bucket").filter("rep <> low").select("rep", "low").distinct(), "rep", "low").select(F.col("id").alias("rep"), F.xxhash64("comp").alias("family"))
     joined = written(rows.join(kin, "rep").select("bucket", "rep", "comp", "family"), "minhash-kin")
     large = _sized(joined.select("family", "rep").distinct(), most)
     keyed = _beside(joined, large, "family").select(F.when(F.col("size").isNull(), F.col("family")).otherwise(F.col("bucket")).alias("family"), "rep", "comp").distinct()
@@ -269,15 +281,18 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
-        block, reps, comps = (part[c].to_numpy() for c in ("block", "rep", "comp"))
+        block, reps = part["block"].to_numpy(), part["rep"].combine_chunks()
+        ids = list(zip(reps.field("doc_id").to_pylist(), reps.field("mark").to_pylist(), strict=True))
+        number: dict[tuple[int, int], int] = {}
+        of = part["comp"].combine_chunks()
+        comps = np.array([number.setdefault(c, len(number)) for c in zip(of.field("doc_id").to_pylist(), of.field("mark").to_pylist(), strict=True)])
         sigs, bands = _signatures(part["sig"]), np.array(part["bands"].to_pylist(), dtype=np.int64)
         full = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"].to_pylist()]
         sizes = np.array([len(x) for x in full])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        comps = comps.copy()
         found = []
         for x in left.tolist():
-            ys = right[(comps[right] != comps[x]) & ((reps[right] > reps[x]) | (i != j))]
+            ys = right[(comps[right] != comps[x]) & ((right > x) | (i != j))]
             ys = ys[(bands[ys] == bands[x]).any(axis=1)]
             if len(ys):
                 ys = ys[may_link(np.broadcast_to(sigs[x], (len(ys), sigs.shape[1])), sigs[ys], bounds)]
@@ -287,19 +302,21 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[
                 common = np.add.reduceat((full[x][at] == pooled).astype(np.int64), np.cumsum(sizes[ys]) - sizes[ys])
                 for y in ys[need[1] * common >= need[0] * (sizes[x] + sizes[ys] - common)].tolist():
                     if comps[y] != comps[x]:
-                        found.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+                        found.append((ids[x], ids[y]))
                         comps[comps == comps[y]] = comps[x]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        return pa.Table.from_batches([_links([a for a, _ in found], [b for _, b in found])])
 
-    return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("family", "i", "j").applyInArrow(run, LINK)
 
 
 def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int = FAMILY) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept. Sets link at a similarity of need[0] in need[1]."""
-    spark = docs.sparkSession
+    """One row a document: doc_id, n_shingles, component_id, kept, mark (xxhash64 of the text).
+
+    Sets link at a similarity of need[0] in need[1].
+    """
     feats = written(features(docs), "minhash-features")
     full = feats.filter("set_id is not null and doc_id is not null")
-    reps = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min(F.struct("sig", "bands")).alias("x")).select("set_id", "rep", "x.*"), "minhash-reps")
+    reps = written(full.groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.min(F.struct("sig", "bands")).alias("x")).select("set_id", "rep", "x.*"), "minhash-reps")
     sigs = reps.select("rep", "sig")
     every = reps.select("rep", F.explode("bands").alias("bucket"))
     centers = every.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
@@ -313,9 +330,8 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int =
     if not rows.isEmpty():
         shared = rows.groupBy("rep").agg(F.sum("size").alias("shared"))
         rated = rows.join(shared, "rep")
-        chosen = rated.groupBy("bucket").agg(F.max(F.struct("shared", F.negative("rep").alias("low"), "comp")).alias("c"))
-        stars = rated.join(chosen, "bucket").filter("comp <> c.comp").select(F.negative("c.low").alias("x"), "rep")
-        stars = stars.select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct()
+        chosen = rated.groupBy("bucket").agg(F.min(F.struct(F.negative("shared").alias("least"), "rep", "comp")).alias("c"))
+        stars = rated.join(chosen, "bucket").filter("comp <> c.comp").select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
         links = written(links.unionByName(_verified(_surviving(stars, sigs, need), docs, need)), "minhash-links")
         labels = components(links, "a", "b").withColumnRenamed("id", "rep")
         rows = written(_unsettled(rows.select("bucket", "rep"), labels), "minhash-open")
@@ -323,14 +339,14 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int =
             links = written(links.unionByName(_block_links(rows, reps, docs, need, family)), "minhash-links")
             labels = components(links, "a", "b").withColumnRenamed("id", "rep")
 
-    owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
-    out = feats.select("doc_id", "n_shingles", "set_id").join(owners, "set_id", "left")
+    owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").getField("doc_id").alias("comp"))
+    out = feats.select("doc_id", "n_shingles", "set_id", "mark").join(owners, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "mark")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NEED)
+    return near_duplicates(table(spark, sf_dir, "documents"), NEED).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: The same result by comparing all pairs of sets that share a shingle.
