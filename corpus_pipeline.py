@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies. Rows that repeat an id are kept or dropped together."""
+    """The document with the least id of each group of near copies.
+
+    Rows are judged by id and text, so an id that is used for two texts joins nothing and loses nothing. Rows that are equal in both
+    stay or go together; rows without an id or without words stay.
+    """
     groups = minhash.near_duplicates(docs)
-    return without(docs, groups.filter("not kept").select("doc_id"))
+    return without(docs, groups.filter("not kept").select("doc_id", "mark"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
