@@ -83,6 +83,7 @@ def strip_hidden(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), hidden, ""), "\r\n?", "\n")
 
 
+# Lines of mails that say nothing, and header lines of quoted mails.
 NOISE = (
     r"(?i)unsubscribe|manage (?:your )?(?:email )?preferences|you (?:are )?receiv(?:ed|ing) this|view (?:this email )?in (?:your )?browser"
     r"|confidentiality notice|this e-?mail (?:and any attachments )?(?:is|are) (?:intended|confidential)"
