@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -118,7 +119,32 @@ def vendor(url: Column) -> Column:
     return chain
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: A character reference: a number, or a name with its semicolon or one of the old names without.
+REFERENCE = r"&(#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: All names of HTML 5 as one literal, and what numbers 128 to 159 stand for, both by rule.
+_NAMES = "\x01".join(f"{name}\x02{value}" for name, value in html5.items())
+_OLD = "\x01".join(f"{n}\x02{bytes([n]).decode('cp1252', 'replace').replace(chr(0xFFFD), chr(n))}" for n in range(0x80, 0xA0))
+_OLDEST = max(len(n) for n in html5 if not n.endswith(";"))
+
+
+def unescape(text: Column) -> Column:
+    """Character references as what they stand for; unknown names stay as they are."""
+    names, old = (F.str_to_map(F.lit(x), F.lit("\x01"), F.lit("\x02")) for x in (_NAMES, _OLD))
+
+    def number(ref: Column) -> Column:
+        n = F.when(F.lower(ref).startswith("#x"), F.conv(F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^#([0-9]+)", 1)).cast("long")
+        none = n.between(1, 8) | n.isin(0xB, 0x7F) | n.between(0xE, 0x1F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, n)), 8, "0")), "UTF-32")
+        return F.when(bad, "\ufffd").when(n.between(0x80, 0x9F), F.element_at(old, n.cast("string"))).when(none, "").otherwise(plain)
+
+    def name(ref: Column) -> Column:
+        cut = [F.when(F.length(ref) > k, F.concat(F.element_at(names, F.substring(ref, 1, k)), F.substring(ref, k + 1, 64))) for k in range(_OLDEST, 1, -1)]
+        return F.coalesce(F.element_at(names, ref), *cut, F.concat(F.lit("&"), ref))
+
+    plain = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda ref: F.when(ref.startswith("#"), number(ref)).otherwise(name(ref)))
+    whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), F.concat(plain, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def page_text(html: Column) -> Column:
@@ -127,9 +153,7 @@ def page_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?is)</?(?:p|div|br|li|tr|h[1-6]|table|blockquote|pre|hr|section|article|ul|ol)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[!/?A-Za-z][^>]*>", "")
-    for name, plain in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(plain))
-    t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"[ \t\r\f\x0b]+", " ")
+    t = F.regexp_replace(F.replace(unescape(t), F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\f\x0b]+", " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

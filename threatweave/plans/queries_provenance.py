@@ -126,19 +126,26 @@ def _literal(sql: str) -> str:
     return sql.replace("'\\", "r'\\")
 
 
-@query("f10_spec_index", f"""
-    WITH s AS ({SPECS}), e AS (SELECT *, map {{'image': lower(image), 'url_path': lower(url_path), 'domain': lower(domain), 'dst_ip': lower(dst_ip), 'command_line': lower(command_line), 'host': lower(host)}} AS m FROM telemetry),
-    c AS (SELECT event_id, spec_id, lower(v1) AS a, lower(v2) AS b, m[f1] AS x, m[f2] AS y, o1, o2, p.v3 AS w FROM e JOIN (SELECT *, CASE WHEN category = 'web' THEN 'host1' END AS v3 FROM s WHERE category <> 'network' OR f1 <> 'dst_ip' OR v2 IN ('1', '4')) p USING (category))
-    SELECT event_id, spec_id FROM c WHERE CASE o1 WHEN 'equals' THEN x = a WHEN 'startswith' THEN starts_with(x, a) WHEN 'endswith' THEN ends_with(x, a) ELSE contains(x, a) END
-      AND CASE WHEN o2 = 'contains' THEN contains(y, b) WHEN y IS NULL THEN TRUE ELSE ends_with(y, b) OR coalesce(ends_with(y, w), FALSE) END""")
-def spec_index(t):
+def spec_rows(t) -> DataFrame:
     t.part.createOrReplaceTempView("_section_part")
     raw = t.part.sparkSession.sql(_literal(SPECS.replace("FROM part", "FROM _section_part")))
     one = lambda f, o, *v: F.struct(F.col(f).alias("field"), F.col(o).alias("op"), F.array(*v).alias("values"))
     # Network specifications name a field that events lack; two of ten do without it and run.
     first, second = one("f1", "o1", F.col("v1")), one("f2", "o2", F.col("v2"), F.when(F.col("category") == "web", F.lit("HOST1")))
     both = F.when(F.col("category") != "network", F.array(first, second)).when(F.col("v2").isin("1", "4"), F.array(first)).otherwise(F.array(second))
-    return sp.matches(t.telemetry, raw.select("spec_id", "category", both.alias("conditions"))).select("event_id", "spec_id")
+    return raw.select("spec_id", "category", both.alias("conditions"))
+
+
+SPEC_INDEX = f"""
+    WITH s AS ({SPECS}), e AS (SELECT *, map {{'image': lower(image), 'url_path': lower(url_path), 'domain': lower(domain), 'dst_ip': lower(dst_ip), 'command_line': lower(command_line), 'host': lower(host)}} AS m FROM telemetry),
+    c AS (SELECT event_id, spec_id, lower(v1) AS a, lower(v2) AS b, m[f1] AS x, m[f2] AS y, o1, o2, p.v3 AS w FROM e JOIN (SELECT *, CASE WHEN category = 'web' THEN 'host1' END AS v3 FROM s WHERE category <> 'network' OR f1 <> 'dst_ip' OR v2 IN ('1', '4')) p USING (category))
+    SELECT event_id, spec_id FROM c WHERE CASE o1 WHEN 'equals' THEN x = a WHEN 'startswith' THEN starts_with(x, a) WHEN 'endswith' THEN ends_with(x, a) ELSE contains(x, a) END
+      AND CASE WHEN o2 = 'contains' THEN contains(y, b) WHEN y IS NULL THEN TRUE ELSE ends_with(y, b) OR coalesce(ends_with(y, w), FALSE) END"""
+
+
+@query("f10_spec_index", SPEC_INDEX)
+def spec_index(t):
+    return sp.matches(t.telemetry, spec_rows(t)).select("event_id", "spec_id")
 
 
 @query("x01_trigram_index", """

@@ -67,6 +67,13 @@ def partitioned_round_trip(rows: DataFrame, by: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, so that what uses it more than once doesn't compute it again."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
