@@ -209,3 +209,50 @@ def test_graph_without_faults(spark):
     bodies = sx.bodies(objects.filter("type = 'malware'").limit(5)).collect()
     assert all('"is_family":true' in r["body"] and "null" not in r["body"] for r in bodies)
     assert sx.shared(objects).count() == 6
+
+
+def test_exact_medians(spark):
+    """Ties, one value, even and odd numbers, far outliers and negative values; with bins that must be cut again and again."""
+    import statistics
+
+    from threatweave.operators.aggregates import exact_medians
+
+    rng = random.Random(5)
+    groups = {
+        "even": [rng.gauss(0, 1) for _ in range(1000)], "odd": [rng.expovariate(1) for _ in range(1001)], "far": [1e18, -1e18] + [rng.random() for _ in range(799)], "tie": [2.5] * 300 + [7.0] * 300,
+        "one": [4.25], "same": [3.0] * 50, "near": [1 + k * 2**-50 for k in range(400)], "two": [1.0, 2.0],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("even", None), ("none", None), ("odd", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: statistics.median(v) for k, v in groups.items()}
+    assert exact_medians(df, "k", "v", bins=4, few=10) == want == exact_medians(df, "k", "v")
+
+
+def test_hot_keys_in_parts(spark):
+    """A key with half of all articles: the same clusters, and no part with more than its share."""
+    from threatweave.operators import graph as gr
+
+    rng = random.Random(2)
+    rows = [(i, "hot") for i in range(0, 400, 2)] + [(i, f"k{rng.randrange(150)}") for i in range(400)] + [(7, "hot"), (7, "hot")]
+    keys = spark.createDataFrame(rows, "article_id long, key string")
+    a = {tuple(r) for r in gr.clusters(keys, split=10).collect()}
+    assert a == {tuple(r) for r in gr.clusters(keys).collect()} and len(a) == 400
+
+
+def test_lists_are_cut_before_they_are_gathered(spark):
+    from threatweave.operators import aggregates as ag
+    from threatweave.operators import hunt as hu
+    from threatweave.operators import ranking as rk
+
+    rows = [(k, i, f"v{i:03d}") for k in ("a", "b") for i in range(60)] + [("c", 1, "x")]
+    out = {r["k"]: r["values"] for r in rk.keep_last(spark.createDataFrame(rows, "k string, at int, v string"), ["k"], "at", "v", 5).collect()}
+    assert out == {"a": [f"v{i:03d}" for i in range(55, 60)], "b": [f"v{i:03d}" for i in range(55, 60)], "c": ["x"]}
+    hits = spark.createDataFrame([("h", dt.datetime(2024, 1, 1, 0, i), f"c{i % 9}" if i % 10 else None) for i in range(40)], "host string, ts timestamp, command_line string")
+    r = ag.hunt_rollup(hits, ["host"], lines=4).first()
+    assert (r["n"], r["n_lines"], r["command_lines"]) == (40, 9, ["c0", "c1", "c2", "c3"])
+    found = [(f"s{i % 7}", "domain", "A.top" if i % 2 else "a.TOP", f"context {i:02d}") for i in range(30)] + [("s9", "md5", "x", None)]
+    out = {r["type"]: r for r in ag.merged_indicators(spark.createDataFrame(found, "source_id string, type string, value string, context string")).collect()}
+    assert out["domain"]["contexts"] == ["context 00", "context 07", "context 14"] and out["domain"]["n_sources"] == 7 and out["md5"]["contexts"] == []
+    assets = spark.createDataFrame([("CVE-1", "s", f"d{i % 80:02d}") for i in range(200)] + [("CVE-2", "s", "d")], "cve string, software string, device string")
+    r = hu.exposure(assets, assets.filter("cve = 'CVE-1'")).collect()
+    assert [(x["cve"], x["devices"], x["examples"]) for x in r] == [("CVE-1", 80, [f"d{i:02d}" for i in range(50)])]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import status_rank
 from .joins import small
+from .patterns import sequence_within
 
 
 def period_bounds(period: str, today: dt.date, first: dt.date | None = None, last: dt.date | None = None) -> tuple[dt.datetime, dt.datetime]:
@@ -43,14 +44,68 @@ def within(column: str | Column, bounds: tuple[dt.datetime, dt.datetime]) -> Col
     return c.between(lit(bounds[0]), lit(bounds[1]))
 
 
+def exact_medians(rows: DataFrame, key: str, value: str, *, bins: int = 1024, few: int = 10_000) -> dict[str, float]:
+    """The exact median of each key's values (doubles); keys are few, values may be many.
+
+    Ranges that hold the middle values are cut into ``bins`` and counted, again and again, until no more than ``few`` values are left
+    in a key's range; those are ordered by the driver. So no task holds more than counts, however many values a key has.
+    """
+    rows = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    state = {r["k"]: {"below": 0, "n": r["n"], "in": r["n"], "lo": r["lo"], "hi": r["hi"]} for r in rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    out: dict[str, float] = {}
+    while True:
+        for k in [k for k, s in state.items() if s["lo"] == s["hi"]]:
+            out[k] = state.pop(k)["lo"]
+        open_ = {k: s for k, s in state.items() if s["in"] > few}
+        if not open_:
+            break
+        where = F.lit(None)
+        for k, s in open_.items():
+            cut = F.least(F.floor((F.col("v") - s["lo"]) / (s["hi"] - s["lo"]) * bins), F.lit(bins - 1))
+            where = F.when((F.col("k") == k) & F.col("v").between(s["lo"], s["hi"]), cut).otherwise(where)
+        found = rows.withColumn("bin", where.cast("int")).filter("bin is not null").groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "bin").collect()
+        for k, s in open_.items():
+            own = [r for r in found if r["k"] == k]
+            # The bins that hold the two middle ranks, and what lies between them.
+            ranks, before, held = ((s["n"] - 1) // 2, s["n"] // 2), s["below"], []
+            for r in own:
+                if before <= ranks[1] and before + r["n"] > ranks[0]:
+                    held.append((before, r))
+                before += r["n"]
+            (below, first), (_, last) = held[0], held[-1]
+            if len(held) == 2:
+                # The middle lies between two bins: the greatest of the one and the least of the other.
+                out[k] = (first["hi"] + last["lo"]) / 2
+                state.pop(k)
+            else:
+                s |= {"below": below, "in": first["n"], "lo": first["lo"], "hi": first["hi"]}
+    if state:
+        left = F.lit(False)
+        for k, s in state.items():
+            left = left | ((F.col("k") == k) & F.col("v").between(s["lo"], s["hi"]))
+        values: dict[str, list[float]] = {k: [] for k in state}
+        for r in rows.filter(left).collect():
+            values[r["k"]].append(r["v"])
+        for k, s in state.items():
+            ordered = sorted(values[k])
+            out[k] = (ordered[(s["n"] - 1) // 2 - s["below"]] + ordered[s["n"] // 2 - s["below"]]) / 2
+    return out
+
+
 def kpis(research: DataFrame, results: DataFrame, periods: dict[str, tuple[dt.datetime, dt.datetime]]) -> DataFrame:
-    """One row a period: runs, published, median hours to publish, findings, indicators and queries, in one pass over each table."""
+    """One row a period: runs, published, median hours to publish, findings, indicators and queries, in one pass over each table.
+
+    The medians are exact and come from ``exact_medians``, whose values are the hours of one period each.
+    """
+    hours = (F.unix_micros(F.to_timestamp("published_at")) - F.unix_micros(F.to_timestamp("created_at"))) / 3.6e9
+    inside = F.filter(F.array(*[F.when(within("published_at", b), F.lit(n)) for n, b in periods.items()]), lambda p: p.isNotNull())
+    medians = exact_medians(research.select(F.explode(inside).alias("period"), hours.alias("hours")), "period", "hours")
     rows = []
     for name, bounds in periods.items():
         made = within("created_at", bounds) & ~F.col("status").isin("running", "failed")
         out = within("published_at", bounds)
-        hours = F.when(out, (F.unix_micros(F.to_timestamp("published_at")) - F.unix_micros(F.to_timestamp("created_at"))) / 3.6e9)
-        rows.append(F.struct(F.lit(name).alias("period"), F.count_if(made).alias("runs"), F.count_if(out).alias("published"), F.round(F.median(hours), 1).alias("median_hours"), F.coalesce(F.sum(F.when(made, F.col("n_iocs"))), F.lit(0)).alias("iocs"), F.coalesce(F.sum(F.when(made, F.col("n_queries"))), F.lit(0)).alias("queries")))
+        middle = F.round(F.lit(medians.get(name)).cast("double"), 1)
+        rows.append(F.struct(F.lit(name).alias("period"), F.count_if(made).alias("runs"), F.count_if(out).alias("published"), middle.alias("median_hours"), F.coalesce(F.sum(F.when(made, F.col("n_iocs"))), F.lit(0)).alias("iocs"), F.coalesce(F.sum(F.when(made, F.col("n_queries"))), F.lit(0)).alias("queries")))
     base = research.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     found = [F.struct(F.lit(n).alias("period"), F.count_if(F.col("status").isin("suspicious", "confirmed") & within("updated_at", b)).alias("findings")) for n, b in periods.items()]
     more = results.join(research.select("research_id"), "research_id", "left_semi").agg(F.array(*found).alias("r")).select(F.explode("r").alias("r")).select("r.*")
@@ -175,10 +230,14 @@ def readiness(issues: DataFrame, research: DataFrame) -> DataFrame:
 
 def merged_indicators(found: DataFrame, contexts: int = 3) -> DataFrame:
     """(type, value, n_sources, source_ids, contexts) over all sources; values are the same in any case. found (source_id, type, value, context)."""
-    key = F.lower("value")
-    ordered = F.array_sort(F.collect_set(F.struct("source_id", "context")))
-    grouped = found.groupBy("type", key.alias("k")).agg(F.min_by("value", "source_id").alias("value"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), ordered.alias("c"))
-    return grouped.select("type", "value", F.size("source_ids").cast("long").alias("n_sources"), "source_ids", F.slice(F.array_distinct(F.transform("c", lambda x: x["context"])), 1, contexts).alias("contexts"))
+    rows = found.select("type", F.lower("value").alias("k"), "value", "source_id", "context")
+    grouped = rows.groupBy("type", "k").agg(F.min(F.struct("source_id", "value"))["value"].alias("value"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    # Contexts are ranked by their first source before they are gathered.
+    each = rows.filter("context is not null").groupBy("type", "k", "context").agg(F.min("source_id").alias("_s"))
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("type", "k").orderBy("_s", "context"))).filter(F.col("_r") <= contexts)
+    some = ranked.groupBy("type", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "context"))), lambda x: x["context"]).alias("contexts"))
+    out = grouped.join(some, ["type", "k"], "left")
+    return out.select("type", "value", F.size("source_ids").cast("long").alias("n_sources"), "source_ids", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
 
 
 def merged_techniques(rows: DataFrame) -> DataFrame:
@@ -194,12 +253,15 @@ def detection_groups(queries: DataFrame) -> DataFrame:
 
 
 def enrichment_state(rows: DataFrame) -> DataFrame:
-    """One row: the state of all look-ups together, and which ids failed how. rows (cve, state, validation)."""
+    """(kind, value): one row ``state``, that of all look-ups together, and a row for each id that failed, by how it failed.
+
+    rows (cve, state, validation).
+    """
     s = F.col("state")
     n = F.count("*")
     state = F.when(n == 0, "none").when(F.count_if(s == "unavailable") == n, "unavailable").when(F.count_if(s == "unavailable") > 0, "partial").when(F.count_if(s == "live") > 0, "live").when(F.count_if(s == "stale") > 0, "stale").otherwise("cache")
-    ids = lambda v: F.array_sort(F.collect_set(F.when(F.col("validation") == v, F.col("cve"))))
-    return rows.agg(state.alias("state"), ids("not_found").alias("not_found"), ids("invalid_format").alias("invalid"), ids("rejected").alias("rejected"))
+    failed = rows.filter(F.col("validation").isin("not_found", "invalid_format", "rejected")).select(F.col("validation").alias("kind"), F.col("cve").alias("value")).distinct()
+    return rows.agg(state.alias("value")).select(F.lit("state").alias("kind"), "value").unionByName(failed)
 
 
 def feed_freshness(rows: DataFrame) -> DataFrame:
@@ -222,15 +284,22 @@ def top_summary(sentences: DataFrame, words: int = 200) -> DataFrame:
     return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
 
 
-def hunt_rollup(hits: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: number, first and last time, and the distinct command lines."""
-    return hits.groupBy(*by).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set("command_line")).alias("command_lines"))
+def hunt_rollup(hits: DataFrame, by: list[str], lines: int = 50) -> DataFrame:
+    """Per group: number, first and last time, the number of distinct command lines and the first ``lines`` of them."""
+    whole = hits.groupBy(*by).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    each = hits.filter("command_line is not null").select(*by, "command_line").distinct()
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("command_line")))
+    listed = ranked.groupBy(*by).agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("_r") <= lines, F.col("command_line")))).alias("command_lines"))
+    return whole.join(listed, by, "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0))).withColumn("command_lines", F.coalesce("command_lines", F.array().cast("array<string>")))
 
 
 def by_horizon(recommendations: DataFrame) -> DataFrame:
+    """(horizon, pos, number, action): actions numbered within their horizon, horizons in their order; a row an action.
+
+    recommendations (horizon, pos, action); ``pos`` is a whole number that a horizon has once.
+    """
     order = F.when(F.col("horizon") == "immediate", 0).when(F.col("horizon") == "short_term", 1).otherwise(2)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "action"))), lambda x: x["action"])
-    return recommendations.groupBy("horizon").agg(F.min(order).alias("pos"), listed.alias("actions"))
+    return sequence_within(recommendations, ["horizon"], "pos", "number").select("horizon", order.alias("pos"), "number", "action")
 
 
 def type_provenance(queries: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions import text as tx
 from ..sources.writers import folder
 
 
+#: Articles of a part of a key, and keys with parts that are broadcast at most.
+SPLIT, BROADCAST_KEYS = 100_000, 1_000_000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read back: its lineage ends there."""
     path = folder(df.sparkSession, "step")
@@ -24,17 +28,23 @@ def article_keys(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", F.explode(own).alias("key"))
 
 
-def clusters(keys: DataFrame) -> DataFrame:
+def clusters(keys: DataFrame, split: int = SPLIT) -> DataFrame:
     """(article_id, cluster_id): articles that share keys, directly or through others; the id is the least article's.
 
     Articles and keys form a graph of two sides, so a key that many share costs one edge each. In every round a key
-    takes the least label of its articles, an article the least of its keys, and then the label of its label.
+    takes the least label of its articles, an article the least of its keys, and then the label of its label. A key with more
+    than ``split`` articles is cut into parts: its label is told to each part, so no task gets all of its articles.
     """
     edges = saved(keys.select("article_id", "key").distinct())
+    hot = saved(edges.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    part = F.coalesce(F.pmod(F.xxhash64("article_id"), F.col("parts")), F.lit(0))
+    edges = saved(edges.join(hot, "key", "left").select("article_id", "key", part.cast("int").alias("part")))
     labels = saved(edges.select("article_id").distinct().withColumn("cluster_id", F.col("article_id")))
     while True:
         by_key = edges.join(labels, "article_id").groupBy("key").agg(F.min("cluster_id").alias("low"))
-        heard = edges.join(by_key, "key").groupBy("article_id").agg(F.min("low").alias("low"))
+        told = by_key.join(hot, "key", "left").select("key", "low", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        heard = edges.join(told, ["key", "part"]).groupBy("article_id").agg(F.min("low").alias("low"))
         jump = labels.select(F.col("article_id").alias("low"), F.col("cluster_id").alias("far"))
         moved = labels.join(heard, "article_id").join(jump, "low", "left")
         moved = saved(moved.select("article_id", F.least("cluster_id", "low", "far").alias("new"), (F.least("cluster_id", "low", "far") < F.col("cluster_id")).alias("changed")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Indicators that are broadcast at most; more are joined by shuffle (batch only).
@@ -55,7 +55,10 @@ def hunted(events: DataFrame, iocs: DataFrame, since: Column) -> DataFrame:
 def exposure(assets: DataFrame, cves: DataFrame, names: int = 50) -> DataFrame:
     """(cve, software, devices, examples): distinct devices with a vulnerable software, and some of their names."""
     hit = assets.join(cves.select("cve").distinct(), "cve", "left_semi")
-    return hit.groupBy("cve", "software").agg(F.count_distinct("device").alias("devices"), F.slice(F.array_sort(F.collect_set("device")), 1, names).alias("examples"))
+    each = hit.select("cve", "software", "device").filter("device is not null").distinct()
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("cve", "software").orderBy("device")))
+    some = F.when(F.col("_r") <= names, F.col("device"))
+    return ranked.groupBy("cve", "software").agg(F.count("*").alias("devices"), F.array_sort(F.collect_list(some)).alias("examples"))
 
 
 def neutral(events: DataFrame, dictionary: dict[str, str], overrides: dict[str, str] | None = None) -> DataFrame:

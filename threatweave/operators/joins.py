@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .patterns import occurrences
 
 #: Rows that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -43,9 +44,10 @@ def first_quote(wanted: DataFrame, claims: DataFrame, evidence: DataFrame) -> Da
     both = claims.select("source_id", "pos", F.col("statement").alias("q"), F.lit(0).alias("rank")).unionByName(evidence.select("source_id", "pos", F.col("quote").alias("q"), F.lit(1).alias("rank")))
     # A source repeats its quotes: each text counts once, where it comes first.
     each = both.groupBy("source_id", "rank", "q").agg(F.min("pos").alias("pos"))
-    near = wanted.join(each, "source_id", "left")
-    hit = F.when(F.contains(F.lower("q"), F.lower("name")), F.struct("rank", "pos", "q"))
-    return near.groupBy("source_id", "name").agg(F.coalesce(F.min(hit)["q"], F.lit("")).alias("quote"))
+    texts = each.select("source_id", F.struct("rank", "pos", "q").alias("text_id"), F.lower("q").alias("text"))
+    names = wanted.select("source_id", F.col("name").alias("pattern_id"), F.lower("name").alias("pattern"))
+    first = occurrences(texts, names, scope=["source_id"]).groupBy("source_id", F.col("pattern_id").alias("name")).agg(F.min("text_id")["q"].alias("quote"))
+    return wanted.select("source_id", "name").distinct().join(first, ["source_id", "name"], "left").select("source_id", "name", F.coalesce("quote", F.lit("")).alias("quote"))
 
 
 def related(keys: DataFrame, *, id_col: str = "research_id", key_col: str = "key") -> DataFrame:
@@ -76,7 +78,10 @@ def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame,
     core = F.trim(F.regexp_replace(F.lower("product"), r"\b(server|on-prem|on-premises|\d{4}|se|subscription edition)\b", ""))
     a = affected.select(F.lower("product").alias("p")).distinct()
     w = owned.select(F.lower("product").alias("wp"), core.alias("core")).distinct()
-    match = small(w).join(a, ((F.col("core") != "") & F.contains("p", "core")) | ((F.col("p") != "") & F.contains("wp", F.substring_index("p", " ", 1))))
+    # Names meet by their anchors in both directions, so distinct names aren't compared each with each.
+    within = occurrences(a.select(F.col("p").alias("text_id"), F.col("p").alias("text")), w.select(F.col("wp").alias("pattern_id"), F.col("core").alias("pattern"))).select(F.col("text_id").alias("p"), F.col("pattern_id").alias("wp"))
+    around = occurrences(w.select(F.col("wp").alias("text_id"), F.col("wp").alias("text")).distinct(), a.filter("p <> ''").select(F.col("p").alias("pattern_id"), F.substring_index("p", " ", 1).alias("pattern"))).select(F.col("pattern_id").alias("p"), F.col("text_id").alias("wp"))
+    match = within.unionByName(around).distinct()
     # Each affected name meets a workspace once, at the workspace's first product that matches.
     best = match.select("p", "wp").join(owned.select("workspace_id", "pos", F.lower("product").alias("wp")), "wp").groupBy("p", "workspace_id").agg(F.min(F.struct("pos", "wp")).alias("best"))
     hit = affected.select("research_id", F.lower("product").alias("p")).distinct().join(small(best), "p")
@@ -289,9 +294,14 @@ def source_states(found: DataFrame, read: DataFrame, excluded: DataFrame) -> Dat
 
 def stix_relations(named: DataFrame, indicators: DataFrame) -> DataFrame:
     """(src, dst, kind): an indicator points at the malware its text names, else the actors it names, else all actors of its research."""
-    rows = indicators.select("research_id", "indicator_id", F.lower("text").alias("text")).join(named, "research_id")
-    hit = F.contains("text", F.lower("name"))
-    rank = F.when((F.col("type") == "malware") & hit, 0).when((F.col("type") == "actor") & hit, 1).when(F.col("type") == "actor", 2)
-    ranked = rows.withColumn("rank", rank).filter("rank is not null")
-    best = ranked.groupBy("research_id", "indicator_id").agg(F.min("rank").alias("rank"))
-    return ranked.join(best, ["research_id", "indicator_id", "rank"]).select(F.col("indicator_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("indicates").alias("kind")).distinct()
+    texts = indicators.select("research_id", F.col("indicator_id").alias("text_id"), F.lower("text").alias("text"))
+    named = named.filter(F.col("type").isin("malware", "actor"))
+    rank = F.when(F.col("type") == "malware", 0).otherwise(1)
+    hits = occurrences(texts, named.select("research_id", F.struct(rank.alias("rank"), "entity_id").alias("pattern_id"), F.lower("name").alias("pattern")), scope=["research_id"])
+    hits = hits.select("research_id", F.col("text_id").alias("indicator_id"), "pattern_id.*")
+    best = hits.groupBy("research_id", "indicator_id").agg(F.min("rank").alias("rank"))
+    told = hits.join(best, ["research_id", "indicator_id", "rank"]).select("indicator_id", "entity_id")
+    # Only indicators whose text names nobody meet all actors of their research.
+    silent = indicators.select("research_id", "indicator_id").join(best, ["research_id", "indicator_id"], "left_anti")
+    rest = silent.join(named.filter("type = 'actor'").select("research_id", "entity_id"), "research_id").select("indicator_id", "entity_id")
+    return told.unionByName(rest).select(F.col("indicator_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("indicates").alias("kind")).distinct()

@@ -99,9 +99,10 @@ def carried_numbers(rows: DataFrame, group: list[str], carrier: str, prefix: str
 
 
 def keep_last(items: DataFrame, keys: list[str], at: str, value: str, n: int) -> DataFrame:
-    """(keys, values): the last n values in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(at, value)))
-    return items.groupBy(*keys).agg(F.transform(F.slice(ordered, F.greatest(F.size(ordered) - n + 1, F.lit(1)), n), lambda x: x[value]).alias("values"))
+    """(keys, values): the last n values in order. They are ranked first, so that no more are gathered."""
+    last = items.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(value)))).filter(F.col("_r") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct(F.negative("_r").alias("_r"), value)))
+    return last.groupBy(*keys).agg(F.transform(ordered, lambda x: x[value]).alias("values"))
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

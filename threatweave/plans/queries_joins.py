@@ -189,10 +189,10 @@ def relations(t):
     return jo.stix_relations(named.select(F.col("rid").alias("research_id"), "type", "name", F.col("name").alias("entity_id")), inds).select("src", "dst")
 
 
-@query("j21_exposure", "SELECT cve, malware AS software, count(DISTINCT source_id) AS devices FROM mentions WHERE cve IN (SELECT concat('CVE-2024-', cast(1000 + s_suppkey AS STRING)) FROM supplier) GROUP BY ALL")
+@query("j21_exposure", "SELECT cve, malware AS software, count(DISTINCT source_id) AS devices, list_slice(list(DISTINCT source_id ORDER BY source_id), 1, 50) AS examples FROM mentions WHERE cve IN (SELECT concat('CVE-2024-', cast(1000 + s_suppkey AS STRING)) FROM supplier) GROUP BY ALL")
 def exposure(t):
     cves = t.supplier.select(F.concat(F.lit("CVE-2024-"), (1000 + F.col("s_suppkey")).cast("string")).alias("cve"))
-    return hu.exposure(t.mentions.select("cve", F.col("malware").alias("software"), F.col("source_id").alias("device")), cves).drop("examples")
+    return hu.exposure(t.mentions.select("cve", F.col("malware").alias("software"), F.col("source_id").alias("device")), cves)
 
 
 @query("j22_lineage_edges", "SELECT source_id AS src, technique_id AS dst, bool_and(rid % 2 = 1) AS inferred FROM mentions GROUP BY ALL")
@@ -297,13 +297,13 @@ def neutral(t):
 
 
 @query("g29_hunt_rollup", """
-    SELECT host, image, count(*) AS n, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s, count(DISTINCT command_line) AS lines FROM telemetry WHERE category = 'process_creation' AND event_id % 4 IN (0, 1) AND event_id % 3 = 0 GROUP BY ALL""")
+    SELECT host, image, count(*) AS n, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s, count(DISTINCT command_line) AS lines, list_slice(list(DISTINCT command_line ORDER BY command_line), 1, 50) AS command_lines FROM telemetry WHERE category = 'process_creation' AND event_id % 4 IN (0, 1) AND event_id % 3 = 0 GROUP BY ALL""")
 def rollup(t):
     from ..operators.aggregates import hunt_rollup
 
     rows = hunt_rollup(hu.matches(t.telemetry, SPECS[:1]), ["host", "image"])
     s = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1e6)
-    return rows.select("host", "image", "n", s("first_ts").alias("first_s"), s("last_ts").alias("last_s"), F.size("command_lines").cast("long").alias("lines"))
+    return rows.select("host", "image", "n", s("first_ts").alias("first_s"), s("last_ts").alias("last_s"), F.col("n_lines").alias("lines"), "command_lines")
 
 
 def _articles(t):

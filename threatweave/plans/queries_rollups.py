@@ -144,9 +144,10 @@ def readiness(t):
 
 
 @query("g21_merged_indicators", """
-    SELECT ioc_type AS type, (min((source_id, ioc_value)))[2] AS value, count(DISTINCT source_id) AS n_sources, list_sort(list(DISTINCT source_id)) AS source_ids FROM mentions GROUP BY ioc_type, lower(ioc_value)""")
+    SELECT ioc_type AS type, (min((source_id, ioc_value)))[2] AS value, count(DISTINCT source_id) AS n_sources, list_sort(list(DISTINCT source_id)) AS source_ids, any_value(c.contexts) AS contexts
+    FROM mentions JOIN (SELECT ioc_type AS t, k, list(quote ORDER BY s, quote) AS contexts FROM (SELECT * FROM (SELECT ioc_type, lower(ioc_value) AS k, quote, min(source_id) AS s FROM mentions GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY ioc_type, k ORDER BY s, quote) <= 3) GROUP BY ALL) c ON c.t = ioc_type AND c.k = lower(ioc_value) GROUP BY ioc_type, lower(ioc_value)""")
 def merged(t):
-    return ag.merged_indicators(t.mentions.select("source_id", F.col("ioc_type").alias("type"), F.col("ioc_value").alias("value"), F.col("quote").alias("context"))).drop("contexts")
+    return ag.merged_indicators(t.mentions.select("source_id", F.col("ioc_type").alias("type"), F.col("ioc_value").alias("value"), F.col("quote").alias("context")))
 
 
 @query("g22_merged_techniques", "SELECT technique_id, arg_min(quote, (rid, pos, quote)) AS procedure, list_sort(list(DISTINCT source_id)) AS source_ids FROM mentions GROUP BY technique_id")
@@ -168,7 +169,7 @@ def shares(t):
 
 
 @query("g26_enrichment_state", """
-    SELECT 'partial' AS state, list(DISTINCT cve ORDER BY cve) FILTER (pos = 1) AS not_found, list(DISTINCT cve ORDER BY cve) FILTER (pos = 3 AND partkey % 2 = 0) AS invalid, list(DISTINCT cve ORDER BY cve) FILTER (pos = 4 AND partkey % 3 = 0) AS rejected FROM mentions""")
+    SELECT 'state' AS kind, 'partial' AS value UNION ALL SELECT DISTINCT 'not_found', cve FROM mentions WHERE pos = 1 UNION ALL SELECT DISTINCT 'invalid_format', cve FROM mentions WHERE pos = 3 AND partkey % 2 = 0 UNION ALL SELECT DISTINCT 'rejected', cve FROM mentions WHERE pos = 4 AND partkey % 3 = 0""")
 def enrichment(t):
     k = F.col("partkey")
     v = F.when(F.col("pos") == 1, "not_found").when((F.col("pos") == 3) & (k % 2 == 0), "invalid_format").when((F.col("pos") == 4) & (k % 3 == 0), "rejected").otherwise("verified")
@@ -188,10 +189,10 @@ def summaries(t):
     return ag.top_summary(t.mentions.select(F.col("rid").alias("id"), F.col("quote").alias("sentence"), F.col("quantity").alias("score"), F.struct("pos", "partkey", "suppkey").alias("pos")), 20)
 
 
-@query("g30_horizons", "SELECT CASE pos % 3 WHEN 0 THEN 'immediate' WHEN 1 THEN 'short_term' ELSE 'long_term' END AS horizon, pos % 3 AS pos, count(*) AS n FROM comments GROUP BY ALL")
+@query("g30_horizons", "SELECT CASE pos % 3 WHEN 0 THEN 'immediate' WHEN 1 THEN 'short_term' ELSE 'long_term' END AS horizon, pos % 3 AS pos, row_number() OVER (PARTITION BY pos % 3 ORDER BY comment_id) AS number, text AS action FROM comments")
 def horizons(t):
     h = F.element_at(F.array(F.lit("immediate"), F.lit("short_term"), F.lit("long_term")), (F.col("pos") % 3 + 1).cast("int"))
-    return ag.by_horizon(t.comments.select(h.alias("horizon"), F.col("comment_id").alias("pos"), F.col("text").alias("action"))).select("horizon", "pos", F.size("actions").cast("long").alias("n"))
+    return ag.by_horizon(t.comments.select(h.alias("horizon"), F.col("comment_id").alias("pos"), F.col("text").alias("action")))
 
 
 @query("g31_threads", "SELECT thread_id, arg_min(text, pos) AS root, coalesce(list(text ORDER BY pos) FILTER (pos > 0), []) AS replies FROM comments GROUP BY thread_id")
