@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+import pyarrow as pa
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources import fixed
 
@@ -58,8 +64,43 @@ def natural_order(ids: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["id"])
 
 
-def comparable(text: Column) -> Column:
-    """For quotes: marks unified, lower case, defanged dots undone, letters and digits with single spaces."""
+@cache
+def changed_by_nfkc() -> str:
+    """A class of all characters that compatibility composition may change, alone or after another one; by rule."""
+    odd = {0x1161, *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for c in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        x = chr(c)
+        if unicodedata.combining(x) or not unicodedata.is_normalized("NFKC", x):
+            odd.add(c)
+        parts = unicodedata.decomposition(x).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            odd.add(int(parts[1], 16))
+    ranges: list[list[int]] = []
+    for c in sorted(odd):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility forms composed (NFKC), which Spark has no function for: texts with such characters pass an Arrow function."""
+    # Other texts go as nulls, so nothing of them is moved.
+    return F.coalesce(_composed(F.when(text.rlike(changed_by_nfkc()), text)), text)
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def comparable(text: Column, *, compatible: bool = False) -> Column:
+    """For quotes: marks unified, lower case, defanged dots undone, letters and digits with single spaces.
+
+    With ``compatible`` compatibility forms (ligatures, full-width letters, superscripts) are composed first.
+    """
+    text = nfkc(text) if compatible else text
     out = F.lower(F.translate(F.coalesce(text, F.lit("")), "‘’“”–— ", "''\"\"-- "))
     out = F.regexp_replace(out, r"\[\.\]|\(\.\)|\[dot\]", ".")
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))

@@ -172,14 +172,14 @@ def grams(words: Column, n: Column) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def quotes_found(quotes: DataFrame, texts: DataFrame, share: float = 0.75) -> DataFrame:
+def quotes_found(quotes: DataFrame, texts: DataFrame, share: float = 0.75, *, compatible: bool = False) -> DataFrame:
     """(quote_id, found): whether a quote (quote_id, source_id, quote) is in the text of a source it cites.
 
     Found means: in the text as a whole once both are made comparable, or with ``share`` of its distinct word n-grams. Empty
-    quotes are found; quotes without any stored text are left out.
+    quotes are found; quotes without any stored text are left out. With ``compatible`` compatibility forms count as plain ones.
     """
-    q = quotes.select("quote_id", "source_id", tx.comparable(F.col("quote")).alias("q"))
-    t = texts.select("source_id", tx.comparable(F.col("text")).alias("t"))
+    q = quotes.select("quote_id", "source_id", tx.comparable(F.col("quote"), compatible=compatible).alias("q"))
+    t = texts.select("source_id", tx.comparable(F.col("text"), compatible=compatible).alias("t"))
     near = q.join(t, "source_id")
 
     def enough(words: Column) -> Column:

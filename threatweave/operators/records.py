@@ -9,6 +9,7 @@ from ..functions import indicators as ind
 from ..functions import text as tx
 from ..functions import urls as ul
 from ..sources import fixed
+from .extract import dictionary_hits
 from .ranking import first_by_key
 
 
@@ -89,6 +90,23 @@ def tree_filter(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     return nodes.join(above.unionByName(below).distinct(), ["root", "path"], "left_semi")
 
 
+def seed_names(seeds: DataFrame, actors: DataFrame, malware: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, actors, malware): what a seed names of the library and by pattern, sorted.
+
+    actors (name, aliases) counts under its name whichever of its names the text holds; malware (name) needs four letters. Names are whole
+    words in any case; they meet the text by their first token, so a large library is no nested loop.
+    """
+    every = F.concat(F.array("name"), F.coalesce("aliases", _no_strings()))
+    known = actors.select(F.explode(every).alias("x"), F.col("name").alias("canonical")).filter("x <> ''").select(F.col("x").alias("name"), "canonical").distinct()
+    text = seeds.select(id_col, F.col(text_col).alias("text"))
+    hit = lambda names, least: dictionary_hits(text, names, id_col=id_col, least=least, hyphens=True)
+    pattern = text.select(id_col, F.explode(tx.actor_names(F.col("text"))).alias("canonical"))
+    who = hit(known, 1).unionByName(pattern).distinct().groupBy(id_col).agg(F.array_sort(F.collect_list("canonical")).alias("actors"))
+    what = hit(malware.select("name", F.col("name").alias("canonical")).distinct(), 4).groupBy(id_col).agg(F.array_sort(F.collect_list("canonical")).alias("malware"))
+    out = seeds.select(id_col).distinct().join(who, id_col, "left").join(what, id_col, "left")
+    return out.select(id_col, F.coalesce("actors", _no_strings()).alias("actors"), F.coalesce("malware", _no_strings()).alias("malware"))
+
+
 def seed_entities(seeds: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """(id, title, cves, urls, actors, keywords): what a seed text names by pattern; a null text names nothing.
 

@@ -38,4 +38,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["g21_merged_indicators"](spark, sf_dir)
 
 
-from . import queries_joins, queries_library, queries_provenance, queries_records, queries_rollups, queries_state, queries_stix, queries_streams, queries_text  # noqa: E402, F401
+from . import queries_joins, queries_library, queries_provenance, queries_records, queries_rollups, queries_state, queries_stix, queries_stored, queries_streams, queries_text  # noqa: E402, F401
