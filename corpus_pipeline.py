@@ -13,7 +13,11 @@ from threatweave.llm.common import new_path, table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity and most surprising word stay within their language's thresholds."""
+    """Documents whose perplexity and most surprising word stay within their language's thresholds.
+
+    Texts without characters to score, and rows without an id, stay; rows that share an id go together if one of them goes; without trusted
+    labels all stay; an empty table gives an empty one, with the columns it has, extra ones included.
+    """
     rated = kneser_ney.quality_classifier(docs, table(spark, sf_dir, "labels"))
     return without(docs, rated.filter("not (kept and clean)").select("doc_id"))
 
@@ -29,17 +33,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with the benchmark."""
+    """Documents without an overlap with the benchmark.
+
+    Null and empty texts and rows without an id stay; rows that share an id go together; an empty benchmark leaves all.
+    """
     return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced."""
+    """All documents, with personal data replaced by its kind; null texts stay null, n_chars follows the text, other columns stay."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences; a null or empty text is its end id alone, rows that repeat are packed each."""
     return packing.pack(docs, tokenizer_path=tokens.default_path(), end_id=2)
 
 

@@ -23,7 +23,7 @@ from threatweave.streaming import stateful as sf
 from .conftest import SF
 from .test_oracle import plain
 
-NEW = ["j17_provenance_backfill", "j18_inferred_sources", "f10_spec_index", "x01_trigram_index", "k05_stix_graph", "k06_stix_faults", "ss01_feed_in_batches", "ss02_views_in_batches", "ss09_runs_in_batches"]
+NEW = ["j17_provenance_backfill", "j18_inferred_sources", "f10_spec_index", "x01_trigram_index", "k05_stix_graph", "k06_stix_faults", "ss01_feed_in_batches", "ss02_views_in_batches", "ss09_runs_in_batches", "m06_stored_upserts", "e05_seed_names", "p17_compatible"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -256,3 +256,62 @@ def test_lists_are_cut_before_they_are_gathered(spark):
     assets = spark.createDataFrame([("CVE-1", "s", f"d{i % 80:02d}") for i in range(200)] + [("CVE-2", "s", "d")], "cve string, software string, device string")
     r = hu.exposure(assets, assets.filter("cve = 'CVE-1'")).collect()
     assert [(x["cve"], x["devices"], x["examples"]) for x in r] == [("CVE-1", 80, [f"d{i:02d}" for i in range(50)])]
+
+
+def test_upserts_touch_their_buckets_only(spark):
+    """Rounds of changes, removals and a merge equal a rebuild; what isn't committed is not read; compaction changes nothing."""
+    from threatweave.operators import stored as sd
+
+    rng = random.Random(4)
+    schema = "a string, b long, v string"
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], schema)
+    path = folder(spark, "stored")
+    now = {(rng.choice(("x", "y", None)), i if i % 9 else None): f"v{i}" for i in range(120)}
+    sd.create(frame(now), ["a", "b"], path, buckets=16)
+    rows = lambda: {(r["a"], r["b"]): r["v"] for r in sd.read(spark, path).collect()}
+    assert rows() == now
+    for k in range(3):
+        changes = {key: f"round{k}" for key in rng.sample(sorted(now, key=repr), 4)} | {("new", k): "n"}
+        touched = sd.upsert(frame(changes), path)
+        now |= changes
+        assert rows() == now and 1 <= len(touched) <= 5
+        kept = [p.name for p in Path(path.removeprefix("file://")).glob(f"generation-{k + 2}/_bucket=*")]
+        assert sorted(kept) == sorted(f"_bucket={b}" for b in touched)
+    gone = rng.sample(sorted(now, key=repr), 10)
+    sd.remove(frame({k: "" for k in gone}), path)
+    now = {k: v for k, v in now.items() if k not in gone}
+    assert rows() == now and sd.read(spark, path).count() == len(now)
+    longer = lambda current, changes: current.unionByName(changes).groupBy("a", "b").agg(F.concat_ws("+", F.array_sort(F.collect_list("v"))).alias("v"))
+    one = next(k for k in now if None not in k)
+    sd.upsert(frame({one: "zz"}), path, longer)
+    now[one] += "+zz"
+    sd._write(frame({("lost", 1): "x"}), ["a", "b"], 16, f"{path}/generation-99")
+    assert rows() == now and sd.upsert(frame({}), path) == []
+    sd.compacted(spark, path)
+    assert rows() == now and len(sd._newest(sd._log(spark, path))) == 1
+
+
+def test_compatibility_forms(spark):
+    """Every 97th character with such a form, alone and between others, and marks that compose; plain texts pass no function."""
+    import unicodedata
+
+    from threatweave.functions import text as tx
+    from threatweave.operators import joins as jo
+
+    odd = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFKC", chr(c))][::97]
+    texts = odd + [f"a{x}b {x}" for x in odd] + ["é ü", "각", "ﬁne ²", "plain", "", "é ü"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.nfkc(F.col("t")).alias("u")).collect()
+    assert {r["i"]: r["u"] for r in rows} == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)} and len(odd) > 50
+    quotes = spark.createDataFrame([(1, "s", "ﬁnd the ｌｏｇ ²")], "quote_id int, source_id string, quote string")
+    stored_text = spark.createDataFrame([("s", "You should find the log 2 now.")], "source_id string, text string")
+    assert [jo.quotes_found(quotes, stored_text, compatible=c).first()["found"] for c in (False, True)] == [False, True]
+
+
+def test_names_of_the_library_in_seeds(spark):
+    from threatweave.operators.records import seed_names
+
+    seeds = spark.createDataFrame([(1, "APT7 and Blue-Fox hit; BLUE FOX (foxy) with emotet, Emotets and Abc."), (2, None), (3, "")], "doc_id int, text string")
+    actors = spark.createDataFrame([("Blue Fox", ["Foxy", ""]), ("Fox", None), ("Other", ["x9"])], "name string, aliases array<string>")
+    malware = spark.createDataFrame([("Emotet",), ("Abc",), ("missing",)], "name string")
+    rows = {r["doc_id"]: (r["actors"], r["malware"]) for r in seed_names(seeds, actors, malware).collect()}
+    assert rows == {1: (["APT7", "Blue Fox", "Fox"], ["Emotet"]), 2: ([], []), 3: ([], [])}
