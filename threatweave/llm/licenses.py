@@ -13,7 +13,9 @@ unknown family, and below that as none.
 DataFrame and SQL functions only; the weights are fitted on the driver on the bounded training set and go into the scoring
 expression as a constant of fixed size.
 
-Defined results: a null or empty text has no paragraphs; rows that repeat are scanned each; an empty table gives no rows.
+Defined results: a null or empty text has no paragraphs; the result has one row for each id with a finding, so rows that
+share an id are one row with the families of all, and rows without an id together are one; paragraphs that fit two families
+equally take the first in the order of the notices; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
