@@ -302,8 +302,8 @@ def test_compatibility_forms(spark):
     texts = odd + [f"a{x}b {x}" for x in odd] + ["é ü", "각", "ﬁne ²", "plain", "", "é ü"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.nfkc(F.col("t")).alias("u")).collect()
     assert {r["i"]: r["u"] for r in rows} == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)} and len(odd) > 50
-    quotes = spark.createDataFrame([(1, "s", "ﬁnd the ｌｏｇ ²")], "quote_id int, source_id string, quote string")
-    stored_text = spark.createDataFrame([("s", "You should find the log 2 now.")], "source_id string, text string")
+    quotes = spark.createDataFrame([(1, "s", "xy ﬁnd ｌｏｇ ²")], "quote_id int, source_id string, quote string")
+    stored_text = spark.createDataFrame([("s", "It is xy find log 2 now.")], "source_id string, text string")
     assert [jo.quotes_found(quotes, stored_text, compatible=c).first()["found"] for c in (False, True)] == [False, True]
 
 
