@@ -25,14 +25,6 @@ def same(spark_rows, columns, sql, tables):
     return theirs
 
 
-@pytest.mark.parametrize("name, table", [("op12_centroids", "embeddings"), ("op13_source_divergence", "documents")])
-def test_query_equals_sql(spark, name, table):
-    import pyarrow.parquet as pq
-
-    df = registry.QUERIES[name](spark, SF)
-    assert same(df.collect(), df.columns, registry.SQL[name], {table: pq.read_table(f"{SF}/{table}.parquet")})
-
-
 def vectors(n, rng, dims=64):
     return [(i, [float(v) for v in rng.normal(i % 5, 1.5, dims)], 0, "c", 1, 0.5) for i in range(n)]
 
