@@ -9,7 +9,7 @@
 4. A candidate's signatures are compared in batches; it is dropped as soon as the posterior probability that the
    similarity reaches the threshold falls below ``MISS`` (uniform prior, so the posterior is a binomial tail).
 5. Survivors are verified on the full sets, rebuilt from the whole texts.
-6. Links become components by least labels with pointer jumps.
+6. Links become components by least labels with pointer jumps; later links join components, and aren't labelled from the start.
 
 The threshold is a parameter, ``NEAR`` unless a caller has its own. The bands lose a pair of similarity 0.8 with a
 probability of 3e-6, one of 0.85 with 2e-9.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import distinct, freeing, table, written
-from .graph import components
+from .graph import beside, components, extended
 from .tokens import chunks
 
 WORDS = 5
@@ -223,10 +223,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, need: tuple[int, int]) -> DataF
 
 
 def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, rep, comp, size) of buckets whose members are in more than one component."""
+    """Rows (bucket, rep, comp, low, size) of buckets whose members are in more than one component; low is the least of these."""
     now = bands.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     open_ = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
-    return now.join(open_.select("bucket", "size"), "bucket")
+    return now.join(open_.select("bucket", "low", "size"), "bucket")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -241,14 +241,15 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _families(rows: DataFrame, most: int) -> DataFrame:
-    """(family, rep, comp, blocks): open buckets joined into families of sets that share some, so that a pair meets once.
+    """(family, rep, comp, blocks): open buckets joined into families of components that share some, so that a pair meets once.
 
-    A family of more than ``most`` sets stays apart by its buckets, whose pairs are fewer. Only families of more than one
+    Buckets link components, not sets: a large group of near copies shares nearly all its buckets and is one component by
+    then, while links between its sets would be as many as its bucket entries. A family of more than ``most`` sets stays apart by its buckets, whose pairs are fewer. Only families of more than one
     block are looked up, of which there are few, so that no exchange deals the rows by their family.
     """
-    low = rows.groupBy("bucket").agg(F.min("rep").alias("low"))
-    kin = components(rows.join(low, "bucket").filter("rep <> low").select("rep", "low").distinct(), "rep", "low").select(F.col("id").alias("rep"), F.xxhash64("comp").alias("family"))
-    joined = written(rows.join(kin, "rep").select("bucket", "rep", "comp", "family"), "minhash-kin")
+    # An open bucket has two components at least, so each of them is in a link.
+    kin = components(rows.filter("comp <> low").select("comp", "low").distinct(), "comp", "low").select(F.col("id").alias("comp"), F.xxhash64("comp").alias("family"))
+    joined = written(beside(rows, kin, "comp").select("bucket", "rep", "comp", "family"), "minhash-kin")
     large = _sized(joined.select("family", "rep").distinct(), most)
     keyed = _beside(joined, large, "family").select(F.when(F.col("size").isNull(), F.col("family")).otherwise(F.col("bucket")).alias("family"), "rep", "comp").distinct()
     keyed = written(keyed, "minhash-keyed")
@@ -309,6 +310,11 @@ def _block_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[
     return spread.groupBy("family", "i", "j").applyInArrow(run, LINK)
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (rep, comp) with further links."""
+    return extended(labels.withColumnRenamed("rep", "id"), written(links, "minhash-links"), "a", "b").withColumnRenamed("id", "rep")
+
+
 def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int = FAMILY) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, mark (xxhash64 of the text).
 
@@ -332,12 +338,10 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = NEAR, family: int =
         rated = rows.join(shared, "rep")
         chosen = rated.groupBy("bucket").agg(F.min(F.struct(F.negative("shared").alias("least"), "rep", "comp")).alias("c"))
         stars = rated.join(chosen, "bucket").filter("comp <> c.comp").select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        links = written(links.unionByName(_verified(_surviving(stars, sigs, need), docs, need)), "minhash-links")
-        labels = components(links, "a", "b").withColumnRenamed("id", "rep")
+        labels = _joined(labels, _verified(_surviving(stars, sigs, need), docs, need))
         rows = written(_unsettled(rows.select("bucket", "rep"), labels), "minhash-open")
         if not rows.isEmpty():
-            links = written(links.unionByName(_block_links(rows, reps, docs, need, family)), "minhash-links")
-            labels = components(links, "a", "b").withColumnRenamed("id", "rep")
+            labels = _joined(labels, _block_links(rows, reps, docs, need, family))
 
     owners = reps.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("comp", "rep").getField("doc_id").alias("comp"))
     out = feats.select("doc_id", "n_shingles", "set_id", "mark").join(owners, "set_id", "left")
