@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 
-from threatweave.llm import graph, minhash
+from threatweave.llm import graph, kneser_ney, minhash
+from threatweave.llm.common import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_families_link_components(spark, monkeypatch):
@@ -44,3 +47,14 @@ def test_extended_labels(spark, few, monkeypatch):
     read = lambda df: sorted((r["id"], r["comp"]) for r in df.collect())
     assert read(graph.extended(labels, frame(more), "a", "b")) == read(graph.components(frame(first + more), "a", "b"))
     assert graph.extended(labels, frame(first), "a", "b") is labels
+
+
+def test_windows_are_scored_once(spark, monkeypatch):
+    """The head's windows and all others go through the joins together, and the model's tables are written once."""
+    passes, tables = [], []
+    scored, write = kneser_ney.probabilities, kneser_ney.written
+    monkeypatch.setattr(kneser_ney, "probabilities", lambda *a: passes.append(1) or scored(*a))
+    monkeypatch.setattr(kneser_ney, "written", lambda df, name, *a: tables.append((name, sorted(df.columns))) or write(df, name, *a))
+    kneser_ney.quality_classifier(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()
+    assert passes == [1]
+    assert sum(columns == ["c", "gram"] for _, columns in tables) == kneser_ney.ORDER == sum(name == "kneser-contexts" for name, _ in tables)

@@ -97,43 +97,32 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     return trusted.select("text").mapInArrow(freeing(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model's tables, as rows (n, kind, gram, value) in the shared folder, and the counts (gram, c) of the longest order.
+def model(trusted: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """The model's tables by order, from 0, and the counts (gram, c) of the longest order.
 
-    Kind 0 has the discounted probability of a gram, kind 1 the weight that a context gives to the next lower order. Order 0
-    has the uniform probability.
+    An order's first table (gram, own) has what remains of a gram's count after the discount, the second (context, sum, cuts) the sum of a
+    context's counts and of what was cut from them, which goes to the next lower order. Order 0 has the uniform probability. Only
+    counts and contexts are written; the discounted counts are expressions on the counts' tables, so no table is written twice.
     """
     spark = trusted.sparkSession
     tables = {ORDER: written(gram_counts(trusted), "grams")}
     for n in range(ORDER - 1, 0, -1):
         shorter = tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c"))
         tables[n] = written(shorter, "grams")
-    rows = None
-    for n, grams in tables.items():
+    rows: list[tuple[DataFrame, DataFrame]] = []
+    for n, grams in sorted(tables.items()):
         # The discounts, from how many grams occur once to four times.
         seen = grams.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("all")).first()
         n1, n2, n3, n4 = (seen[f"n{k}"] for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [min(0.95 * k, max(0.05, k - (k + 1) * y * b / a)) if a and b else min(0.75, 0.5 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        held = grams.withColumn("context", F.substring("gram", 1, n - 1)).withColumn("cut", cut)
-        contexts = held.groupBy("context").agg(F.sum("c").alias("sum"), F.sum("cut").alias("cuts"))
-        # The only context of order 1 is the empty one.
         if n == 1:
-            whole = contexts.first()
-            sums, cuts = (whole["sum"], whole["cuts"]) if whole else (1, 1.0)
-            probs = held.select("gram", ((F.col("c") - F.col("cut")) / sums).alias("value"))
-            weights = spark.range(1).select(F.lit("").alias("gram"), F.lit(float(cuts / sums)).alias("value"))
-            base = spark.range(1).select(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(1.0 / (seen["all"] + 1)).alias("value"), F.lit(0).alias("kind"))
-        else:
-            probs = held.join(contexts, "context").select("gram", ((F.col("c") - F.col("cut")) / F.col("sum")).alias("value"))
-            weights = contexts.select(F.col("context").alias("gram"), (F.col("cuts") / F.col("sum")).alias("value"))
-        part = probs.withColumn("kind", F.lit(0)).unionByName(weights.withColumn("kind", F.lit(1))).withColumn("n", F.lit(n))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.unionByName(base)
-    path = new_path(spark, "kneser-ney")
-    rows.select("n", "kind", "gram", "value").write.partitionBy("n", "kind").parquet(path)
-    return spark.read.schema("gram string, value double, n int, kind int").parquet(path), tables[ORDER]
+            base = spark.range(1).select(F.lit("").alias("gram"), F.lit(1.0 / (seen["all"] + 1)).alias("own"))
+            rows.append((base, spark.range(0).select(F.lit("").alias("context"), F.lit(0).alias("sum"), F.lit(0.0).alias("cuts"))))
+        contexts = grams.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("c").alias("sum"), F.sum(cut).alias("cuts"))
+        rows.append((grams.select("gram", (F.col("c") - cut).alias("own")), written(contexts, "kneser-contexts")))
+    return rows, tables[ORDER]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -189,10 +178,10 @@ def has(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def block_windows(docs: DataFrame, head: str) -> DataFrame:
-    """(block, key, gram): the distinct windows of ORDER characters of each block that the head hasn't, and their hashes."""
+    """(block, key, gram): the distinct windows of ORDER characters of each block that the head (a folder of keys) hasn't, and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, _ = scored_bits(head)
+        common = np.sort(columns(head, {"key": np.int64})[0].view(np.uint64))
         at, seen = None, np.zeros(0, dtype=np.uint64)
         for block, chunk in by_block(batches):
             if block != at:
@@ -214,55 +203,67 @@ def block_windows(docs: DataFrame, head: str) -> DataFrame:
     return docs.select("block", "text").mapInArrow(freeing(run), "block long, key long, gram string")
 
 
-def probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """``grams`` (key, gram), distinct windows of ORDER characters, as (key, p): the last character's probability after the others.
+def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``grams`` (key, gram, others), distinct windows of ORDER characters, as (key, others, p): the last character's probability after the others.
 
     Each order's probability is joined from the counts' table of that order and from the probability of the shorter window.
     A key of these joins has as many rows as there are characters at most.
     """
-
-    def of(n: int, kind: int, gram: str, value: str) -> DataFrame:
-        return model.filter((F.col("n") == n) & (F.col("kind") == kind)).select(F.col("gram").alias(gram), F.col("value").alias(value))
-
     wanted = {ORDER: grams}
     for n in range(ORDER - 1, 0, -1):
         wanted[n] = wanted[n + 1].select(F.substring("gram", 2, n).alias("gram")).distinct()
-    carried = {ORDER: ["key"]}
-    floor, weight = of(0, 0, "gram", "value").first()["value"], of(1, 1, "gram", "value").first()["value"]
-    p = wanted[1].join(of(1, 0, "gram", "own"), "gram", "left").select("gram", (F.coalesce("own", F.lit(0.0)) + weight * floor).alias("p"))
+    carried = {ORDER: [c for c in grams.columns if c != "gram"]}
+    floor = model[0][0].first()["own"]
+    # The only context of order 1 is the empty one; without trusted text there is none.
+    whole = model[1][1].first()
+    sums, cuts = (whole["sum"], whole["cuts"]) if whole else (1, 1.0)
+    p = wanted[1].join(model[1][0], "gram", "left").select("gram", (F.coalesce(F.col("own") / sums, F.lit(0.0)) + cuts / sums * floor).alias("p"))
     for n in range(2, ORDER + 1):
+        own, contexts = model[n]
         held = wanted[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("shorter", F.substring("gram", 2, n - 1))
-        held = held.join(of(n, 0, "gram", "own"), "gram", "left").join(of(n, 1, "context", "weight"), "context", "left").join(p.withColumnRenamed("gram", "shorter"), "shorter")
-        p = held.select(*carried.get(n, ["gram"]), (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        held = held.join(own, "gram", "left").join(contexts, "context", "left").join(p.withColumnRenamed("gram", "shorter"), "shorter")
+        p = held.select(*carried.get(n, ["gram"]), (F.coalesce(F.col("own") / F.col("sum"), F.lit(0.0)) + F.coalesce(F.col("cuts") / F.col("sum"), F.lit(1.0)) * F.col("p")).alias("p"))
     return p
 
 
-def scored_blocks(docs: DataFrame, model: DataFrame, counts: DataFrame, most: int = HEAD) -> tuple[str, str]:
-    """Two folders: the probabilities of the head's windows, and those of each block's other windows, a folder a block."""
-    head = new_path(docs.sparkSession, "kneser-head")
-    probabilities(keyed(frequent(counts, most)), model).write.parquet(head)
-    windows = written(block_windows(docs, head), "kneser-windows")
-    p = probabilities(written(windows.groupBy("key").agg(F.first("gram").alias("gram")), "kneser-distinct"), model)
-    path = new_path(docs.sparkSession, "kneser-blocks")
-    windows.select("block", "key").join(p, "key").select("block", "key", "p").repartition("block").write.partitionBy("block").parquet(path)
+def scored_blocks(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], counts: DataFrame, most: int = HEAD) -> tuple[str, str]:
+    """Two folders: the probabilities of the head's windows, and those of each block's other windows, a folder a block.
+
+    The head is chosen by its counts, so its windows and the others get their probabilities by the same joins.
+    """
+    spark = docs.sparkSession
+    chosen = new_path(spark, "kneser-chosen")
+    keyed(frequent(counts, most)).write.parquet(chosen)
+    windows = written(block_windows(docs, chosen), "kneser-windows")
+    rest = windows.groupBy("key").agg(F.first("gram").alias("gram")).withColumn("common", F.lit(False))
+    common = spark.read.schema("key long, gram string").parquet(chosen).withColumn("common", F.lit(True))
+    p = written(probabilities(written(rest.unionByName(common), "kneser-distinct"), model), "kneser-probabilities")
+    head, path = new_path(spark, "kneser-head"), new_path(spark, "kneser-blocks")
+    p.filter("common").select("key", "p").write.parquet(head)
+    windows.select("block", "key").join(p.filter("not common").select("key", "p"), "key").select("block", "key", "p").repartition("block").write.partitionBy("block").parquet(path)
     return head, path
 
 
 def scored_bits(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the windows in a folder, and -log2 of their probabilities; none where there is no folder."""
+    key, p = columns(path, {"key": np.int64, "p": np.float64})
+    by = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[by], -np.log2(p[by])
+
+
+def columns(path: str, kinds: dict[str, type]) -> list[np.ndarray]:
+    """Columns of all rows in a folder of Parquet files; empty where there is no folder."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(path)
-    keys, values = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+    found: dict[str, list] = {c: [np.zeros(0, dtype=kind)] for c, kind in kinds.items()}
     for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
         if f.path.endswith(".parquet"):
-            for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(200_000, columns=["key", "p"]):
-                keys.append(batch["key"].to_numpy().view(np.uint64))
-                values.append(-np.log2(batch["p"].to_numpy()))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    by = np.argsort(key)
-    return key[by], value[by]
+            for batch in pq.ParquetFile(f.path, filesystem=system).iter_batches(200_000, columns=list(kinds)):
+                for c in kinds:
+                    found[c].append(batch[c].to_numpy())
+    return [np.concatenate(x) for x in found.values()]
 
 
 def peaks(flat: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
