@@ -17,10 +17,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def seen_in(links: DataFrame, research: DataFrame, *, entity_type: str) -> DataFrame:
-    """(entity_key, research): ids of the live research that names each entity, newest first."""
-    live = research.filter(F.col("status") != "archived").select("research_id", "created_at")
-    rows = links.filter(F.col("entity_type") == entity_type).select("entity_key", "research_id").distinct().join(live, "research_id")
+def seen_in(links: DataFrame, research: DataFrame, *, entity_type: str, key: str = "research_id") -> DataFrame:
+    """(entity_key, research): ids of the live research that names each entity, newest first.
+
+    Links and research meet by ``key``, which need not be the id that is shown: ids that are cut to a width may repeat.
+    """
+    live = research.filter(F.col("status") != "archived").select(F.col(key).alias("_key"), "research_id", "created_at")
+    rows = links.filter(F.col("entity_type") == entity_type).select("entity_key", F.col(key).alias("_key")).join(live, "_key")
+    # Repeated rows of a link go where they meet, so that one exchange by entity serves the rest.
+    rows = rows.distinct().select("entity_key", "research_id", "created_at").repartition("entity_key").distinct()
     newest = F.sort_array(F.collect_list(F.struct("created_at", "research_id")), asc=False)
     return rows.groupBy("entity_key").agg(F.transform(newest, lambda x: x["research_id"]).alias("research"))
 

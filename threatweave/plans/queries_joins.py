@@ -61,8 +61,7 @@ def quotes(t):
 @query("j04_seen_in", """
     SELECT entity_key, list(research_id ORDER BY created_at DESC, research_id DESC) AS research FROM (SELECT DISTINCT entity_key, r.research_id, r.created_at FROM links l JOIN research r USING (rid) WHERE entity_type = 'malware' AND status <> 'archived') GROUP BY entity_key""")
 def seen_in(t):
-    links = t.links.join(t.research.select("rid", "research_id"), "rid")
-    return jo.seen_in(links, t.research, entity_type="malware")
+    return jo.seen_in(t.links, t.research, entity_type="malware", key="rid")
 
 
 KEYS = "k AS (SELECT DISTINCT rid AS id, cve AS key FROM mentions UNION SELECT DISTINCT rid, lower(actor) FROM mentions)"
