@@ -9,7 +9,8 @@ from ..functions import indicators as ind
 from ..functions import text as tx
 from ..functions import urls as ul
 from ..sources import fixed
-from .extract import dictionary_hits
+from ..sources.writers import stored
+from .extract import BROADCAST_NAMES, name_hits
 from .ranking import first_by_key
 
 
@@ -94,16 +95,23 @@ def seed_names(seeds: DataFrame, actors: DataFrame, malware: DataFrame, *, id_co
     """(id, actors, malware): what a seed names of the library and by pattern, sorted.
 
     actors (name, aliases) counts under its name whichever of its names the text holds; malware (name) needs four letters. Names are whole
-    words in any case; they meet the text by their first token, so a large library is no nested loop.
+    words in any case; they meet the text by a token, so a large library is no nested loop. What a seed names is gathered before an alias is
+    replaced by all actors that have it.
     """
     every = F.concat(F.array("name"), F.coalesce("aliases", _no_strings()))
-    known = actors.select(F.explode(every).alias("x"), F.col("name").alias("canonical")).filter("x <> ''").select(F.col("x").alias("name"), "canonical").distinct()
+    known = stored(actors.select(F.explode(every).alias("x"), F.col("name").alias("canonical")).filter("x <> ''").select(F.col("x").alias("name"), "canonical").distinct(), "actor-names")
     text = seeds.select(id_col, F.col(text_col).alias("text"))
-    hit = lambda names, least: dictionary_hits(text, names, id_col=id_col, least=least, hyphens=True)
-    pattern = text.select(id_col, F.explode(tx.actor_names(F.col("text"))).alias("canonical"))
-    who = hit(known, 1).unionByName(pattern).distinct().groupBy(id_col).agg(F.array_sort(F.collect_list("canonical")).alias("actors"))
-    what = hit(malware.select("name", F.col("name").alias("canonical")).distinct(), 4).groupBy(id_col).agg(F.array_sort(F.collect_list("canonical")).alias("malware"))
-    out = seeds.select(id_col).distinct().join(who, id_col, "left").join(what, id_col, "left")
+    hit = lambda names, least: name_hits(text, names, id_col=id_col, least=least, hyphens=True)
+    by_name = hit(known, 1).withColumn("_k", F.lit("actor"))
+    by_pattern = text.select(id_col, F.explode(tx.actor_names(F.col("text"))).alias("name")).withColumn("_k", F.lit("pattern"))
+    found = by_name.unionByName(by_pattern).unionByName(hit(malware, 4).withColumn("_k", F.lit("malware")))
+    of = lambda kind: F.collect_set(F.when(F.col("_k") == kind, F.col("name")))
+    named = found.groupBy(id_col).agg(of("actor").alias("_names"), of("pattern").alias("_pattern"), of("malware").alias("malware"))
+    listed = known.groupBy("name").agg(F.collect_set("canonical").alias("_all"))
+    listed = F.broadcast(listed) if known.count() <= BROADCAST_NAMES else listed
+    who = named.select(id_col, "_pattern", "malware", F.explode_outer("_names").alias("name")).join(listed, "name", "left").groupBy(id_col)
+    who = who.agg(F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("_all")), F.first("_pattern")))).alias("actors"), F.array_sort(F.first("malware")).alias("malware"))
+    out = seeds.select(id_col).distinct().join(who, id_col, "left")
     return out.select(id_col, F.coalesce("actors", _no_strings()).alias("actors"), F.coalesce("malware", _no_strings()).alias("malware"))
 
 
