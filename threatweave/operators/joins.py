@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .patterns import occurrences
+from .patterns import by_size, occurrences
 
 #: Rows that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -298,15 +298,37 @@ def source_states(found: DataFrame, read: DataFrame, excluded: DataFrame) -> Dat
 
 
 def stix_relations(named: DataFrame, indicators: DataFrame) -> DataFrame:
-    """(src, dst, kind): an indicator points at the malware its text names, else the actors it names, else all actors of its research."""
-    texts = indicators.select("research_id", F.col("indicator_id").alias("text_id"), F.lower("text").alias("text"))
-    named = named.filter(F.col("type").isin("malware", "actor"))
+    """(src, dst, kind): an indicator points at the malware its text names, else the actors it names, else all actors of its research; once a research.
+
+    The names of a research are few and go to its indicators as one list; a research with more than ``patterns.EACH`` meets its by anchors.
+    """
     rank = F.when(F.col("type") == "malware", 0).otherwise(1)
-    hits = occurrences(texts, named.select("research_id", F.struct(rank.alias("rank"), "entity_id").alias("pattern_id"), F.lower("name").alias("pattern")), scope=["research_id"])
+    named = named.filter(F.col("type").isin("malware", "actor")).select("research_id", rank.alias("rank"), "entity_id", F.lower("name").alias("name"))
+    texts = indicators.select("research_id", "indicator_id", F.lower("text").alias("text"))
+    few, large, _ = by_size(named, ["research_id"])
+    lists = few.repartition("research_id").groupBy("research_id").agg(F.collect_set(F.struct("rank", "entity_id", "name")).alias("_list"))
+    near = texts.repartition("research_id").join(lists, "research_id")
+    entry = lambda x, r: F.struct(r.alias("rank"), x["entity_id"].alias("entity_id"))
+    told = F.transform(F.filter("_list", lambda x: (x["name"] != "") & F.contains("text", x["name"])), lambda x: entry(x, x["rank"]))
+    actors = F.transform(F.filter("_list", lambda x: x["rank"] == 1), lambda x: entry(x, F.lit(2)))
+    meant = tx.let(F.coalesce(told, F.array().cast("array<struct<rank:int,entity_id:string>>")), lambda t: F.when(F.size(t) > 0, F.filter(t, lambda x: x["rank"] == F.array_min(F.transform(t, lambda y: y["rank"])))).otherwise(actors))
+    rows = near.select("research_id", "indicator_id", F.explode_outer(meant).alias("_x")).filter("_x is not null").select("research_id", "indicator_id", "_x.*").distinct()
+    # An indicator may have several texts; the best that one of them says counts.
+    least = F.min("rank").over(Window.partitionBy("research_id", "indicator_id"))
+    out = rows.withColumn("_least", least).filter("rank = _least").select("indicator_id", "entity_id")
+    if large is not None:
+        mine = lambda x: x.join(large, "research_id", "left_semi")
+        out = out.unionByName(_by_anchors(mine(named), mine(texts)))
+    return out.select(F.col("indicator_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("indicates").alias("kind"))
+
+
+def _by_anchors(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """(indicator_id, entity_id) of ``stix_relations``, for research that names much."""
+    hits = occurrences(texts.withColumnRenamed("indicator_id", "text_id"), named.select("research_id", F.struct("rank", "entity_id").alias("pattern_id"), F.col("name").alias("pattern")), scope=["research_id"])
     hits = hits.select("research_id", F.col("text_id").alias("indicator_id"), "pattern_id.*")
     best = hits.groupBy("research_id", "indicator_id").agg(F.min("rank").alias("rank"))
-    told = hits.join(best, ["research_id", "indicator_id", "rank"]).select("indicator_id", "entity_id")
+    told = hits.join(best, ["research_id", "indicator_id", "rank"]).select("research_id", "indicator_id", "entity_id")
     # Only indicators whose text names nobody meet all actors of their research.
-    silent = indicators.select("research_id", "indicator_id").join(best, ["research_id", "indicator_id"], "left_anti")
-    rest = silent.join(named.filter("type = 'actor'").select("research_id", "entity_id"), "research_id").select("indicator_id", "entity_id")
-    return told.unionByName(rest).select(F.col("indicator_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("indicates").alias("kind")).distinct()
+    silent = texts.select("research_id", "indicator_id").join(best, ["research_id", "indicator_id"], "left_anti")
+    rest = silent.join(named.filter("rank = 1").select("research_id", "entity_id"), "research_id").select("research_id", "indicator_id", "entity_id")
+    return told.unionByName(rest).distinct().select("indicator_id", "entity_id")

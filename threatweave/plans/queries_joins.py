@@ -183,7 +183,7 @@ def cited(t):
     SELECT DISTINCT concat(cast(rid AS STRING), '/', cast(pos AS STRING)) AS src, name AS dst FROM r QUALIFY k IS NOT NULL AND k = min(k) OVER (PARTITION BY rid, pos)""")
 def relations(t):
     m = t.mentions
-    named = m.select("rid", F.lit("malware").alias("type"), F.col("malware").alias("name")).union(m.select("rid", F.lit("actor"), "actor")).distinct()
+    named = m.select("rid", F.lit("malware").alias("type"), F.col("malware").alias("name")).union(m.select("rid", F.lit("actor"), "actor"))
     inds = m.select(F.col("rid").alias("research_id"), F.concat_ws("/", F.col("rid").cast("string"), F.col("pos").cast("string")).alias("indicator_id"), F.col("quote").alias("text"))
     return jo.stix_relations(named.select(F.col("rid").alias("research_id"), "type", "name", F.col("name").alias("entity_id")), inds).select("src", "dst")
 
