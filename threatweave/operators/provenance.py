@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_order, refang
+from .joins import small
 from .patterns import occurrences, sequence_within
 
 # What a query can rest on, and the group of an indicator query by its first data source, with the types it looks for.
@@ -105,10 +106,14 @@ def inferred_sources(queries: DataFrame, opportunities: DataFrame, steps: DataFr
     the CVEs that its title and body hold. Sources stand in the order of what they come from. queries has (research_id, query_id, opportunity_id, type,
     title, body, source_ids), opportunities (research_id, pos, opportunity_id, behaviour_ref, source_ids), steps (research_id,
     pos, ref, source_ids), ioas (research_id, pos, ioa_id, source_ids), iocs (research_id, pos, value, source_ids), vulns
-    (research_id, pos, cve, source_ids), where a research has a ``pos`` once. Of equal ids the first counts. Values and bodies meet by anchors within their research, not each
-    with each.
+    (research_id, pos, cve, source_ids), where a research has a ``pos`` once. Of equal ids the first counts. Values go to the bodies of their research as a list while they
+    are few, and meet them by anchors where they are many.
     """
 
+    # Sections of research without queries, mostly nearly all, go before anything is shuffled.
+    asked = small(queries.select("research_id").distinct())
+    opportunities, steps, ioas, iocs, vulns = [x.join(asked, "research_id", "left_semi") for x in (opportunities, steps, ioas, iocs, vulns)]
+
     def first(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.groupBy("research_id", F.col(key).alias("behaviour_ref")).agg(F.min(F.struct("pos", F.coalesce("source_ids", _none()).alias("s")))["s"].alias(name))
 

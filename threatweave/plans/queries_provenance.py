@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import index as ix
+from ..operators import joins
 from ..operators import provenance as pv
 from ..operators import specs as sp
 from ..sources import writers
@@ -98,14 +99,16 @@ BODIES = """bodies AS (SELECT h.research_id, h.query_id, h.opportunity_id, h.typ
     g AS (SELECT research_id, query_id, flatten(list(x ORDER BY pos)) AS x FROM h GROUP BY ALL)
     SELECT e.research_id, e.query_id, coalesce(e.source_ids, list_filter(y, lambda v, k: list_position(y, v) = k)) AS source_ids FROM (SELECT e.*, coalesce(opp, g.x, []::VARCHAR[]) AS y FROM e LEFT JOIN g ON g.research_id = e.research_id AND g.query_id = e.query_id) e""")
 def inferred(t):
-    named = t.mentions.groupBy(F.col("rid").alias("research_id"), F.col("pos").alias("at")).agg(F.max("ioc_value").alias("ioc_value"), F.max("cve").alias("cve"))
-    rows = _section(t, "hunts").join(named, "research_id", "left").groupBy("research_id", "query_id", "opportunity_id", "type", "source_ids", "title", "pos", "body").agg(
+    hunts = _section(t, "hunts")
+    asked = joins.small(hunts.select(F.col("research_id").alias("rid")).distinct())
+    named = t.mentions.join(asked, "rid", "left_semi").groupBy(F.col("rid").alias("research_id"), F.col("pos").alias("at")).agg(F.max("ioc_value").alias("ioc_value"), F.max("cve").alias("cve"))
+    rows = hunts.join(named, "research_id", "left").groupBy("research_id", "query_id", "opportunity_id", "type", "source_ids", "title", "pos", "body").agg(
         F.max(F.when(F.col("at") % 3 == 1, F.col("cve"))).alias("one"), F.max(F.when(F.col("at") % 3 == 2, F.lower("cve"))).alias("low"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") % 2 == F.col("pos") % 2, F.struct("at", F.upper("ioc_value").alias("v"))))), lambda x: x["v"]), ", ").alias("values"),
     )
     blank = lambda c: F.coalesce(c, F.lit(""))
     bodies = rows.select("research_id", "query_id", "opportunity_id", "type", "source_ids", F.concat("title", F.lit(" "), blank("one")).alias("title"), F.concat("body", F.lit(" in ("), blank("values"), F.lit(") "), blank("low")).alias("body"))
-    return pv.inferred_sources(bodies, *[_section(t, n) for n in ("opps", "steps", "ioas", "iocs", "vulns")])
+    return pv.inferred_sources(writers.stored(bodies, "bodies"), *[_section(t, n) for n in ("opps", "steps", "ioas", "iocs", "vulns")])
 
 
 #: A specification of each part: what it looks for and where; some share literals, some hold empty or short ones.
