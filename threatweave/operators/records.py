@@ -32,9 +32,15 @@ def _names(rows: DataFrame, *kept: str) -> DataFrame:
 def actor_matches(library: DataFrame, named: DataFrame) -> DataFrame:
     """(actor_id, research_id, source_id): research that names an actor of the library by a name or alias of either side.
 
-    library has (actor_id, name, aliases), named (research_id, source_id, name, aliases).
+    library has (actor_id, name, aliases), named (research_id, source_id, name, aliases). An alias may stand for many actors, so the
+    matches are many more than either side; each is told once, by the least name that both have, and none is shuffled to be so.
     """
-    return _names(library, "actor_id").join(_names(named, "research_id", "source_id"), "k").select("actor_id", "research_id", "source_id").distinct()
+    own = _names(library, "actor_id").groupBy("actor_id").agg(F.collect_set("k").alias("_own"))
+    known = own.select("actor_id", "_own", F.explode("_own").alias("k"))
+    every = F.concat(F.array("name"), F.coalesce("aliases", _no_strings()))
+    said = named.groupBy("research_id", "source_id").agg(F.array_distinct(F.flatten(F.collect_set(F.filter(F.transform(every, F.lower), lambda x: x != "")))).alias("_said"))
+    near = said.select("research_id", "source_id", "_said", F.explode("_said").alias("k")).join(F.broadcast(known) if known.count() <= BROADCAST_NAMES else known, "k")
+    return near.filter(F.col("k") == F.array_min(F.array_intersect("_own", "_said"))).select("actor_id", "research_id", "source_id")
 
 
 def malware_matches(library: DataFrame, named: DataFrame) -> DataFrame:
