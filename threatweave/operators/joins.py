@@ -10,6 +10,8 @@ from .patterns import by_size, occurrences
 
 #: Rows that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: N-grams of a quote that are looked for in a text one by one at most.
+FEW_GRAMS = 64
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -187,9 +189,14 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, share: float = 0.75, *, co
     t = texts.select("source_id", tx.comparable(F.col("text"), compatible=compatible).alias("t"))
     near = q.join(t, "source_id")
 
+    def shared(g: Column, n: Column) -> Column:
+        # Words have single spaces, so a few n-grams are looked for in the text as they are; for many the text is cut as well.
+        each = F.size(F.filter(g, lambda x: F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" ")))))
+        return F.when(F.size(g) <= FEW_GRAMS, each).otherwise(F.size(F.array_intersect(g, grams(F.split("t", " "), n))))
+
     def enough(words: Column) -> Column:
         n = F.when(F.size(words) >= 6, 3).when(F.size(words) >= 3, 2).otherwise(1)
-        return tx.let(grams(words, n), lambda g: F.size(F.array_intersect(g, grams(F.split("t", " "), n))) >= share * F.size(g))
+        return tx.let(grams(words, n), lambda g: shared(g, n) >= share * F.size(g))
 
     # The n-grams are only made where the plain search fails.
     hit = F.when((F.col("q") == "") | F.contains("t", "q"), True).otherwise(tx.let(F.split("q", " "), enough))
