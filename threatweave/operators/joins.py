@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.writers import stored
 from .patterns import by_size, occurrences
 
 #: Rows that are broadcast at most; more are joined by shuffle.
@@ -91,8 +92,14 @@ def applicability(affected: DataFrame, owned: DataFrame, workspaces: DataFrame,
     match = within.unionByName(around).distinct()
     # Each affected name meets a workspace once, at the workspace's first product that matches.
     best = match.select("p", "wp").join(owned.select("workspace_id", "pos", F.lower("product").alias("wp")), "wp").groupBy("p", "workspace_id").agg(F.min(F.struct("pos", "wp")).alias("best"))
-    hit = affected.select("research_id", F.lower("product").alias("p")).distinct().join(small(best), "p")
-    exposed = hit.groupBy("research_id", "workspace_id").agg(F.min("best")["wp"].alias("wp"))
+    # Numbered within its workspace, as the least number of many pairs needs no sort.
+    best = stored(best.withColumn("_r", F.row_number().over(Window.partitionBy("workspace_id").orderBy("best"))), "exposing")
+    # Dealt by research beforehand, so that the pairs of research and workspace, many more than names, aren't dealt again; among
+    # all tasks, as few of them would be enough for the names but not for the pairs.
+    tasks = int(affected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hit = affected.select("research_id", F.lower("product").alias("p")).repartition(tasks, "research_id").distinct().join(small(best.select("p", "workspace_id", "_r")), "p")
+    least = hit.groupBy("research_id", "workspace_id").agg(F.min("_r").alias("_r"))
+    exposed = least.join(small(best.select("workspace_id", "_r", "best.wp")), ["workspace_id", "_r"]).select("research_id", "workspace_id", "wp")
     out = exposed.join(workspaces.select("workspace_id"), "workspace_id", "left_semi")
     if every:
         # One row for each research and workspace is what is asked for here; research meets the few workspaces in place.
